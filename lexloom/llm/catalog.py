@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import suffix_dedup
+from lexloom.llm import lm_score, suffix_dedup
 from lexloom.llm.runtime import read_table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and base log probabilities of every document."""
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a 200-byte passage repeats elsewhere."""
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), depth=200)
 
 
 def queries():
-    return {"op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_lm_score": op1_lm_score, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql():
