@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import lm_score, suffix_dedup
+from lexloom.llm import lm_score, simhash_dedup, suffix_dedup
 from lexloom.llm.runtime import read_table
 
 
@@ -13,13 +13,18 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a 200-byte passage repeats elsewhere."""
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), depth=200)
 
 
 def queries():
-    return {"op1_lm_score": op1_lm_score, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql():
