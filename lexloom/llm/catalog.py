@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import lm_score, simhash_dedup, suffix_dedup
+from lexloom.llm import lm_score, quality, simhash_dedup, suffix_dedup, toxicity
 from lexloom.llm.runtime import read_table
 
 
@@ -18,13 +18,23 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a 200-byte passage repeats elsewhere."""
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), depth=200)
 
 
 def queries():
-    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql():
