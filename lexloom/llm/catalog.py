@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import lm_score, quality, simhash_dedup, suffix_dedup, toxicity
+from lexloom.llm import lm_score, quality, simhash_dedup, suffix_dedup, topk_search, toxicity
 from lexloom.llm.runtime import read_table
 
 
@@ -33,8 +34,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), depth=200)
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours of every fiftieth vector."""
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries():
-    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
 
 
 def oracle_sql():
