@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import lm_score, quality, simhash_dedup, source_mix, suffix_dedup, topk_search, toxicity
+from lexloom.llm import decontaminate, lm_score, quality, simhash_dedup, source_mix, suffix_dedup, topk_search, toxicity
 from lexloom.llm.runtime import read_table
 
 
@@ -24,6 +24,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with their edit distances."""
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -45,7 +50,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op3_source_mix": op3_source_mix, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op3_source_mix": op3_source_mix, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
 
 
 def oracle_sql():
