@@ -349,3 +349,27 @@ def remove_repeats(docs: DataFrame, depth: int = 200, digit: int = 40, keep_text
     joined = keyed.join(runs.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "first", "windows")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     return joined.mapInArrow(_cut(depth, keep_text), ddl)
+
+
+def cut_repeats(docs: DataFrame, depth: int = 200, digit: int = 40) -> DataFrame:
+    """``docs`` with every repeated passage cut from ``text``, all of its occurrences alike.
+
+    Rows of which only white space is left by a cut go. Where text was cut, ``n_chars`` (if
+    there is such a column) is its new length. Rows without repeats are returned as they
+    are. Edge cases are those of ``remove_repeats``.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("key"), "text")
+    runs = repeated_windows(keyed.select("key", "text"), depth, digit)
+    runs = runs.groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("windows").alias("windows"))
+    joined = keyed.join(runs.hint("shuffle_hash"), "key", "left").select("row", "text", "first", "windows")
+    ddl = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    cut = joined.mapInArrow(_cut(depth, True), ddl).filter("n_removed = 0 or trim(kept_text) <> ''")
+    columns = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == "text":
+            value = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(value)
+        if c == "n_chars":
+            value = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return cut.select(*columns)
