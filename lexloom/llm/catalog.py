@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, lm_score, quality, simhash_dedup, source_mix, suffix_dedup, topk_search, toxicity
+from lexloom.llm import decontaminate, lm_score, quality, simhash_dedup, source_mix, suffix_dedup, topk_search, toxicity, url_filter
 from lexloom.llm.runtime import read_table
 
 
@@ -24,6 +24,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    judged = url_filter.filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES)
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, with their edit distances."""
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -50,8 +56,23 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op3_source_mix": op3_source_mix, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op3_source_mix": op3_source_mix, "op4_url_filter": op4_url_filter, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
+
+
+_OP4 = """
+WITH urls AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rule_host, rule_path, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fits AS (
+  SELECT u.page_id, u.host, u.path, r.rule_host || r.rule_path AS rule, r.action,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule_host || r.rule_path) DESC) AS n
+  FROM urls u LEFT JOIN rules r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE n = 1
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op4_url_filter": _OP4}
