@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, lm_score, quality, simhash_dedup, source_mix, suffix_dedup, topk_search, toxicity, url_filter
+from lexloom.llm import decontaminate, license_scan, lm_score, quality, simhash_dedup, source_mix, suffix_dedup, topk_search, toxicity, url_filter
 from lexloom.llm.runtime import read_table
 
 
@@ -30,6 +30,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page.page_id", "host", "path", "rule", "verdict")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, with their edit distances."""
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -56,7 +61,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op3_source_mix": op3_source_mix, "op4_url_filter": op4_url_filter, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
+    return {"op1_lm_score": op1_lm_score, "op2_simhash_dedup": op2_simhash_dedup, "op3_source_mix": op3_source_mix, "op4_url_filter": op4_url_filter, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk_search": op10_topk_search}
 
 
 _OP4 = """
@@ -74,5 +79,34 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 """
 
 
+def _op5() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in license_scan.TEMPLATES)
+    return f"""
+WITH templates AS (
+  SELECT name, string_split(trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM (VALUES {values}) v(name, t)),
+template_sets AS (
+  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM templates),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM documents),
+units AS (
+  SELECT r, 1 AS line, unnest(lines) AS u FROM docs
+  UNION ALL SELECT r, 0, array_to_string(lines, ' ') FROM docs WHERE len(lines) > 1),
+words AS (SELECT row_number() OVER () AS k, r, line, string_split(u, ' ') AS w FROM units),
+sets AS (SELECT k, r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) BETWEEN 2 AND 60 OR line = 0),
+pairs AS (
+  SELECT k, r, line, name, 2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) AS dice
+  FROM sets s, template_sets t
+  WHERE 2 * least(len(s.b), len(t.b)) >= 0.8 * (len(s.b) + len(t.b)) - 1e-9),
+hits AS (SELECT * FROM pairs WHERE dice >= 0.8 - 1e-9),
+tops AS (SELECT r, name, dice, row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) AS n FROM hits),
+counts AS (SELECT r, count(DISTINCT k) AS n FROM hits WHERE line = 1 GROUP BY r)
+SELECT d.doc_id, len(d.lines) AS n_units, coalesce(c.n, 0) AS n_notices, t.name AS license, round(t.dice, 6) AS dice
+FROM docs d LEFT JOIN tops t ON t.r = d.r AND t.n = 1 LEFT JOIN counts c ON c.r = d.r
+"""
+
+
 def oracle_sql():
-    return {"op4_url_filter": _OP4}
+    return {"op5_license_scan": _op5(), "op4_url_filter": _OP4}
