@@ -22,11 +22,13 @@ fixed size, are broadcast; all other tokens meet the exact counts in a shuffle.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.serializers import pickle_protocol
 
 from lexloom.llm import bytescan as bs
 from lexloom.llm.runtime import checkpointed, row_key, shuffle_width
@@ -37,8 +39,8 @@ BEGIN = U64(0x14057B7EF767814F)
 UNI, TOTAL, TYPES = U64(0x9FB21C651E98DF25), U64(0xB492B66FBE98F273), U64(0x8BB84B93962EACC9)
 #: Quantisation base for unigrams and contexts, and for bigrams.
 FINE, COARSE = 1.2, 1.5
-PROBES = 5
-BITS_PER_EVENT = 10
+PROBES = 4
+BITS_PER_EVENT = 12
 #: Times the Witten-Bell escape mass; high, as most bigrams of a corpus are new.
 ESCAPE = 8.0
 HIST = 4096
@@ -60,53 +62,98 @@ def count_of_level(base: float) -> np.ndarray:
 FINE_COUNT, COARSE_COUNT = count_of_level(FINE), count_of_level(COARSE)
 
 
-def slots(keys: np.ndarray, level, m) -> np.ndarray:
-    """The PROBES bit numbers of an event, below ``m``; one row per probe."""
+def events(keys: np.ndarray, level: int, words: np.ndarray):
+    """(64-bit word, mask of its PROBES bits) of the event (key, level), in ``words`` words."""
     with np.errstate(over="ignore"):
-        x = bs.mix(keys + np.asarray(level, np.uint64) * U64(0x9E3779B97F4A7C15))
-        y = (x >> U64(17)) | (x << U64(47)) | U64(1)
-        return np.stack([(x + U64(i) * y) % m for i in range(PROBES)])
+        x = bs.mix(keys + U64(level) * U64(0x9E3779B97F4A7C15))
+    mask = np.zeros(len(x), np.uint64)
+    for i in range(PROBES):
+        mask |= U64(1) << ((x >> U64(6 * i)) & U64(63))
+    return (((x >> U64(32)) * words) >> U64(32)).astype(np.int64), mask
 
 
 def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A filter of all (key, 1..level) events."""
-    events = int(levels.sum())
-    bits = max(64, -(-events * BITS_PER_EVENT // 64) * 64)
-    out = np.zeros(bits // 8, np.uint8)
-    flags = np.zeros(bits, np.bool_) if bits <= 1 << 28 else None
+    """A filter of all (key, 1..level) events, as 64-bit words; an event's bits share one."""
+    n = max(1, -(-int(levels.sum()) * BITS_PER_EVENT // 64))
+    out = np.zeros(n, np.uint64)
     for lv in range(1, int(levels.max(initial=0)) + 1):
-        at = slots(keys[levels >= lv], lv, U64(bits)).ravel().astype(np.int64)
-        if flags is not None:
-            flags[at] = True
-        else:
-            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return np.packbits(flags, bitorder="little") if flags is not None else out
+        at, mask = events(keys[levels >= lv], lv, U64(n))
+        np.bitwise_or.at(out, at, mask)
+    return out
+
+
+def _mark(size: int) -> bytes:
+    """What precedes the content of a byte array of this size in a pickle."""
+    return b"\x96" + size.to_bytes(8, "little")
+
+
+#: Where the content starts in a file that holds one byte array only.
+_PICKLED = pickle.dumps(bytearray(1 << 17), pickle_protocol).find(_mark(1 << 17)) + len(_mark(1 << 17))
+
+
+def _copied(x: np.ndarray):
+    return x.dtype.str.lstrip("<|"), len(x), lambda view: np.copyto(view, x)
+
+
+def ship(spark, arrays):
+    """A broadcast of one byte array that holds all arrays, and where each lies in it.
+
+    ``arrays``: name -> (dtype, length, function that fills a view of that many zeros).
+    """
+    layout, used = {}, -_PICKLED % 8
+    for name, (dtype, n, _) in arrays.items():
+        layout[name] = (dtype, used, n)
+        used += -(-n * np.dtype(dtype).itemsize // 8) * 8
+    whole = bytearray(max(used, 1 << 17))
+    views = _views(np.frombuffer(whole, np.uint8), layout)
+    for name, (_, _, fill) in arrays.items():
+        fill(views[name])
+    views.clear()
+    return spark.sparkContext.broadcast(whole), layout, len(whole)
+
+
+def _views(raw, layout):
+    return {name: raw[at : at + n * np.dtype(t).itemsize].view(t) for name, (t, at, n) in layout.items()}
+
+
+def shipped(broadcast, layout, size):
+    """The arrays, mapped from the executor's copy of the broadcast file where there is one.
+
+    The Python workers of an executor then share one copy in the page cache; without a
+    plain file (encrypted, or in the driver) the value is read as usual.
+    """
+    raw = None
+    path = getattr(broadcast, "_path", None)
+    if path:
+        try:
+            with open(path, "rb") as f:
+                at = f.read(64).find(_mark(size))
+            if at >= 0:
+                raw = np.asarray(np.memmap(path, np.uint8, "r", offset=at + len(_mark(size)), shape=(size,)))
+        except OSError:
+            raw = None
+    if raw is None:
+        raw = np.frombuffer(broadcast.value, np.uint8)
+    return _views(raw, layout)
 
 
 class CountFilter:
-    """Segments side by side; bucket b of a kind has ``size[b]`` bits from ``at[b]``."""
+    """Segments side by side; bucket b of a kind has ``size[b]`` words from ``at[b]``."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray):
         self.data, self.at, self.size = data, at, size
 
     def read(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Level of each key: probes level after level until one misses."""
+        """Level of each key: one event probed after the other until one misses."""
         out = np.zeros(len(keys), np.int64)
         alive = np.flatnonzero(self.size[bucket] > 0)
-        at, size = self.at[bucket], self.size[bucket].astype(np.uint64)
+        at, size = self.at[bucket[alive]], self.size[bucket[alive]].astype(np.uint64)
         for lv in range(1, MAX_LEVEL + 1):
+            word, mask = events(keys[alive], lv, size)
+            hit = (self.data[at + word] & mask) == mask
+            alive, at, size = alive[hit], at[hit], size[hit]
             if not len(alive):
                 break
-            ok = np.ones(len(alive), bool)
-            with np.errstate(over="ignore"):
-                x = bs.mix(keys[alive] + U64(lv) * U64(0x9E3779B97F4A7C15))
-                y = (x >> U64(17)) | (x << U64(47)) | U64(1)
-            for i in range(PROBES):
-                left = np.flatnonzero(ok)
-                with np.errstate(over="ignore"):
-                    s = at[alive[left]] + ((x[left] + U64(i) * y[left]) % size[alive[left]]).astype(np.int64)
-                ok[left] = (self.data[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[ok]
             out[alive] = lv
         return out
 
@@ -154,7 +201,7 @@ def _groups(bucket, n):
     return ((b, order[cuts[b] : cuts[b + 1]]) for b in range(n) if cuts[b] < cuts[b + 1])
 
 
-def count_ngrams(buckets, flush=1 << 22):
+def count_ngrams(buckets, flush=3 << 19):
     """Map side: unigrams by word, bigrams by context, summed within the task's block."""
 
     def run(batches):
@@ -240,39 +287,34 @@ PARTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.
 PARTS_DDL = "key long, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base double, score double, bucket int, tokens binary, owners binary"
 
 
-def score_texts(model, buckets, opening):
+def score_texts(sent, floor, denom, buckets, opening):
     """Scores of every row; with ``opening``, also exact sums of hot words and the tail's tokens."""
 
     def run(batches):
-        m = model.value
-        uni = CountFilter(*m["uni"])
-        bi = CountFilter(*m["bi"])
-        hot, hot_n, floor, denom = m["hot"], m["hot_n"], m["floor"], m["denom"]
+        m = shipped(*sent)
+        uni = CountFilter(m["uni"], m["uni_at"], m["uni_words"])
+        bi = CountFilter(m["bi"], m["bi_at"], m["bi_words"])
+        hot, hot_n = m["hot"], m["hot_n"]
         for batch in batches:
             keys, ids, held = (batch.column(i) for i in range(3))
             tail_tok, tail_own = [], []
-            for lo, data, offs in bs.chunks(batch.column(3)):
+            for lo, data, offs in bs.chunks(batch.column(3), 1 << 20):
                 tok, ctx, bounds = token_stream(data, offs)
                 n = len(offs) - 1
                 words, back = np.unique(tok, return_inverse=True)
                 p1 = (FINE_COUNT[uni.read(bs.mix(words ^ UNI), (words % U64(buckets)).astype(np.int64))] + 0.1) / floor
-                pair = pair_key(ctx, tok)
-                at, _ = tally(pair, np.ones(len(pair), np.int64))
-                inv = np.empty(len(pair), np.int64)
-                order = np.argsort(pair, kind="stable")
-                inv[order] = np.repeat(np.arange(len(at)), np.diff(np.append(np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]])), len(pair))))
-                where = (ctx[at] % U64(buckets)).astype(np.int64)
-                heads, hback = np.unique(ctx[at], return_inverse=True)
+                heads = np.append(words, BEGIN)  # a context is the token before, or the beginning
                 hb = (heads % U64(buckets)).astype(np.int64)
-                total = FINE_COUNT[bi.read(bs.mix(heads ^ TOTAL), hb)][hback]
-                types = FINE_COUNT[bi.read(bs.mix(heads ^ TYPES), hb)][hback] * ESCAPE
-                seen = COARSE_COUNT[bi.read(pair[at], where)]
-                total = np.maximum(total, seen)
-                low = p1[back[at]]
+                total = FINE_COUNT[bi.read(bs.mix(heads ^ TOTAL), hb)]
+                types = FINE_COUNT[bi.read(bs.mix(heads ^ TYPES), hb)] * ESCAPE
+                head = np.empty_like(back)
+                head[1:] = back[:-1]
+                head[bounds[:-1]] = len(words)
+                seen = COARSE_COUNT[bi.read(pair_key(ctx, tok), hb[head])]
+                total, types, low = np.maximum(total[head], seen), types[head], p1[back]
                 with np.errstate(invalid="ignore", divide="ignore"):
                     p = np.where(total > 0, (seen + types * low) / (total + types), low)
-                logp = np.where(m["mine"][where], np.log10(p), 0.0)
-                score = bs.sums_by_row(logp[inv], bounds)
+                score = bs.sums_by_row(np.where(m["mine"][hb[head]], np.log10(p), 0.0), bounds)
                 out = {"key": keys[lo : lo + n], "doc_id": ids[lo : lo + n], "held_out": held[lo : lo + n], "rows": np.full(n, int(opening)), "score": score}
                 zero = np.zeros(n, np.int64)
                 if opening:
@@ -378,24 +420,30 @@ def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: i
 
     size = {(r.kind, r.bucket): r.size for r in built.select("kind", "bucket", F.length("filter").alias("size")).toLocalIterator()}
 
-    def filters(kind, wanted):
-        at, bits, parts, used = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), [], 0
-        data = np.zeros(sum(size.get((kind, b), 0) for b in wanted), np.uint8)
-        for b, seg in built.filter((F.col("kind") == kind) & F.col("bucket").isin(list(wanted))).select("bucket", "filter").toLocalIterator():
-            data[used : used + len(seg)] = np.frombuffer(seg, np.uint8)
-            at[b], bits[b] = used * 8, len(seg) * 8
-            used += len(seg)
-        return data, at, bits
+    def filters(kind, name, wanted):
+        """The segments of these buckets, copied one by one into the broadcast's bytes."""
+        at, words, used = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), 0
+        for b in sorted(wanted):
+            at[b], words[b] = used, size.get((kind, b), 0) // 8
+            used += words[b]
+
+        def fill(view):
+            segments = built.filter((F.col("kind") == kind) & F.col("bucket").isin(sorted(wanted))).select("bucket", "filter")
+            for b, seg in segments.toLocalIterator():
+                view[at[b] : at[b] + words[b]] = np.frombuffer(seg, np.uint64)
+
+        return {name: ("u8", used, fill), f"{name}_at": _copied(at), f"{name}_words": _copied(words)}
 
-    words = filters(0, range(buckets))
     scored = None
-    for i, wanted in enumerate(_rounds({b: s for (k, b), s in size.items() if k == 1}, len(words[0]), max_filter_bytes)):
+    fixed = sum(s for (k, _), s in size.items() if k == 0)
+    for i, wanted in enumerate(_rounds({b: s for (k, b), s in size.items() if k == 1}, fixed, max_filter_bytes)):
         mine = np.zeros(buckets, bool)
         mine[wanted] = True
         if i == 0:
             mine[[b for b in range(buckets) if (1, b) not in size]] = True  # contexts never seen
-        model = spark.sparkContext.broadcast({"uni": words, "bi": filters(1, wanted), "hot": hot, "hot_n": hot_n, "floor": floor, "denom": denom, "mine": mine})
-        part = base.mapInArrow(score_texts(model, buckets, i == 0), PARTS_DDL)
+        arrays = {"hot": _copied(hot), "hot_n": _copied(hot_n), "mine": _copied(mine)}
+        sent = ship(spark, arrays | filters(0, "uni", range(buckets)) | filters(1, "bi", wanted))
+        part = base.mapInArrow(score_texts(sent, floor, denom, buckets, i == 0), PARTS_DDL)
         scored = part if scored is None else scored.unionByName(part)
     scored = checkpointed(scored)
 

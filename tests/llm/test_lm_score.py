@@ -51,7 +51,7 @@ def test_filter_reads_no_count_too_low():
     counts = rng.zipf(1.6, 20000).clip(1, 10**6)
     lv = lm.levels_of(counts, lm.COARSE)
     data = lm.segment(keys, lv)
-    f = lm.CountFilter(data, np.zeros(1, np.int64), np.array([len(data) * 8]))
+    f = lm.CountFilter(data, np.zeros(1, np.int64), np.array([len(data)]))
     got = f.read(keys, np.zeros(len(keys), np.int64))
     assert (got >= lv).all() and (got == lv).mean() > 0.97
     assert (f.read(rng.integers(0, 2**63, 20000, dtype=np.uint64), np.zeros(20000, np.int64)) > 0).mean() < 0.03
