@@ -1,11 +1,715 @@
-"""Published queries of the retrieval library and their SQL counterparts."""
+"""Published queries of the retrieval library, each with its result as DuckDB SQL.
+
+The SQL is written on its own terms, not generated from the DataFrame code. Doubles are
+rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as tx
+from lexloom.operators import benchmarks as bm
+from lexloom.operators import chunking as ch
+from lexloom.operators import expansion as ex
+from lexloom.operators import index as ix
+from lexloom.operators import lexical as lx
+from lexloom.operators import metrics as mt
+from lexloom.operators import rerank as rr
+from lexloom.operators import routing as rt
+from lexloom.operators import scoring as sc
+from lexloom.operators import vocabulary as vb
+
+_QUERIES, _SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("c_"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
+
+
+def asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def index(spark, d):
+    return ix.build(chunks(spark, d))
+
+
+def r6(*names):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def lucene_hits(spark, d, k=10):
+    return sc.top_k(sc.bm25_lucene(index(spark, d), sc.query_terms(asked(spark, d))), k)
+
+
+def ws(c):
+    return f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda t: t <> '')"
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
+INDEX = f"""
+tok AS (SELECT doc_id AS ord, unnest({ws("text")}) AS term FROM documents),
+post AS (SELECT ord, term, count(*) AS tf FROM tok GROUP BY ALL),
+lens AS (SELECT doc_id AS ord, len({ws("text")}) AS dl FROM documents),
+st AS (SELECT count(*) AS n, coalesce(avg(dl), 0) AS avgdl FROM lens),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+idf AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM dfs, st),
+q AS (SELECT qid, term, count(*)::DOUBLE AS w FROM (SELECT item_id AS qid, unnest({ws("text")}) AS term FROM benchmark) GROUP BY ALL)"""
+
+
+def scored_sql(weight, extra=""):
+    return f"""{INDEX}{extra},
+hits AS (SELECT q.qid, p.ord, sum(q.w * {weight}) AS score
+  FROM q JOIN post p USING (term) JOIN idf i USING (term) JOIN lens l USING (ord), st GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM hits)"""
+
+
+LUCENE = "i.idf * p.tf * 2.2 / (p.tf + 1.2 * (1 - 0.75 + 0.75 * l.dl / avgdl))"
+TOP10 = "SELECT qid, ord, rank, round(score, 6) AS score FROM top WHERE rank <= 10"
+
+
+# Tokenizers, entities, cleaners.
+
+
+@query(f"SELECT doc_id, {ws('text')} AS tokens FROM documents")
+def tok_whitespace(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.whitespace_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[!-,./:-@\\[-\\^`{-~]', '', 'g'), '\\s+'), lambda t: length(t) >= 2) AS tokens FROM documents""")
+def tok_punct(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.stripped_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+') AS tokens FROM documents""")
+def tok_word(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: regexp_full_match(t, '\\p{L}+') AND length(t) >= 2 AND NOT list_contains(""" + STOP + """, t))) AS n FROM documents""")
+def tok_alpha(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(tx.alpha_tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query()
+def tok_query_words(spark, d):
+    return asked(spark, d).select("qid", F.posexplode(tx.query_words(F.col("query"))).alias("pos", "word"))
+
+
+@query("""WITH a AS (SELECT doc_id, 0 AS kind, unnest(list_filter(string_split_regex(text, '[^\\p{L}\\p{M}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z]{2,}'))) AS e FROM documents
+UNION ALL SELECT doc_id, 1, unnest(regexp_extract_all(text, '"([^"]+)"', 1)) FROM documents)
+SELECT DISTINCT doc_id, kind, e FROM a WHERE regexp_full_match(e, '[ -~]+')""")
+def entities(spark, d):
+    docs = table(spark, d, "documents")
+    caps = docs.select("doc_id", F.lit(0).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,}\b"), F.lit(0))).alias("e"))
+    quoted = docs.select("doc_id", F.lit(1).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r'"([^"]+)"'), F.lit(1))).alias("e"))
+    return caps.unionByName(quoted).filter(F.col("e").rlike(r"^[ -~]+$")).distinct()
+
+
+@query()
+def entities_ordered(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(tx.entities(F.col("text"))).alias("pos", "entity"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents)
+SELECT doc_id, round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: regexp_matches(x, '(?i)\\[\\d{1,3}\\]|\\b\\d{4}[a-z]?\\)|\\bet\\s+al\\.?|arXiv:\\d|\\bdoi[:/]|\\bpp\\.\\s*\\d|\\bvol\\.\\s*\\d|\\bISSN\\b|\\bISBN\\b'))) / len(ls) ELSE 0 END, 6) AS ratio FROM l""")
+def reference_block(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(tx.citation_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), ' ') AS tidy FROM documents""")
+def normalise(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.normalised(F.col("text")).alias("tidy"))
+
+
+# Index and statistics.
+
+
+@query(f"WITH {INDEX} SELECT ord, term, tf FROM post")
+def term_freq(spark, d):
+    return index(spark, d).postings.select("ord", "term", "tf")
+
+
+@query(f"WITH {INDEX} SELECT term, df FROM dfs")
+def doc_freq(spark, d):
+    return index(spark, d).terms.select("term", "df")
+
+
+@query(f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+def doc_len_avgdl(spark, d):
+    return index(spark, d).stats.select("n", *r6("avgdl"))
+
+
+@query(f"WITH {INDEX} SELECT term, round(idf, 6) AS idf FROM idf")
+def lucene_idf(spark, d):
+    return index(spark, d).terms.select("term", *r6("idf"))
+
+
+@query(f"WITH {INDEX} SELECT round(max(idf), 6) AS max_idf, round(median(idf), 6) AS median_idf FROM idf")
+def idf_median_max(spark, d):
+    return ix.idf_summary(index(spark, d).terms).select(*r6("max_idf", "median_idf"))
+
+
+@query(f"""WITH {INDEX}, m AS (SELECT max(idf) AS top FROM idf),
+w AS (SELECT item_id AS qid, unnest({ws("text")}) AS term FROM benchmark)
+SELECT qid, round(avg(coalesce(i.idf, m.top * 0.5)), 6) AS idf FROM w LEFT JOIN idf i USING (term), m GROUP BY qid""")
+def idf_multiword_oov(spark, d):
+    return ix.term_idf(asked(spark, d), index(spark, d).terms, "query", ("qid",)).select("qid", *r6("idf"))
+
+
+# Scoring.
+
+
+@query(f"WITH {scored_sql(LUCENE)} {TOP10}")
+def bm25_lucene(spark, d):
+    return lucene_hits(spark, d).select("qid", "ord", F.col("rank").cast("long").alias("rank"), *r6("score"))
+
+
+def _top10(scored):
+    return sc.top_k(scored, 10).select("qid", "ord", F.col("rank").cast("long").alias("rank"), *r6("score"))
+
+
+@query(f"""WITH {scored_sql("o.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / avgdl))", ''',
+raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS r FROM dfs, st),
+okapi AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END AS idf FROM raw)''').replace("JOIN idf i USING (term)", "JOIN okapi o USING (term)")} {TOP10}""")
+def bm25_okapi(spark, d):
+    return _top10(sc.bm25_okapi(index(spark, d), sc.query_terms(asked(spark, d))))
+
+
+@query(f"""WITH {scored_sql("ln((n + 1) / i.df) * (1 + p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / avgdl)))")} {TOP10}""")
+def bm25_plus(spark, d):
+    return _top10(sc.bm25_plus(index(spark, d), sc.query_terms(asked(spark, d))))
+
+
+@query(f"""WITH {scored_sql("ln((n + 1) / (i.df + 0.5)) * 2.5 * (p.tf / (0.25 + 0.75 * l.dl / avgdl) + 0.5) / (2 + p.tf / (0.25 + 0.75 * l.dl / avgdl))")} {TOP10}""")
+def bm25_l(spark, d):
+    return _top10(sc.bm25_l(index(spark, d), sc.query_terms(asked(spark, d))))
+
+
+@query(f"""WITH {scored_sql(LUCENE).replace("count(*)::DOUBLE AS w", "1 + ln(count(*)) AS w")} {TOP10}""")
+def weighted_retrieve(spark, d):
+    return _top10(sc.bm25_lucene(index(spark, d), sc.query_terms(asked(spark, d)).withColumn("w", 1 + F.log("w"))))
+
+
+@query(f"""WITH {INDEX}, dw AS (SELECT ord, term, (1 + ln(tf)) * idf AS w FROM post JOIN idf USING (term)),
+hits AS (SELECT q.qid, d.ord, sum(q.w * d.w) AS score FROM q JOIN dw d USING (term) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM hits) {TOP10}""")
+def sparse_dot(spark, d):
+    i = index(spark, d)
+    weights = i.postings.join(i.terms, "term").select("ord", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    return _top10(sc.sparse_dot(sc.query_terms(asked(spark, d)), weights))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+
+
+DENSE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+hits AS (SELECT a.vec_id AS qid, b.vec_id AS ord, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 50 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM hits)"""
+
+
+def _dense(spark, d):
+    v = _vectors(spark, d)
+    return sc.dense_cosine(v.filter(F.col("ord") % 50 == 0).select(F.col("ord").alias("qid"), "vec"), v)
+
+
+@query(f"WITH {DENSE} {TOP10}")
+def dense_cosine_topk(spark, d):
+    return _top10(_dense(spark, d))
+
+
+@query(f"""WITH {scored_sql(LUCENE)}, b AS (SELECT q.qid, p.ord, sum(q.w * p.tf) AS score FROM q JOIN post p USING (term) GROUP BY ALL),
+r1 AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS r1 FROM hits),
+r2 AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS r2 FROM b),
+f AS (SELECT qid, ord, 1 / (60 + r1) + 1 / (60 + r2) AS score FROM r1 JOIN r2 USING (qid, ord)),
+g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM f)
+SELECT qid, ord, rank, round(score, 6) AS score FROM g WHERE rank <= 10""")
+def rrf_fusion(spark, d):
+    i, t = index(spark, d), sc.query_terms(asked(spark, d))
+    return _top10(sc.rrf(sc.bm25_lucene(i, t), sc.sparse_dot(t, i.postings.withColumnRenamed("tf", "w"))))
+
+
+@query(f"""WITH {INDEX}, b AS (SELECT item_id AS qid, {ws("text")} AS l FROM benchmark),
+vars AS (SELECT qid, 0 AS v, unnest(l) AS term FROM b UNION ALL SELECT qid, 1, unnest(l[1:(len(l) + 1) // 2]) FROM b),
+qv AS (SELECT qid, v, term, count(*)::DOUBLE AS w FROM vars GROUP BY ALL),
+s AS (SELECT x.qid, x.v, p.ord, sum(x.w * {LUCENE}) AS score FROM qv x JOIN post p USING (term) JOIN idf i USING (term) JOIN lens l USING (ord), st GROUP BY ALL),
+f AS (SELECT qid, ord, max(score) AS score FROM s GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM f) {TOP10}""")
+def multi_query_max(spark, d):
+    i, q = index(spark, d), asked(spark, d)
+    words = tx.whitespace_tokens(F.col("query"))
+    half = q.select("qid", F.array_join(F.slice(words, F.lit(1), ((F.size(words) + 1) / 2).cast("int")), " ").alias("query"))
+    return _top10(sc.max_fusion(sc.bm25_lucene(i, sc.query_terms(q)), sc.bm25_lucene(i, sc.query_terms(half))))
+
+
+@query(f"""WITH {scored_sql(LUCENE)}, r AS (SELECT qid, ord, rank FROM top WHERE rank <= 3),
+want AS (SELECT b.item_id AS qid, d.doc_id AS ord FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 80),
+miss AS (SELECT * FROM want w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.qid = w.qid AND r.ord = w.ord)),
+l AS (SELECT qid, max(rank) AS m FROM r GROUP BY qid)
+SELECT qid, ord, rank, false AS forced FROM r
+UNION ALL SELECT qid, ord, coalesce(m, 0) + row_number() OVER (PARTITION BY qid ORDER BY ord), true FROM miss LEFT JOIN l USING (qid)""")
+def forced_inclusion(spark, d):
+    docs = table(spark, d, "documents").filter("doc_id < 80")
+    want = asked(spark, d).join(docs, F.col("qid") % 40 == F.col("doc_id") % 40).select("qid", F.col("doc_id").alias("ord"))
+    ranked = lucene_hits(spark, d, 3).select("qid", "ord", F.col("rank").cast("long").alias("rank"))
+    return sc.force_in(ranked, want)
+
+
+# Vocabulary.
+
+PLAIN = "list_filter(string_split_regex(regexp_replace(lower(text), '[!-,./:-@\\[-\\^`{-~]', '', 'g'), '\\s+'), lambda t: length(t) >= 3 AND NOT list_contains(" + STOP + ", t) AND NOT regexp_full_match(t, '\\p{Nd}+') AND regexp_full_match(t, '[a-zA-Z0-9_ -]+'))"
+BIGRAMS = f"""w AS (SELECT {PLAIN} AS w FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 1000)),
+bi AS (SELECT term, count(*) AS count FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w) GROUP BY term)"""
+
+
+@query(f"WITH {BIGRAMS} SELECT term, count FROM bi")
+def bigram_count(spark, d):
+    return vb.bigrams(chunks(spark, d)).select("term", "count")
+
+
+SALIENT = f"""{INDEX}, {BIGRAMS}, m AS (SELECT max(idf) AS top FROM idf),
+uni AS (SELECT term, df AS count FROM dfs, st WHERE df >= 2 AND df <= greatest(5, floor(0.15 * n)) AND NOT list_contains({STOP}, term)
+  AND NOT regexp_full_match(term, '\\p{{Nd}}+') AND length(term) >= 3 AND regexp_full_match(term, '[a-zA-Z0-9_ -]+') ORDER BY df DESC, term LIMIT 2500),
+b2 AS (SELECT term, count FROM bi WHERE count >= 2 ORDER BY count DESC, term LIMIT 1000),
+pool AS (SELECT * FROM uni UNION ALL SELECT * FROM b2),
+words AS (SELECT term, unnest(string_split(term, ' ')) AS word FROM pool),
+pidf AS (SELECT w.term, avg(coalesce(i.idf, m.top * 0.5)) AS idf FROM words w LEFT JOIN idf i ON i.term = w.word, m GROUP BY w.term),
+sal AS (SELECT p.term, p.count, x.idf, x.idf * ln(1 + p.count) AS salience FROM pool p JOIN pidf x USING (term) WHERE x.idf >= 1.5),
+vocab AS (SELECT *, row_number() OVER (ORDER BY round(salience, 9) DESC, term) AS rank FROM sal ORDER BY rank LIMIT 1000)"""
+
+
+def vocabulary(spark, d, i=None):
+    i = i or index(spark, d)
+    return vb.salient(i, lambda pool: _phrase_idf(pool, i))
+
+
+def _phrase_idf(pool, i):
+    return ix.term_idf(pool.select(F.col("term").alias("phrase")).distinct(), i.terms, "phrase").withColumnRenamed("phrase", "term")
+
+
+@query(f"WITH {SALIENT} SELECT rank, term, count, round(salience, 6) AS salience FROM vocab")
+def vocab_salience(spark, d):
+    return vocabulary(spark, d).select(F.col("rank").cast("long").alias("rank"), "term", "count", *r6("salience"))
+
+
+FREQ = f"""fw AS (SELECT list_filter(string_split_regex(lower(text), '\\s+'), lambda t: regexp_full_match(t, '\\p{{L}}+') AND length(t) >= 2 AND NOT list_contains({STOP}, t)) AS w FROM documents),
+ft AS (SELECT unnest(w) AS term FROM fw UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM fw),
+freq AS (SELECT term, count(*) AS count FROM ft GROUP BY term ORDER BY count DESC, term LIMIT 2000)"""
+
+
+@query(f"WITH {FREQ} SELECT term, count FROM freq")
+def vocab_freq_topn(spark, d):
+    return vb.frequent(chunks(spark, d), 2000)
+
+
+@query(f"""WITH {INDEX}, {FREQ}, p AS (SELECT f.term, f.count, coalesce(i.idf, 0) AS idf FROM (SELECT * FROM freq ORDER BY count DESC, term LIMIT 1500) f LEFT JOIN idf i USING (term)),
+r AS (SELECT *, row_number() OVER (ORDER BY idf, term) AS nth, count(*) OVER () AS n FROM p),
+m AS (SELECT idf AS middle FROM r WHERE nth = n // 2 + 1)
+SELECT term, count, round(idf, 6) AS idf FROM r, m WHERE idf >= middle ORDER BY count DESC, term LIMIT 500""")
+def vocab_median_filter(spark, d):
+    return vb.above_median(vb.frequent(chunks(spark, d), 2000), index(spark, d).terms.select("term", "idf"), 500).select("term", "count", *r6("idf"))
+
+
+# Expansion. The benchmark's texts hold no entities, so every anchor is a word.
+
+def english(spark, d):
+    """Queries of ASCII text: for them, words are the same to all regex engines."""
+    return asked(spark, d).filter(F.col("query").rlike(r"^[\x00-\x7F]*$"))
+
+
+ANCHORS = f"""{INDEX}, mx AS (SELECT max(idf) AS top FROM idf),
+en AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE regexp_full_match(text, '(?s)[\\x00-\\x7F]*')),
+ql AS (SELECT qid, query, list_filter(list_transform(regexp_extract_all(query, '[a-zA-Z0-9_-]{{2,}}'), lambda x: lower(x)), lambda x: NOT list_contains({STOP}, x)) AS l FROM en),
+qe AS (SELECT qid, word, min(pos) AS pos FROM (SELECT qid, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM ql) GROUP BY ALL),
+qn AS (SELECT qid, count(*) AS n FROM qe GROUP BY qid),
+qi AS (SELECT qid, word, pos, n, coalesce(i.idf, mx.top * 0.5) AS idf FROM qe JOIN qn USING (qid) LEFT JOIN idf i ON i.term = qe.word, mx),
+qa AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(idf, 9) DESC, pos) AS nth FROM qi),
+anch AS (SELECT qid, (nth - 1)::INTEGER AS aspect, word AS anchor, idf FROM qa WHERE nth <= greatest(2, ceil(0.5 * n)))"""
+
+
+@query(f"WITH {ANCHORS} SELECT qid, aspect, anchor, round(idf, 6) AS idf FROM anch")
+def anchor_select(spark, d):
+    return ex.anchors(english(spark, d), index(spark, d).terms).select("qid", "aspect", "anchor", *r6("idf"))
+
+
+VEC = """list_transform(range(0, 32), lambda k: len(list_filter(list_transform(range(1, greatest(length({0}) + 1, 2)), lambda i: ('0x' || substr(md5(substr(' ' || lower({0}) || ' ', i, 3)), 1, 8))::BIGINT % 32), lambda b: b = k))::DOUBLE)"""
+UNIT = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"
+SIMS = f"""{SALIENT}, {ANCHORS.replace(INDEX + ", ", "", 1)},
+vv0 AS (SELECT rank, term, idf AS term_idf, {VEC.format("term")} AS v FROM vocab),
+vv AS (SELECT rank, term, term_idf, {UNIT.format("v")} AS v FROM vv0),
+av0 AS (SELECT qid, aspect, anchor, idf, {VEC.format("anchor")} AS v FROM anch), av AS (SELECT qid, aspect, anchor, idf, {UNIT.format("v")} AS v FROM av0),
+qv0 AS (SELECT qid, {VEC.format("query")} AS v FROM en), qv AS (SELECT qid, {UNIT.format("v")} AS v FROM qv0),
+dual AS (SELECT a.qid, a.aspect, a.anchor, a.idf, t.rank, t.term, t.term_idf, 0.65 * list_inner_product(a.v, t.v) + 0.35 * list_inner_product(x.v, t.v) AS sim
+  FROM av a JOIN qv x USING (qid), vv t WHERE lower(t.term) <> lower(a.anchor)),
+cand AS (SELECT * FROM dual WHERE round(sim, 9) >= 0.55)"""
+
+
+@query(f"WITH {SIMS} SELECT qid, aspect, rank, term, round(sim, 6) AS sim FROM cand")
+def dual_similarity(spark, d):
+    i, q = index(spark, d), english(spark, d)
+    found = ex.candidates(ex.anchors(q, i.terms), q, vocabulary(spark, d, i))
+    return found.select("qid", "aspect", F.col("rank").cast("long").alias("rank"), "term", *r6("sim"))
+
+
+def _expanded(schema):
+    def run(spark, d):
+        i = index(spark, d)
+        rows = ex.expand(english(spark, d), i.terms, vocabulary(spark, d, i), schema)
+        return rows.select("qid", "aspect", "anchor", F.col("place").cast("long").alias("place"), "term", *r6("weight"), F.col("reps").cast("long").alias("reps"))
+
+    return run
+
+
+def _expansion_sql(anchor_weight, anchor_reps, weight, cap):
+    return f"""WITH {SIMS}, mq AS (SELECT qid, max(idf) AS mqi FROM anch GROUP BY qid),
+base AS (SELECT a.qid, a.aspect, a.anchor, a.idf, m.mqi, mx.top, least(4, greatest(2, round_even(round(2 + 2 * a.idf / m.mqi, 9), 0)))::BIGINT AS tier FROM anch a JOIN mq m USING (qid), mx),
+own AS (SELECT *, {anchor_weight} AS aw, {cap} AS cap FROM base),
+ranked AS (SELECT o.*, c.term, {weight} AS weight, row_number() OVER (PARTITION BY o.qid, o.aspect ORDER BY round({weight}, 9) DESC, c.rank) AS place FROM cand c JOIN own o USING (qid, aspect))
+SELECT qid, aspect, anchor, 0::BIGINT AS place, anchor AS term, round(aw, 6) AS weight, ({anchor_reps})::BIGINT AS reps FROM own
+UNION ALL SELECT qid, aspect, anchor, place, term, round(weight, 6), 1 FROM ranked WHERE place <= cap"""
+
+
+_W = "least(0.95, c.sim * (0.5 + 0.5 * c.term_idf / o.top))"
+for _name, _schema, _args in (
+    ("expand_schema1", "1", ("1.0", "3", _W, "2")),
+    ("expand_schema2", "2", ("least(1.0, greatest(0.5, idf / mqi))", "CASE WHEN aw >= 0.99 THEN 3 WHEN aw >= 0.7 THEN 2 ELSE 1 END", "least(0.9, 0.5 * c.sim * o.aw)", "2")),
+    ("expand_schema5a", "5a", ("1.0", "3", _W, "least(5, greatest(1, tier - 1))")),
+    ("expand_schema5b", "5b", ("1.0", "tier", _W, "least(5, greatest(1, tier - 1))")),
+):
+    _QUERIES[_name], _SQL[_name] = _expanded(_schema), _expansion_sql(*_args)
+for _name, _schema in (("expand_schema4", "4"), ("expand_schema6a", "6a"), ("expand_schema6b", "6b")):
+    _QUERIES[_name] = _expanded(_schema)
+
+
+@query()
+def expand_schema3(spark, d):
+    i, q = index(spark, d), english(spark, d)
+    first = sc.top_k(sc.bm25_lucene(i, sc.query_terms(q)), 10)
+    vocab = ex.local_terms(q, i, first, lambda pool: _phrase_idf(pool, i), 300)
+    return ex.expand(q, i.terms, vocab, "1").select("qid", "aspect", "anchor", "place", "term", *r6("weight"), "reps")
+
+
+@query(f"WITH {ANCHORS} SELECT qid, anchor AS term, 3.0::DOUBLE AS w FROM anch")
+def qaug_tokens(spark, d):
+    i, q = index(spark, d), english(spark, d)
+    only = ex.expand(q, i.terms, vocabulary(spark, d, i).limit(0), "1")
+    return ex.augmented_terms(only)
+
+
+@query()
+def expansion_telemetry(spark, d):
+    i = index(spark, d)
+    return ex.telemetry(ex.expand(english(spark, d), i.terms, vocabulary(spark, d, i), "5b"))
+
+
+@query(f"""WITH {scored_sql(LUCENE)}, h AS (SELECT qid, ord FROM top WHERE rank <= 3),
+t AS (SELECT h.qid, p.term, sum(p.tf)::BIGINT AS tf FROM h JOIN post p USING (ord) WHERE length(p.term) > 3 AND NOT EXISTS (SELECT 1 FROM q WHERE q.qid = h.qid AND q.term = p.term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tf DESC, term) AS nth FROM t),
+k AS (SELECT qid, term, tf, tf / max(tf) OVER (PARTITION BY qid) AS x FROM r WHERE nth <= 3)
+SELECT qid, term, tf, round_even(x, 2) AS weight FROM k""")
+def prf_terms(spark, d):
+    return ex.prf_terms(lucene_hits(spark, d, 3), index(spark, d), sc.query_terms(asked(spark, d)).select("qid", "term"))
+
+
+# Routing, reranking, late expansion.
+
+ROUTE = f"""{scored_sql(LUCENE)}, t10 AS (SELECT t.qid, t.ord, t.rank, t.score, lower(d.text) AS low FROM top t JOIN documents d ON d.doc_id = t.ord WHERE rank <= 10),
+asp AS (SELECT DISTINCT qid, term FROM q), na AS (SELECT qid, count(*) AS n FROM asp GROUP BY qid),
+mt AS (SELECT t.qid, t.ord, count(*) AS m FROM t10 t JOIN asp a ON a.qid = t.qid AND contains(t.low, a.term) GROUP BY ALL),
+rt AS (SELECT t.*, coalesce(m, 0) / greatest(n, 1) AS alpha, score / max(score) OVER (PARTITION BY t.qid) AS nrm FROM t10 t LEFT JOIN mt USING (qid, ord) LEFT JOIN na ON na.qid = t.qid),
+routed AS (SELECT qid, ord, rank, score, alpha, nrm * (0.5 + 0.5 * alpha) AS score_route FROM rt)"""
+
+
+def _routed(spark, d):
+    hits = sc.with_text(lucene_hits(spark, d), chunks(spark, d).select("ord", "text"))
+    aspects = sc.query_terms(asked(spark, d)).select("qid", F.col("term").alias("aspect"), "term")
+    return rt.cascade(hits, aspects)
+
+
+@query(f"""WITH {ROUTE} SELECT qid, ord, rank, round(score_route, 6) AS score_route, round(alpha, 6) AS alpha,
+CASE WHEN round(score_route, 12) >= 0.75 THEN 'bypass' WHEN round(score_route, 12) < 0.15 THEN 'discard' ELSE 'rerank' END AS decision FROM routed""")
+def route_bm25_cascade(spark, d):
+    return _routed(spark, d).select("qid", "ord", F.col("rank").cast("long").alias("rank"), *r6("score_route", "alpha"), "decision")
+
+
+def _samples(spark):
+    """The five literal chunks of the routing fixture, and a query's aspects."""
+    rows = [("doc1_chunk1", 150, 0, 1.0, 40, {"adobe creative cloud": 1.0}), ("doc1_chunk2", 200, 0, 0.8, 150, {"adobe creative cloud": 1.0, "revenue": 0.5}), ("doc2_chunk1", 50, 0, 1.0, 5, {"ai": 1.0}),
+            ("doc3_chunk1", 500, 0, 0.5, 20, {"marketing": 0.5}), ("doc3_chunk1", 500, 1, 0.6, 10, {"creative": 0.6}), ("doc4_chunk1", 300, 0, 0.1, 2, {"cloud": 0.1})]
+    samples = spark.createDataFrame(rows, "chunk_id string, chunk_length int, at int, weight double, length int, aspects map<string,double>")
+    aspects = spark.createDataFrame([("adobe creative cloud", 1.0), ("revenue", 0.5), ("ai", 1.0), ("marketing", 0.5), ("creative", 0.6)], "aspect string, weight double")
+    return samples, aspects
+
+
+FIXTURE = """s(chunk_id, len, nth, w, l, aspects) AS (VALUES ('doc1_chunk1', 150, 0, 1.0, 40, ['adobe creative cloud']), ('doc1_chunk2', 200, 0, 0.8, 150, ['adobe creative cloud', 'revenue']), ('doc2_chunk1', 50, 0, 1.0, 5, ['ai']),
+ ('doc3_chunk1', 500, 0, 0.5, 20, ['marketing']), ('doc3_chunk1', 500, 1, 0.6, 10, ['creative']), ('doc4_chunk1', 300, 0, 0.1, 2, ['cloud'])),
+aw(aspect, v) AS (VALUES ('adobe creative cloud', 1.0), ('revenue', 0.5), ('ai', 1.0), ('marketing', 0.5), ('creative', 0.6)),
+al AS (SELECT chunk_id, coalesce(sum(v), 0) / (SELECT sum(v) FROM aw) AS alpha FROM (SELECT chunk_id, unnest(aspects) AS aspect FROM s) LEFT JOIN aw USING (aspect) GROUP BY chunk_id),
+fe AS (SELECT chunk_id, max(w * l)::DOUBLE AS best, sum(w * l)::DOUBLE AS total, max(len) AS len FROM s GROUP BY chunk_id)"""
+
+
+@query(f"""WITH {FIXTURE}, x AS (SELECT chunk_id, alpha::DOUBLE * (best / len + total / len) AS score FROM fe JOIN al USING (chunk_id))
+SELECT chunk_id, round(score, 6) AS score, CASE WHEN score > 0.75 THEN 'bypass' WHEN score >= 0.1 THEN 'rerank' ELSE 'discard' END AS decision FROM x""")
+def route_additive(spark, d):
+    return rt.additive(*_samples(spark)).select("chunk_id", *r6("score"), "decision")
+
+
+@query(f"""WITH {FIXTURE}, x AS (SELECT chunk_id, alpha::DOUBLE AS alpha, total / len AS mu, best / total AS phi FROM fe JOIN al USING (chunk_id))
+SELECT chunk_id, round(alpha, 6) AS alpha, round(mu, 6) AS mu, round(phi, 6) AS phi, round(alpha * (mu + phi - mu * phi), 6) AS score,
+CASE WHEN alpha < 0.05 OR mu < 0.01 THEN 'discard' WHEN alpha >= 0.4 AND (mu >= 0.1 OR phi >= 0.5) THEN 'bypass' ELSE 'rerank' END AS decision FROM x""")
+def route_mass_focus(spark, d):
+    return rt.mass_focus(*_samples(spark), **PERMISSIVE).select("chunk_id", *r6("alpha", "mu", "phi", "score"), "decision")
+
+
+PERMISSIVE = dict(tau_alpha=0.4, tau_mu=0.1, tau_phi=0.5, alpha_low=0.05, mu_low=0.01, n_max=5, top_k=10)
+SWEEP = {"Strict": dict(tau_alpha=0.9, tau_mu=0.5, tau_phi=0.9, alpha_low=0.3, mu_low=0.1, n_max=2, top_k=3), "Balanced": dict(tau_alpha=0.7, tau_mu=0.3, tau_phi=0.8, alpha_low=0.1, mu_low=0.02, n_max=3, top_k=5), "Permissive": PERMISSIVE}
+
+
+@query("""SELECT * FROM (VALUES ('Strict', 0::BIGINT, 1::BIGINT, 4::BIGINT), ('Balanced', 0, 4, 1), ('Permissive', 1, 3, 1)) v(setting, bypass, rerank, discard)""")
+def route_sensitivity(spark, d):
+    return rt.sensitivity(*_samples(spark), SWEEP)
+
+
+@query()
+def snippet_extract(spark, d):
+    hits = sc.with_text(lucene_hits(spark, d, 3), chunks(spark, d).select("ord", "text")).join(asked(spark, d), "qid")
+    return hits.select("qid", "ord", rr.snippet(F.col("text"), tx.query_words(F.col("query"))).alias("snippet"))
+
+
+@query(f"WITH {scored_sql(LUCENE)} SELECT qid, ord, rank AS position FROM top WHERE rank <= 5")
+def rerank_fallback(spark, d):
+    return rr.by_score(lucene_hits(spark, d)).select("qid", "ord", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {ROUTE}, f AS (SELECT *, CASE WHEN round(score_route, 12) >= 0.75 THEN 0 ELSE 1 END AS lane FROM routed WHERE round(score_route, 12) >= 0.15),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, lane ORDER BY CASE WHEN lane = 0 THEN rank END, round(score, 9) DESC, ord) AS nth FROM f),
+p AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY lane, nth) AS position FROM k WHERE lane = 0 OR nth <= 5)
+SELECT qid, position, ord, length(text) AS length FROM p JOIN documents d ON d.doc_id = p.ord WHERE position <= 10""")
+def late_expand(spark, d):
+    routed = _routed(spark, d)
+    queue = rr.by_score(routed.filter("decision = 'rerank'"))
+    done = rr.late(rr.targets(routed, queue), chunks(spark, d))
+    return done.select("qid", F.col("position").cast("long").alias("position"), "ord", F.length("text").cast("long").alias("length"))
+
+
+# Lexical search.
+
+PATTERNS = [("license", "legal", 1.0), ("th", "noise", 0.1), ("idiot", "abuse", 0.8), ("version", "legal", 0.6)]
+HITS = """pat(term, aspect, weight) AS (VALUES ('license', 'legal', 1.0), ('th', 'noise', 0.1), ('idiot', 'abuse', 0.8), ('version', 'legal', 0.6)),
+lowd AS (SELECT doc_id AS ord, lower(text) AS low FROM documents WHERE length(text) < 3000),
+occ AS (SELECT ord, term, aspect, weight::DOUBLE AS weight, length(low) AS length, unnest(list_filter(range(1, length(low) - length(term) + 2), lambda i: substr(low, i, length(term)) = term)) - 1 AS start FROM lowd, pat WHERE contains(low, term))"""
+
+
+def _short(spark, d):
+    return chunks(spark, d).filter(F.length("text") < 3000)
+
+
+def _occurrences(spark, d):
+    return lx.occurrences(_short(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
+
+
+@query(f'WITH {HITS} SELECT ord, term, aspect, start, start + length(term) - 1 AS "end" FROM occ')
+def lexical_hits(spark, d):
+    return _occurrences(spark, d).select("ord", "term", "aspect", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(f"""WITH {HITS}, win AS (SELECT ord, aspect, weight, greatest(0, (2 * start + length(term) - 1) // 2 - 100) AS lo, least(length, (2 * start + length(term) - 1) // 2 + 100) AS hi FROM occ),
+a AS (SELECT *, max(hi) OVER (PARTITION BY ord ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM win),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM a),
+g AS (SELECT ord, island::BIGINT AS island, min(lo) AS lo, max(hi) AS hi, max(weight) AS max_weight, list_sort(list_distinct(list(aspect))) AS aspects FROM b GROUP BY ALL)
+SELECT g.ord, island, hi - lo AS length, max_weight, aspects, md5(substr(text, lo + 1, hi - lo)) AS digest FROM g JOIN documents d ON d.doc_id = g.ord""".replace("substr(text, lo + 1, hi - lo)", "substr(d.text, g.lo + 1, g.hi - g.lo)"))
+def interval_merge(spark, d):
+    found = lx.samples(_short(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
+    return found.select("ord", F.col("island").cast("long").alias("island"), "length", "max_weight", "aspects", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# Chunking, at a scale at which these documents have several chunks.
+
+PARENTS = """tk AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS t FROM documents),
+par AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil((len(t) - 300) / 300) AS BIGINT), 0) + 1)) AS i, t FROM tk WHERE len(t) > 0),
+pt AS (SELECT doc_id, i, doc_id || '_block' || i AS parent_id, t[i * 300 + 1:i * 300 + 300] AS t FROM par)"""
+
+
+def _parents(spark, d):
+    return ch.parents(table(spark, d, "documents").select("doc_id", "text"), 300)
+
+
+@query(f"WITH {PARENTS} SELECT doc_id, parent_id, len(t) AS token_count, md5(array_to_string(t, ' ')) AS digest FROM pt")
+def chunk_parent(spark, d):
+    return _parents(spark, d).select("doc_id", "parent_id", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {PARENTS}, c AS (SELECT doc_id, parent_id, unnest(range(0, greatest(CAST(ceil((len(t) - 100) / 90) AS BIGINT), 0) + 1)) AS k, t FROM pt)
+SELECT doc_id, parent_id, parent_id || '_chunk' || k AS chunk_id, len(t[k * 90 + 1:k * 90 + 100]) AS token_count, md5(array_to_string(t[k * 90 + 1:k * 90 + 100], ' ')) AS digest FROM c""")
+def chunk_child(spark, d):
+    rows = ch.children(_parents(spark, d), 100, 10)
+    return rows.select("doc_id", "parent_id", "chunk_id", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {PARENTS}, n AS (SELECT doc_id, i, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM pt),
+b AS (SELECT doc_id, doc_id || '_bridge' || i || '-' || (i + 1) AS chunk_id, list_concat(t[greatest(len(t) - 49, 1):], x[1:50]) AS j FROM n WHERE x IS NOT NULL)
+SELECT doc_id, chunk_id, len(j) AS token_count, md5(array_to_string(j, ' ')) AS digest FROM b""")
+def chunk_bridge(spark, d):
+    rows = ch.bridges(_parents(spark, d), 50)
+    return rows.select("doc_id", "chunk_id", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# Metrics and benchmark checks. Gold: documents that contain a benchmark text.
+
+GOLD = """nd AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), ' ') AS x FROM documents),
+nb AS (SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''), ' ') AS x FROM benchmark),
+gold AS (SELECT nb.item_id AS qid, nd.doc_id AS ord FROM nb JOIN nd ON contains(nd.x, nb.x))"""
+
+
+def gold(spark, d):
+    docs = chunks(spark, d).select("ord", tx.normalised(F.col("text")).alias("x"))
+    return docs.join(sc.small(asked(spark, d).select("qid", tx.normalised(F.col("query")).alias("y"))), F.contains(F.col("x"), F.col("y"))).select("qid", "ord")
+
+
+PER_QUERY = f"""{scored_sql(LUCENE)}, {GOLD},
+m AS (SELECT t.qid, t.rank, g.ord IS NOT NULL AS hit FROM top t LEFT JOIN gold g ON g.qid = t.qid AND g.ord = t.ord WHERE t.rank <= 10),
+per AS (SELECT qid, count(*) AS retrieved, count(*) FILTER (hit) AS found, min(rank) FILTER (hit) AS first_gold_rank FROM m GROUP BY qid),
+gs AS (SELECT qid, count(*) AS gold FROM gold GROUP BY qid),
+pq AS (SELECT b.item_id AS qid, coalesce(retrieved, 0) AS retrieved, coalesce(found, 0) AS found, coalesce(g.gold, 0) AS gold, first_gold_rank FROM benchmark b LEFT JOIN per p ON p.qid = b.item_id LEFT JOIN gs g ON g.qid = b.item_id)"""
+
+
+def _metrics(spark, d):
+    return mt.at_k(lucene_hits(spark, d), gold(spark, d), asked(spark, d))
+
+
+@query(f"""WITH {PER_QUERY} SELECT qid, round(CASE WHEN retrieved > 0 THEN found / retrieved ELSE 0 END, 6) AS precision, round(found / 10, 6) AS precision_at_k, round(CASE WHEN gold > 0 THEN found / gold ELSE 1 END, 6) AS recall FROM pq""")
+def precision_recall_at_k(spark, d):
+    return _metrics(spark, d).select("qid", *r6("precision", "precision_at_k", "recall"))
+
+
+@query(f"""WITH {PER_QUERY} SELECT qid, first_gold_rank, CASE WHEN found > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS strict, round(coalesce(1 / first_gold_rank, 0), 6) AS mrr, CASE WHEN found = gold THEN 1.0 ELSE 0.0 END::DOUBLE AS complete FROM pq""")
+def strict_mrr_at_k(spark, d):
+    return _metrics(spark, d).select("qid", F.col("first_gold_rank").cast("long").alias("first_gold_rank"), "strict", *r6("mrr"), "complete")
+
+
+@query(f"""WITH {PER_QUERY} SELECT round(avg(CASE WHEN retrieved > 0 THEN found / retrieved ELSE 0 END), 6) AS precision, round(avg(CASE WHEN gold > 0 THEN found / gold ELSE 1 END), 6) AS recall, round(avg(coalesce(1 / first_gold_rank, 0)), 6) AS mrr FROM pq""")
+def mean_metrics(spark, d):
+    return mt.means(_metrics(spark, d)).select(*r6("precision", "recall", "mrr"))
+
+
+@query(f"""WITH {PER_QUERY} SELECT b.source AS source, count(DISTINCT t.ord) AS docs FROM top t JOIN documents b ON b.doc_id = t.ord WHERE t.rank <= 10 GROUP BY ALL""")
+def doc_recall(spark, d):
+    hits = lucene_hits(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "source"), "ord")
+    return hits.groupBy("source").agg(F.countDistinct("ord").alias("docs"))
+
+
+@query("SELECT doc_id, round(CASE WHEN n_chars // 200 = 0 THEN 'inf'::DOUBLE ELSE n_chars / (n_chars // 200) END, 6) AS ratio FROM documents")
+def compression_ratio(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(mt.compression_ratio(F.col("n_chars"), F.floor(F.col("n_chars") / 200)), 6).alias("ratio"))
+
+
+PAIRS = """p AS (SELECT a.item_id AS left_id, b.item_id AS right_id, list_distinct(regexp_extract_all(lower(a.text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS x, list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+j AS (SELECT left_id, right_id, CASE WHEN len(x) + len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END AS overlap FROM p)"""
+
+
+def _neighbours(spark, d):
+    b = table(spark, d, "benchmark")
+    right = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("right_id"), F.col("text").alias("other"))
+    return b.join(right, "item_id").select(F.col("item_id").alias("left_id"), "right_id", tx.jaccard(tx.word_tokens(F.col("text")), tx.word_tokens(F.col("other"))).alias("overlap"))
+
+
+@query(f"WITH {PAIRS} SELECT left_id, right_id, round(overlap, 6) AS overlap FROM j")
+def jaccard_overlap(spark, d):
+    return _neighbours(spark, d).select("left_id", "right_id", *r6("overlap"))
+
+
+@query(f"WITH {PAIRS} SELECT left_id, round_even(overlap, 3) AS overlap, CASE WHEN overlap > 0.8 THEN 'low_gap' WHEN overlap < 0.2 THEN 'high_gap' ELSE 'good' END AS label FROM j")
+def paraphrase_label(spark, d):
+    return _neighbours(spark, d).select("left_id", F.bround("overlap", 3).alias("overlap"), tx.overlap_label(F.col("overlap")).alias("label"))
+
+
+@query()
+def aspect_coverage(spark, d):
+    i = index(spark, d)
+    words = ex.anchors(english(spark, d), i.terms).groupBy("qid").agg(F.collect_list("anchor").alias("generated"))
+    rows = words.join(asked(spark, d), "qid")
+    goal = tx.query_words(F.col("query"))
+    return rows.select("qid", F.round(mt.coverage(F.col("generated"), goal), 6).alias("coverage"), F.round(mt.keyword_jaccard(F.col("generated"), goal), 6).alias("keyword_jaccard"), mt.acronym_retention(F.col("query"), F.col("generated")).alias("retention"), mt.stopword_terms(F.col("generated")).alias("stopwords"))
+
+
+def _relevance(spark, d):
+    hits = sc.with_text(lucene_hits(spark, d, 5), chunks(spark, d)).join(asked(spark, d), "qid")
+    quote = F.array(F.substring("query", 1, 60), F.array_join(F.slice(F.split("query", " "), 1, 4), " "))
+    return hits.select("qid", "chunk_id", bm.relevance(quote, F.col("query"), F.substring("query", 1, 40), F.col("text")).alias("score"))
+
+
+@query()
+def chunk_relevance(spark, d):
+    return _relevance(spark, d).select("qid", "chunk_id", *r6("score"))
+
+
+@query()
+def core_chunk_select(spark, d):
+    return bm.core_chunks(_relevance(spark, d)).select("qid", "chunk_id", *r6("score"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_filter_queries(spark, d):
+    good = table(spark, d, "labels").filter("quality = 1")
+    return table(spark, d, "documents").select("doc_id", "source").join(good, "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
+def anti_distractors(spark, d):
+    return bm.missing(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id").orderBy("doc_id").limit(50)
+
+
+@query(f"WITH {GOLD} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT qid FROM gold)")
+def inclusion_check(spark, d):
+    return bm.missing(table(spark, d, "benchmark").select("item_id"), gold(spark, d).select(F.col("qid").alias("item_id")), "item_id")
+
+
+@query("""SELECT conv_id AS qid, count(DISTINCT turn // 2) AS blocks, count(DISTINCT turn // 2) > 1 AS multi FROM conversations GROUP BY conv_id""")
+def multi_block_check(spark, d):
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.concat(F.lit("d_block"), F.floor(F.col("turn") / 2).cast("string"), F.lit("_chunk"), F.col("turn").cast("string")).alias("chunk_id"))
+    return bm.multi_block(turns)
+
+
+@query("""WITH m AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_gold FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY is_gold DESC, doc_id) AS nth FROM m)
+SELECT doc_id, source, is_gold FROM r WHERE nth <= 20""")
+def stress_corpus(spark, d):
+    toxic = table(spark, d, "labels").filter("toxic = 1")
+    return bm.stress_corpus(table(spark, d, "documents").select("doc_id", "source"), toxic, 20).select("doc_id", "source", "is_gold")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def resume_anti_join(spark, d):
+    done = table(spark, d, "documents").filter("lang = 'en'")
+    return bm.missing(table(spark, d, "labels").select("doc_id"), done, "doc_id")
+
+
+@query()
+def dedup_queries(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), (F.col("vec_id") % 25).alias("grp"), F.col("embedding").alias("vec"))
+    return bm.distinct_queries(v, "grp", 0.5)
