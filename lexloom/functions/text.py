@@ -29,6 +29,11 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end (``trim`` takes spaces only)."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def whitespace_tokens(text: Column) -> Column:
     """Lower-cased, split at white space; punctuation stays."""
     return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
@@ -72,7 +77,7 @@ def wide_entities(query: Column) -> Column:
     """Also runs of capitalised words and single quotes; trimmed, lower-cased, distinct."""
     names = F.regexp_extract_all(query, F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), F.lit(0))
     single = F.regexp_extract_all(query, F.lit(r"'([^']+)'"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(F.concat(entities(query), names, single), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(entities(query), names, single), lambda x: F.lower(strip(x))), lambda x: x != ""))
 
 
 def non_entity_words(query: Column) -> Column:
@@ -87,7 +92,7 @@ def without_stopwords(query: Column) -> Column:
 
 def citation_ratio(text: Column) -> Column:
     """Share of lines with words that look like citations; zero without lines."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
     return F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(CITATION))) / F.size(lines)).otherwise(0.0)
 
 
@@ -116,14 +121,14 @@ def normalised(text: Column) -> Column:
 
 def unfenced(text: Column) -> Column:
     """Model output without a Markdown code fence."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
 def json_part(text: Column) -> Column:
     """The JSON of model output: thoughts dropped, then the fenced block, then the widest array or object."""
     thought = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
     pick = lambda p, g: F.nullif(F.regexp_extract(thought, p, g), F.lit(""))
-    return F.trim(F.coalesce(pick(r"(?s)```(?:json)?\s*(.*?)```", 1), pick(r"(?s)\[.*\]", 0), pick(r"(?s)\{.*\}", 0), thought))
+    return strip(F.coalesce(pick(r"(?s)```(?:json)?\s*(.*?)```", 1), pick(r"(?s)\[.*\]", 0), pick(r"(?s)\{.*\}", 0), thought))
 
 
 def parent_block(chunk_id: Column, parent_id: Column | None = None) -> Column:

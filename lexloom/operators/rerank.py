@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexloom.functions import text as tx
@@ -32,8 +33,9 @@ def apply_order(hits: DataFrame, answers: DataFrame, k: int = 5) -> DataFrame:
     Chunks it leaves out follow by score; names it invents are dropped.
     """
     alias = hits.select("qid", "ord", "chunk_id", F.concat(F.lit("doc_"), F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).alias("alias"))
-    named = answers.select("qid", F.posexplode("ids").alias("at", "name"))
-    hit = named.join(alias, (named.qid == alias.qid) & ((F.col("name") == F.col("alias")) | (F.col("name") == F.col("chunk_id")))).select(alias.qid, "ord", "at")
+    named = answers.select(F.col("qid").alias("asked"), F.posexplode("ids").alias("at", "name"))
+    meant = (F.col("asked") == F.col("qid")) & ((F.col("name") == F.col("alias")) | (F.col("name") == F.col("chunk_id")))
+    hit = named.join(alias, meant).select("qid", "ord", "at")
     placed = hits.join(hit.groupBy("qid", "ord").agg(F.min("at").alias("at")), ["qid", "ord"], "left")
     order = Window.partitionBy("qid").orderBy(F.col("at").asc_nulls_last(), F.desc(F.round("score", 9)), "ord")
     return placed.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).drop("at")
@@ -45,7 +47,7 @@ def ask(rows: DataFrame, prompt: Column, model: Callable[[str], str], name: str
     The callable runs in the Python workers, one batch at a time.
     """
     prompted = rows.withColumn("prompt", prompt)
-    schema = prompted.schema.add(name, "string")
+    schema = T.StructType([*prompted.schema.fields, T.StructField(name, T.StringType())])
 
     def call(p):
         try:
