@@ -198,10 +198,12 @@ def _mark_rows(batch):
         items = _items(batch)
         for rows in batches:
             leak = np.zeros(rows.num_rows, bool)
-            for lo, data, offs in bs.chunks(rows.column(1)):
+            for lo, data, offs in bs.chunks(rows.column(0).field("text")):
                 for r, _ in items.find(data, offs):
                     leak[lo + r] = True
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(leak)], names=["row", "scanned_text", "leak"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(leak)], names=["row", "leak"])
+            del rows
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -236,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` in which no item is found, with all their columns."""
     for batch in _batches(benchmark, similarity):
-        packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("scanned_text"))
-        schema = f"row {packed.schema['row'].dataType.simpleString()}, scanned_text string, leak boolean"
+        packed = docs.select(F.struct(*docs.columns).alias("row"))
+        schema = f"row {packed.schema['row'].dataType.simpleString()}, leak boolean"
         docs = packed.mapInArrow(_mark_rows(batch), schema).filter("not leak").select("row.*")
     return docs

@@ -363,7 +363,7 @@ def cut_repeats(docs: DataFrame, depth: int = 200, digit: int = 40) -> DataFrame
     runs = runs.groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("windows").alias("windows"))
     joined = keyed.join(runs.hint("shuffle_hash"), "key", "left").select("row", "text", "first", "windows")
     ddl = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    cut = joined.mapInArrow(_cut(depth, True), ddl).filter("n_removed = 0 or trim(kept_text) <> ''")
+    cut = joined.mapInArrow(_cut(depth, True), ddl).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     columns = []
     for c in docs.columns:
         value = F.col("row").getField(c)

@@ -160,16 +160,22 @@ def fit(sample: DataFrame):
 
 
 def _score(model):
+    """Scores of rows that end in their text, or of structs with a field of that name."""
+
     def run(batches):
         weights, b = model.value
         active = weights != 0
         for batch in batches:
+            packed = batch.schema.names == ["row"]
+            text = batch.column(0).field("text") if packed else batch.column(batch.num_columns - 1)
             z = np.full(batch.num_rows, b)
-            for lo, data, offs in bs.chunks(batch.column(batch.num_columns - 1)):
+            for lo, data, offs in bs.chunks(text, 1 << 20):
                 f = row_features(data, offs, active)
                 z[lo : lo + len(offs) - 1] += np.bincount(f >> BITS, weights=weights[f & ((1 << BITS) - 1)], minlength=len(offs) - 1)
-            rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sigmoid(z))], names=[*batch.schema.names[:-1], "score"])
+            rest = batch.columns if packed else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(sigmoid(z))], names=[*batch.schema.names[: len(rest)], "score"])
+            del batch, text, rest
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -194,7 +200,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Dat
     The text is scored inside its own row, so nothing is joined back.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic", 5, 0, max_rows)))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("scored_text"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
     scored = packed.mapInArrow(_score(model), schema)
     return scored.filter("score < 0.5").select("row.*")
