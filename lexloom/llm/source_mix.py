@@ -176,19 +176,46 @@ def allotted(docs: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("room") - ahead)).cast("long"))
 
 
+def deal(docs: DataFrame, shards: int = 16, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows as in ``allotted``, numbered ``nth`` among rows alike, and the items dealt of them.
+
+    An item is one copy of a row, whole or cut: (key, nth, mix_shard, mix_order, mix_words,
+    mix_cut). Its shard is the one whose run of its source's blocks holds it; an item in no
+    run is not dealt.
+    """
+    alike = Window.partitionBy("key").orderBy("extra", "rank")
+    rows = checkpointed(allotted(docs, most).withColumn("nth", F.row_number().over(alike)).select("doc_id", "key", "nth", "place", "rank", "blocks", "copies", "size", "extra", "source_size", "target"))
+    live = rows.filter("size > 0 and (copies > 0 or extra > 0)")
+    # A source's blocks, once per whole copy, and then those that the rest reaches.
+    partial = F.coalesce(F.max(F.when(F.col("extra") > 0, F.col("rank"))), F.lit(0))
+    quotas = live.groupBy("place").agg((F.max("copies") * F.max("blocks") + partial).cast("long").alias("quota"))
+    runs = split(quotas, shards).filter("n > 0").groupBy(F.col("place").alias("run_place")).agg(F.sort_array(F.collect_list(F.struct("first", "n", "shard"))).alias("runs"))
+    last = F.col("copies") - F.when(F.col("extra") > 0, 0).otherwise(1)
+    items = live.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    items = items.join(runs, F.col("place") == F.col("run_place")).withColumn("item", F.col("copy") * F.col("blocks") + F.col("rank") - 1)
+    shard = F.aggregate("runs", F.lit(None).cast("int"), lambda a, r: F.when((r.first <= F.col("item")) & (F.col("item") < r.first + r.n), r.shard).otherwise(a))
+    items = items.select(
+        "key", "nth", shard.alias("mix_shard"), F.xxhash64(F.lit(SEED + 3), "key", "nth", "copy").alias("mix_order"),
+        F.when(F.col("copy") < F.col("copies"), F.col("size")).otherwise(F.col("extra")).alias("mix_words"), (F.col("copy") >= F.col("copies")).alias("mix_cut"),
+    )
+    return rows, checkpointed(items.filter("mix_shard is not null"))
+
+
 def taken(docs: DataFrame, most: int = 3) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
 
-    ``taken`` counts words with repeats: each source's sum is its target rounded down, and
-    no row gives more than ``most`` times its size.
+    ``taken`` counts words with repeats, summed over the items that the splitting tree deals
+    to shards: each source's sum is its target rounded down, and no row gives more than
+    ``most`` times its size.
 
     A null text has no words, is taken zero times and changes nothing; a null source is a
     source of its own, ordered last; null and repeated doc_ids share a block and differ by
     text; rows alike in id, text and source are taken alike up to their order; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = allotted(docs, most)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    rows, items = deal(docs, most=most)
+    sums = items.groupBy("key", "nth").agg(F.sum("mix_words").alias("dealt_words"))
+    return rows.join(sums, ["key", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("dealt_words", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, shards: int = 16, most: int = 3) -> DataFrame:
@@ -199,21 +226,7 @@ def mix(docs: DataFrame, shards: int = 16, most: int = 3) -> DataFrame:
     permutation by hash, is its local shuffle. Rows without words are not taken. Edge
     cases are those of ``taken``.
     """
-    rows = allotted(docs, most).filter("size > 0 and (copies > 0 or extra > 0)")
-    alike = Window.partitionBy("key").orderBy("extra", "rank")
-    rows = checkpointed(rows.withColumn("nth", F.row_number().over(alike)).select("key", "nth", "place", "rank", "blocks", "copies", "size", "extra"))
-    # A source's blocks, once per whole copy, and then those that the rest reaches.
-    partial = F.coalesce(F.max(F.when(F.col("extra") > 0, F.col("rank"))), F.lit(0))
-    quotas = rows.groupBy("place").agg((F.max("copies") * F.max("blocks") + partial).cast("long").alias("quota"))
-    runs = split(quotas, shards).filter("n > 0").groupBy(F.col("place").alias("run_place")).agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("runs"))
-    last = F.col("copies") - F.when(F.col("extra") > 0, 0).otherwise(1)
-    items = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    items = items.join(runs, F.col("place") == F.col("run_place")).withColumn("item", F.col("copy") * F.col("blocks") + F.col("rank") - 1)
-    shard = F.aggregate("runs", F.lit(0), lambda a, r: F.when(r.first <= F.col("item"), r.shard).otherwise(a))
-    items = items.select(
-        F.col("key").alias("mix_key"), F.col("nth").alias("mix_item_nth"), shard.alias("mix_shard"), F.xxhash64(F.lit(SEED + 3), "key", "nth", "copy").alias("mix_order"),
-        F.when(F.col("copy") < F.col("copies"), F.col("size")).otherwise(F.col("extra")).alias("mix_words"), (F.col("copy") >= F.col("copies")).alias("mix_cut"),
-    )
+    items = deal(docs, shards, most)[1].withColumnsRenamed({"key": "mix_key", "nth": "mix_item_nth"})
     named = docs.withColumn("mix_key", F.xxhash64("doc_id", "text", "source"))
     named = named.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")))
     # Rows alike share a key; the difference keeps the join on the key alone.

@@ -75,6 +75,17 @@ def test_mix_is_what_was_taken(spark):
     assert min(per) > 0
 
 
+def test_taken_counts_what_the_tree_deals(spark, monkeypatch):
+    txt, src = corpus(300)
+    docs = documents(spark, txt, src)
+    want = {r.doc_id: r.taken for r in sm.taken(docs).collect()}
+    whole = sm.split
+    monkeypatch.setattr(sm, "split", lambda quotas, shards: whole(quotas, shards).filter("shard <> 15"))
+    got = {r.doc_id: r.taken for r in sm.taken(docs).collect()}
+    lost = {k for k in want if got[k] < want[k]}
+    assert lost and got.keys() == want.keys() and all(got[k] == want[k] for k in want.keys() - lost)
+
+
 def test_draws_follow_the_distribution(spark):
     df = spark.range(20001).select(sm.hypergeometric(F.lit(30).cast("long"), F.lit(70).cast("long"), F.lit(40).cast("long"), F.col("id") / 20001).alias("x"))
     got = {r.x: r["count"] / 20001 for r in df.groupBy("x").count().collect()}
