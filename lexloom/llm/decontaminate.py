@@ -4,15 +4,16 @@ Texts and benchmark items are sequences of lower-cased words (letters and digits
 random walk maps a window to a longer sequence: at step j it writes the word under its
 pointer and moves on if a random bit of (j, word) is set, so windows a few edits apart
 fall back into step and agree in most places: edit distance becomes Hamming distance.
-Bit sampling then keeps ``SAMPLED`` places of the walk as a key; ``ROUNDS`` independent
-walks and samples reach the target recall.
+Bit sampling then keeps ``SAMPLED`` places of the walk as a key. ``ROUNDS`` independent
+walks and samples are joined into one key: windows alike agree in all of them, windows
+unlike seldom do.
 
-Windows have the size of half an item (three to four size classes, never longer than
-that): a text is cut into windows one size apart, an item into windows at every offset.
-Any run of an item's length contains a whole window of the text, so an unedited passage
-always meets, and an edited one meets through whichever of its windows were edited
-least. Each meeting is verified by the exact edit distance, over words, between the
-whole item and the best fitting run of the text around it.
+The target is to meet every pair within the allowed edits. An item of n words with k edits
+keeps a run of ceil((n - k) / (k + 1)) words or more as they were, wherever the edits fall.
+An item's windows have at most that size, and texts and items are cut into windows at
+every offset, so this run is a window of both and its keys agree whatever the coins. Each
+meeting is verified by the exact edit distance, over words, between the whole item and the
+best fitting run of the text around it.
 
 The items' keys are broadcast in batches of at most ``MAX_ITEMS`` items; each batch is one
 pass. No text is shuffled.
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from lexloom.llm import bytescan as bs
 
 U64 = np.uint64
-ROUNDS, SAMPLED, MAX_ITEMS = 8, 4, 50_000
+ROUNDS, SAMPLED, MAX_ITEMS = 3, 4, 50_000
 SIMILARITY = 0.8
-SIZES = (1, 3, 7, 14, 28, 56, 112, 224, 448)
+SIZES = (1, 2, 3, 4, 7, 14)
 BLANK = U64(0x1234567)
 _rng = np.random.Generator(np.random.PCG64(991))
 COINS = _rng.integers(1, 2**63, (ROUNDS, 2 * SIZES[-1]), dtype=np.uint64) * U64(2) + U64(1)
@@ -48,22 +49,23 @@ def words_of(data: np.ndarray, offs: np.ndarray):
     return bs.word_hashes(low, offs, GAP)
 
 
-def class_of(n: int) -> int:
-    """Window size for an item of n words: at most half of it, rounded up."""
-    return max(L for L in SIZES if L <= max(1, (n + 1) // 2))
+def class_of(n: int, k: int) -> int:
+    """Window size for an item of n words: at most the run that k edits leave whole."""
+    return max(L for L in SIZES if L <= max(1, -(-(n - k) // (k + 1))))
 
 
-def walk_keys(sym: np.ndarray, starts: np.ndarray, L: int, r: int) -> np.ndarray:
-    """Keys of the windows sym[start : start + L] in round r; sym has 2 L words of padding."""
-    pos, end = starts.copy(), starts + L
-    key = np.full(len(starts), U64(r * 1000 + L), np.uint64)
-    places = PLACES[L][r].tolist()
+def walk_keys(sym: np.ndarray, starts: np.ndarray, L: int) -> np.ndarray:
+    """Keys of the windows sym[start : start + L] over all rounds; sym has 2 L words of padding."""
+    end = starts + L
+    key = np.full(len(starts), U64(L), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(places[-1] + 1):
-            cur = sym[pos]
-            for _ in range(places.count(j)):
-                key = bs.mix(key * U64(0x9E3779B97F4A7C15) + np.where(pos < end, cur, BLANK))
-            pos += ((cur * COINS[r, j]) >> U64(63)).astype(np.int64)
+        for r in range(ROUNDS):
+            pos, places = starts.copy(), PLACES[L][r].tolist()
+            for j in range(places[-1] + 1):
+                cur = sym[pos]
+                for _ in range(places.count(j)):
+                    key = bs.mix(key * U64(0x9E3779B97F4A7C15) + np.where(pos < end, cur, BLANK))
+                pos += ((cur * COINS[r, j]) >> U64(63)).astype(np.int64)
     return key
 
 
@@ -78,7 +80,7 @@ def edits_within(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class Items:
-    """Keys of every window of every item, by size class and round, with what they stand for."""
+    """Keys of every window of every item, by size class, with what they stand for."""
 
     def __init__(self, ids, texts, similarity):
         arr = pa.array(texts, pa.large_string())
@@ -90,7 +92,7 @@ class Items:
         for i, w in enumerate(self.words):
             self.allow.append(int(len(w) * (1 - similarity) + 1e-9))
             if len(w):
-                L = class_of(len(w))
+                L = class_of(len(w), self.allow[i])
                 at.setdefault(L, []).append((i, w))
         self.tables, self.flat = {}, {}
         for L, members in at.items():
@@ -102,34 +104,28 @@ class Items:
             starts = np.concatenate([base[k] + np.arange(len(w) - L + 1) for k, (_, w) in enumerate(members)])
             owner = np.concatenate([np.full(len(w) - L + 1, i) for i, w in members])
             shift = np.concatenate([np.arange(len(w) - L + 1) for _, w in members])
-            for r in range(ROUNDS):
-                key = walk_keys(sym, starts, L, r)
-                by = np.argsort(key, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(key >> U64(44)).astype(np.int64)] = True
-                self.tables[L, r] = seen, key[by], owner[by], shift[by]
+            key = walk_keys(sym, starts, L)
+            by = np.argsort(key, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[(key >> U64(44)).astype(np.int64)] = True
+            self.tables[L] = seen, key[by], owner[by], shift[by]
 
     def find(self, data, offs):
         """(row, item, edits) of each row and item that meet within the allowed edits."""
         h, rows = words_of(data, offs)
         n = np.diff(rows)
-        place = np.arange(len(h)) - np.repeat(rows[:-1], n)
         end = np.repeat(rows[1:], n)
         todo = set()
         allow = np.array(self.allow)
-        for L in {L for L, _ in self.tables}:
-            starts = np.flatnonzero((place % L == 0) & (np.arange(len(h)) + L <= end))
+        for L, (seen, keys, owner, shift) in self.tables.items():
+            starts = np.flatnonzero(np.arange(len(h)) + L <= end)
             sym = np.concatenate([h, np.zeros(2 * L + 1, np.uint64)])
-            met = [np.zeros((0, 3), np.int64)]
-            for r in range(ROUNDS):
-                seen, keys, owner, shift = self.tables[L, r]
-                key = walk_keys(sym, starts, L, r)
-                hit = np.flatnonzero(seen[(key >> U64(44)).astype(np.int64)])
-                lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                many = hi - lo
-                pick = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                met.append(np.stack([starts[np.repeat(hit, many)], owner[pick], shift[pick]], 1))
-            met = np.unique(np.concatenate(met), axis=0)
+            key = walk_keys(sym, starts, L)
+            hit = np.flatnonzero(seen[(key >> U64(44)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+            many = hi - lo
+            pick = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            met = np.stack([starts[np.repeat(hit, many)], owner[pick], shift[pick]], 1)
             item, base = self.flat[L]
             for lo in range(0, len(met), max(1, (1 << 20) // (L * L))):
                 at, own, off = met[lo : lo + max(1, (1 << 20) // (L * L))].T

@@ -65,6 +65,21 @@ def test_finds_leaks_and_nothing_else(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(160)) - {d for d, _ in got}
 
 
+def test_meets_every_pair_at_all_allowed_edits():
+    rng = random.Random(5)
+    vocab = ["w" + str(i) for i in range(3000)]
+    for n in (5, 10, 16, 27, 30, 55, 111, 223):
+        items = [rng.choices(vocab, k=n) for _ in range(60)]
+        texts = [rng.choices(vocab, k=rng.randint(1, 60)) + edited(rng, w, n // 5) + rng.choices(vocab, k=40) for w in items]
+        found = dc.Items(range(60), [" ".join(w) for w in items], 0.8).find(*flat(texts))
+        assert all(found.get((i, i)) == slow(items[i], t) for i, t in enumerate(texts)), n
+
+
+def flat(texts):
+    (_, data, offs), = dc.bs.chunks(dc.pa.array([" ".join(t) for t in texts], dc.pa.large_string()))
+    return data, offs
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     rows = [(None, "One two, three four five six!", "x", None, None)] * 2 + [(3, "seven", None, None, None)]
