@@ -18,9 +18,12 @@ def occurrences(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     payload = terms.filter("term <> ''").groupBy(F.lower("term").alias("term")).agg(F.max(F.struct("aspect", "weight")).alias("p"))
     text = chunks.select("ord", F.lower("text").alias("low"))
     hits = text.join(small(payload), F.contains(F.col("low"), F.col("term")))
-    # The gaps between hits of one term are found by splitting at each position it starts.
-    start = F.filter(F.sequence(F.lit(1), F.length("low") - F.length("term") + 1), lambda i: F.col("low").substr(i, F.length("term")) == F.col("term"))
-    rows = hits.select("ord", "term", "p", F.length("low").alias("length"), F.explode(start).alias("at"))
+    # Split wherever the term begins, a text falls into pieces, and their summed lengths are the
+    # hits: one pass over texts of any length. The character in front makes a hit at 0 a split.
+    ahead = F.concat(F.lit("(?="), F.regexp_replace("term", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(")"))
+    pieces = F.transform(F.split(F.concat(F.lit("-"), F.col("low")), ahead), lambda x: F.length(x))
+    start = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    rows = hits.select("ord", "term", "p", F.length("low").alias("length"), F.explode(F.slice(start, 2, F.size(start) - 1)).alias("at"))
     return rows.select("ord", "term", "p.aspect", "p.weight", (F.col("at") - 1).alias("start"), (F.col("at") + F.length("term") - 2).alias("end"), "length")
 
 

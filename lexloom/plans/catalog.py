@@ -525,12 +525,8 @@ lowd AS (SELECT doc_id AS ord, lower(text) AS low FROM documents WHERE length(te
 occ AS (SELECT ord, term, aspect, weight::DOUBLE AS weight, length(low) AS length, unnest(list_filter(range(1, length(low) - length(term) + 2), lambda i: substr(low, i, length(term)) = term)) - 1 AS start FROM lowd, pat WHERE contains(low, term))"""
 
 
-def _short(spark, d):
-    return chunks(spark, d).filter(F.length("text") < 3000)
-
-
 def _occurrences(spark, d):
-    return lx.occurrences(_short(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
+    return lx.occurrences(chunks(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
 
 
 @query(f'WITH {HITS} SELECT ord, term, aspect, start, start + length(term) - 1 AS "end" FROM occ')
@@ -544,7 +540,7 @@ b AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVE
 g AS (SELECT ord, island::BIGINT AS island, min(lo) AS lo, max(hi) AS hi, max(weight) AS max_weight, list_sort(list_distinct(list(aspect))) AS aspects FROM b GROUP BY ALL)
 SELECT g.ord, island, hi - lo AS length, max_weight, aspects, md5(substr(text, lo + 1, hi - lo)) AS digest FROM g JOIN documents d ON d.doc_id = g.ord""".replace("substr(text, lo + 1, hi - lo)", "substr(d.text, g.lo + 1, g.hi - g.lo)"))
 def interval_merge(spark, d):
-    found = lx.samples(_short(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
+    found = lx.samples(chunks(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
     return found.select("ord", F.col("island").cast("long").alias("island"), "length", "max_weight", "aspects", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

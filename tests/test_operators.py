@@ -1,5 +1,6 @@
 """Hand-computed values and small oracles for the retrieval library."""
 
+import hashlib
 import json
 import math
 import random
@@ -99,6 +100,31 @@ def test_intervals(spark):
     assert sorted((r.ord, r.start, r.end) for r in hits) == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 1, 2)]
 
 
+def test_lexical_queries_read_long_texts(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["The", "license", "Version", "idiot", "é", "path", "x.", "\U0001f600", "plain", "words"]
+    texts = ["th th", "license", " ".join(rng.choices(words, k=2000)), "a" * 5000 + "version" + "b" * 400 + "Version", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, islands = set(), set()
+    for d, text in enumerate(texts):
+        low, spans = (text or "").lower(), []
+        for term, aspect, weight in catalog.PATTERNS:
+            for at in (i for i in range(len(low)) if low.startswith(term, i)):
+                want.add((d, term, aspect, at, at + len(term) - 1))
+                middle = (2 * at + len(term) - 1) // 2
+                spans.append((max(0, middle - 100), min(len(low), middle + 100)))
+        runs = []
+        for lo, hi in sorted(spans):
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = max(hi, runs[-1][1])
+            else:
+                runs.append([lo, hi])
+        islands |= {(d, i, hashlib.md5(text[lo:hi].encode()).hexdigest()) for i, (lo, hi) in enumerate(runs, 1)}
+    got = catalog.queries()["lexical_hits"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert {(r.ord, r.island, r.digest) for r in catalog.queries()["interval_merge"](spark, str(tmp_path)).collect()} == islands
+
+
 def test_routing_fixture(spark):
     got = {r.setting: (r.bypass, r.rerank, r.discard) for r in rt.sensitivity(*catalog._samples(spark), catalog.SWEEP).collect()}
     assert got == {"Strict": (0, 1, 4), "Balanced": (0, 4, 1), "Permissive": (1, 3, 1)}
