@@ -417,8 +417,7 @@ def expand_schema3(spark, d):
 @query(f"WITH {ANCHORS} SELECT qid, anchor AS term, 3.0::DOUBLE AS w FROM anch")
 def qaug_tokens(spark, d):
     i, q = index(spark, d), english(spark, d)
-    only = ex.expand(q, i.terms, vocabulary(spark, d, i).limit(0), "1")
-    return ex.augmented_terms(only)
+    return ex.augmented_terms(ex.expand(q, i.terms, vocabulary(spark, d, i), "1"))
 
 
 @query()

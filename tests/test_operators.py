@@ -125,6 +125,20 @@ def test_lexical_queries_read_long_texts(spark, tmp_path):
     assert {(r.ord, r.island, r.digest) for r in catalog.queries()["interval_merge"](spark, str(tmp_path)).collect()} == islands
 
 
+def test_qaug_tokens_hold_the_injected_terms(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["connection", "connections", "connector", "upload", "uploads", "storage", "storages", "latency", "budget", "budgets", "harbour", "harbours"]
+    texts = [" ".join(rng.choices(words, k=2) + ["rare%d" % (i // 2)]) for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "connection upload"), (1, "storage budget rare7")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for r in catalog.queries()["expand_schema1"](spark, str(tmp_path)).collect():
+        for token in r.term.lower().split():
+            want[r.qid, token] = want.get((r.qid, token), 0) + r.reps
+    assert any(reps % 3 for reps in want.values())
+    assert {(r.qid, r.term): r.w for r in catalog.queries()["qaug_tokens"](spark, str(tmp_path)).collect()} == want
+
+
 def test_routing_fixture(spark):
     got = {r.setting: (r.bypass, r.rerank, r.discard) for r in rt.sensitivity(*catalog._samples(spark), catalog.SWEEP).collect()}
     assert got == {"Strict": (0, 1, 4), "Balanced": (0, 4, 1), "Permissive": (1, 3, 1)}
