@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.serializers import pickle_protocol
 
 from lexloom.llm import bytescan as bs
-from lexloom.llm.runtime import checkpointed, row_key, shuffle_width
+from lexloom.llm.runtime import checkpointed, keys_of, row_key, shuffle_width, texts_in_small_batches
 
 U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
@@ -72,9 +72,9 @@ def events(keys: np.ndarray, level: int, words: np.ndarray):
     return (((x >> U64(32)) * words) >> U64(32)).astype(np.int64), mask
 
 
-def segment(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def segment(keys: np.ndarray, levels: np.ndarray, bits: int = BITS_PER_EVENT) -> np.ndarray:
     """A filter of all (key, 1..level) events, as 64-bit words; an event's bits share one."""
-    n = max(1, -(-int(levels.sum()) * BITS_PER_EVENT // 64))
+    n = max(1, -(-int(levels.sum()) * bits // 64))
     out = np.zeros(n, np.uint64)
     for lv in range(1, int(levels.max(initial=0)) + 1):
         at, mask = events(keys[levels >= lv], lv, U64(n))
@@ -201,7 +201,7 @@ def _groups(bucket, n):
     return ((b, order[cuts[b] : cuts[b + 1]]) for b in range(n) if cuts[b] < cuts[b + 1])
 
 
-def count_ngrams(buckets, flush=3 << 19):
+def count_ngrams(buckets, flush=1 << 20):
     """Map side: unigrams by word, bigrams by context, summed within the task's block."""
 
     def run(batches):
@@ -231,7 +231,7 @@ def count_ngrams(buckets, flush=3 << 19):
             return pa.RecordBatch.from_pydict(out, schema=NGRAMS)
 
         for batch in batches:
-            for _, data, offs in bs.chunks(batch.column(0)):
+            for _, data, offs in bs.chunks(batch.column(0), 1 << 20):
                 tok, ctx, _ = token_stream(data, offs)
                 ones = np.ones(len(tok), np.int64)
                 at, n = tally(tok, ones)
@@ -254,8 +254,12 @@ MODEL = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("words", pa.in
 MODEL_DDL = "kind int, bucket int, words long, total long, smooth double, hist binary, filter binary, key binary, n binary"
 
 
-def build_bucket(table: pa.Table) -> pa.Table:
+def build_bucket(bits):
     """Reduce side: exact counts of a bucket, and the filter segment that holds them."""
+    return lambda table: _build_bucket(table, bits)
+
+
+def _build_bucket(table: pa.Table, bits: int) -> pa.Table:
     kind, b = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     col = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
     n = col("n", np.uint32).astype(np.int64)
@@ -265,7 +269,7 @@ def build_bucket(table: pa.Table) -> pa.Table:
         tok = tok[at]
         lv = levels_of(n, FINE)
         hist = np.bincount(np.minimum(n, HIST - 1), minlength=HIST)
-        row = [0, b, len(tok), int(n.sum()), float(FINE_COUNT[lv].sum()), hist.astype(np.int64).tobytes(), segment(bs.mix(tok ^ UNI), lv).tobytes(), tok.tobytes(), n.tobytes()]
+        row = [0, b, len(tok), int(n.sum()), float(FINE_COUNT[lv].sum()), hist.astype(np.int64).tobytes(), segment(bs.mix(tok ^ UNI), lv, bits).tobytes(), tok.tobytes(), n.tobytes()]
     else:
         ctx = np.repeat(col("head", np.uint64), col("run", np.uint32))
         low = np.zeros((len(n), 8), np.uint8)
@@ -278,13 +282,23 @@ def build_bucket(table: pa.Table) -> pa.Table:
         head, mass = tally(ctx, np.stack([COARSE_COUNT[lv], np.ones(len(lv))], 1))
         heads = ctx[head]
         lt, ly = levels_of(np.maximum(mass[:, 0], 1), FINE), levels_of(mass[:, 1], FINE)
-        seg = segment(np.concatenate([key, bs.mix(heads ^ TOTAL), bs.mix(heads ^ TYPES)]), np.concatenate([lv, lt, ly]))
+        seg = segment(np.concatenate([key, bs.mix(heads ^ TOTAL), bs.mix(heads ^ TYPES)]), np.concatenate([lv, lt, ly]), bits)
         row = [1, b, len(key), int(n.sum()), 0.0, b"", seg.tobytes(), b"", b""]
     return pa.Table.from_pydict({c: [v] for c, v in zip(MODEL.names, row)}, schema=MODEL)
 
 
-PARTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("rows", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())])
-PARTS_DDL = "key long, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base double, score double, bucket int, tokens binary, owners binary"
+PARTS = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("rows", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), ("rows_of", pa.binary())])
+PARTS_DDL = "key binary, doc_id long, held_out boolean, rows long, n_tokens long, n_known long, base double, score double, bucket int, tokens binary, owners binary, rows_of binary"
+
+
+def interpolated(seen, total, types, low):
+    """Probability of a token: the bigram's share, ``types`` of the mass going to ``low``.
+
+    A context without a type (never seen, whatever a stray probe says of its total) leaves
+    the token to ``low``, so no probability is zero.
+    """
+    known = types > 0
+    return np.where(known, (seen + types * low) / np.where(known, total + types, 1.0), low)
 
 
 def score_texts(sent, floor, denom, buckets, opening):
@@ -297,6 +311,7 @@ def score_texts(sent, floor, denom, buckets, opening):
         hot, hot_n = m["hot"], m["hot_n"]
         for batch in batches:
             keys, ids, held = (batch.column(i) for i in range(3))
+            whole = keys_of(keys)
             tail_tok, tail_own = [], []
             for lo, data, offs in bs.chunks(batch.column(3), 1 << 20):
                 tok, ctx, bounds = token_stream(data, offs)
@@ -311,9 +326,7 @@ def score_texts(sent, floor, denom, buckets, opening):
                 head[1:] = back[:-1]
                 head[bounds[:-1]] = len(words)
                 seen = COARSE_COUNT[bi.read(pair_key(ctx, tok), hb[head])]
-                total, types, low = np.maximum(total[head], seen), types[head], p1[back]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    p = np.where(total > 0, (seen + types * low) / (total + types), low)
+                p = interpolated(seen, np.maximum(total[head], seen), types[head], p1[back])
                 score = bs.sums_by_row(np.where(m["mine"][hb[head]], np.log10(p), 0.0), bounds)
                 out = {"key": keys[lo : lo + n], "doc_id": ids[lo : lo + n], "held_out": held[lo : lo + n], "rows": np.full(n, int(opening)), "score": score}
                 zero = np.zeros(n, np.int64)
@@ -326,17 +339,20 @@ def score_texts(sent, floor, denom, buckets, opening):
                     out |= {"n_tokens": np.diff(bounds), "n_known": bs.sums_by_row(is_hot[back].astype(float), bounds).round().astype(np.int64), "base": bs.sums_by_row(base[back], bounds)}
                     cold = np.flatnonzero(~is_hot[back])
                     tail_tok.append(tok[cold])
-                    tail_own.append(keys.to_numpy()[lo + np.searchsorted(bounds, cold, side="right") - 1])
+                    tail_own.append(lo + np.searchsorted(bounds, cold, side="right") - 1)
                 else:
                     out |= {"n_tokens": zero, "n_known": zero, "base": zero.astype(float)}
                 none = pa.nulls(n)
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], t) if c in out else none.cast(t) for c, t in zip(PARTS.names, PARTS.types)], schema=PARTS)
             if tail_tok:
                 tok, own = np.concatenate(tail_tok), np.concatenate(tail_own)
-                rows = [(b, tok[i].tobytes(), own[i].tobytes()) for b, i in _groups((tok % U64(buckets)).astype(np.int64), buckets)]
+                rows = []
+                for b, i in _groups((tok % U64(buckets)).astype(np.int64), buckets):
+                    named, place = np.unique(own[i], return_inverse=True)
+                    rows.append((b, tok[i].tobytes(), place.astype(np.uint32).tobytes(), whole[named].tobytes()))
                 if rows:
-                    b, t, o = zip(*rows)
-                    have = {"bucket": pa.array(b, pa.int32()), "tokens": pa.array(t, pa.binary()), "owners": pa.array(o, pa.binary())}
+                    b, t, o, r = zip(*rows)
+                    have = {"bucket": pa.array(b, pa.int32()), "tokens": pa.array(t, pa.binary()), "owners": pa.array(o, pa.binary()), "rows_of": pa.array(r, pa.binary())}
                     yield pa.RecordBatch.from_arrays([have.get(c, pa.nulls(len(rows)).cast(ty)) for c, ty in zip(PARTS.names, PARTS.types)], schema=PARTS)
 
     return run
@@ -348,13 +364,23 @@ def settle_tail(denom):
     def run(table: pa.Table) -> pa.Table:
         col = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in table.column(c).to_pylist() if x is not None)])
         word, n = col("word", np.uint64), col("n", np.int64)
-        tok, own = col("tokens", np.uint64), col("owners", np.int64)
         order = np.argsort(word)
         word, n = word[order], n[order]
-        place = np.minimum(np.searchsorted(word, tok), max(len(word) - 1, 0))
-        c = np.where(word[place] == tok, n[place], 0) if len(word) else np.zeros(len(tok), np.int64)
-        at, sums = tally(own, np.stack([(c > 0).astype(float), np.log10((c + 0.1) / denom)], 1))
-        return pa.Table.from_pydict({"key": own[at], "n_known": sums[:, 0].round().astype(np.int64), "base": sums[:, 1]})
+        keys, known, base = [], [], []
+        for t, o, r in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "rows_of"))):
+            if t is None:
+                continue
+            tok, own = np.frombuffer(t, np.uint64), np.frombuffer(o, np.uint32)
+            c = np.zeros(len(tok), np.int64)
+            if len(word):
+                place = np.minimum(np.searchsorted(word, tok), len(word) - 1)
+                c = np.where(word[place] == tok, n[place], 0)
+            rows = len(r) // 16
+            keys += [r[i : i + 16] for i in range(0, len(r), 16)]
+            known.append(np.bincount(own[c > 0], minlength=rows))
+            base.append(np.bincount(own, weights=np.log10((c + 0.1) / denom), minlength=rows))
+        join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        return pa.Table.from_pydict({"key": pa.array(keys, pa.binary()), "n_known": join(known, np.int64), "base": join(base, float)})
 
     return run
 
@@ -371,7 +397,12 @@ def _rounds(sizes: dict[int, int], fixed: int, bound: int) -> list[list[int]]:
     return out
 
 
-def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: int = 1 << 28) -> DataFrame:
+def _streamed(df: DataFrame, size: int):
+    """Rows of ``df``, about ``size`` bytes in all, a few tasks' worth at a time."""
+    return df.coalesce(max(1, min(64, size >> 24))).toLocalIterator()
+
+
+def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: int = 1 << 28, bits: int = BITS_PER_EVENT) -> DataFrame:
     """Base and model log10 probability of every text.
 
     Counts come from rows whose crc32(doc_id as text) mod 10 is not 0. Returns ``doc_id,
@@ -380,9 +411,12 @@ def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: i
     A null text is empty and scores its end token only; a null doc_id is not held out and
     trains; repeated rows count and score separately; an empty table gives no rows (and a
     table without training rows gives every token probability one); other columns are
-    ignored. Words are known by 64-bit hashes of their lower-cased bytes.
+    ignored; very long texts and words are read whole, a chunk of rows at a time. Words are
+    known by 64-bit hashes of their lower-cased bytes, rows by 128-bit ones. ``bits`` of the
+    filter go to each event: more make stray reads rarer.
     """
     spark = docs.sparkSession
+    texts_in_small_batches(spark)
     buckets = 4 * shuffle_width(spark)
     base = docs.select(
         row_key("doc_id", "text").alias("key"),
@@ -391,13 +425,13 @@ def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: i
         "text",
     )
     ngrams = base.filter(~F.col("held_out")).select("text").mapInArrow(count_ngrams(buckets), NGRAMS_DDL)
-    built = checkpointed(ngrams.groupBy("kind", "bucket").applyInArrow(build_bucket, MODEL_DDL))
+    built = checkpointed(ngrams.groupBy("kind", "bucket").applyInArrow(build_bucket(bits), MODEL_DDL))
     stats = built.filter("kind = 0").agg(F.sum("words"), F.sum("total"), F.sum("smooth")).first()
     vocab, train, smooth = (x or 0 for x in stats)
     denom, floor = train + 0.1 * (vocab + 1), smooth + 0.1 * (vocab + 1)
 
     hist = np.zeros(HIST, np.int64)
-    for (h,) in built.filter("kind = 0").select("hist").toLocalIterator():
+    for (h,) in _streamed(built.filter("kind = 0").select("hist"), buckets * HIST * 8):
         hist += np.frombuffer(h, np.int64)
     above = hist[::-1].cumsum()[::-1]  # words with at least so many occurrences
     fits = np.flatnonzero(above <= max_hot)
@@ -411,14 +445,14 @@ def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: i
                     n = np.frombuffer(n, np.int64)
                     yield pa.RecordBatch.from_pydict({"key": [np.frombuffer(k, np.uint64)[n >= least].tobytes()], "n": [n[n >= least].tobytes()]})
 
-        for k, n in built.filter("kind = 0").select("key", "n").mapInArrow(pick, "key binary, n binary").toLocalIterator():
+        for k, n in _streamed(built.filter("kind = 0").select("key", "n").mapInArrow(pick, "key binary, n binary"), 16 * max_hot):
             hot_w.append(np.frombuffer(k, np.uint64))
             hot_n.append(np.frombuffer(n, np.int64))
     hot = np.concatenate([np.zeros(0, np.uint64), *hot_w])
     order = np.argsort(hot)
     hot, hot_n = hot[order], np.concatenate([np.zeros(0, np.int64), *hot_n])[order]
 
-    size = {(r.kind, r.bucket): r.size for r in built.select("kind", "bucket", F.length("filter").alias("size")).toLocalIterator()}
+    size = {(r.kind, r.bucket): r.size for r in _streamed(built.select("kind", "bucket", F.length("filter").alias("size")), 0)}
 
     def filters(kind, name, wanted):
         """The segments of these buckets, copied one by one into the broadcast's bytes."""
@@ -429,7 +463,7 @@ def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: i
 
         def fill(view):
             segments = built.filter((F.col("kind") == kind) & F.col("bucket").isin(sorted(wanted))).select("bucket", "filter")
-            for b, seg in segments.toLocalIterator():
+            for b, seg in _streamed(segments, 8 * int(used)):
                 view[at[b] : at[b] + words[b]] = np.frombuffer(seg, np.uint64)
 
         return {name: ("u8", used, fill), f"{name}_at": _copied(at), f"{name}_words": _copied(words)}
@@ -447,10 +481,11 @@ def score_documents(docs: DataFrame, max_hot: int = 1 << 20, max_filter_bytes: i
         scored = part if scored is None else scored.unionByName(part)
     scored = checkpointed(scored)
 
-    tail = scored.filter("tokens is not null").select("bucket", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("binary").alias("n"), "tokens", "owners")
-    exact = built.filter("kind = 0").select("bucket", F.col("key").alias("word"), "n", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("owners"))
-    settled = tail.unionByName(exact).groupBy("bucket").applyInArrow(settle_tail(denom), "key long, n_known long, base double")
-    main = scored.filter("tokens is null").drop("bucket", "tokens", "owners")
+    tail = scored.filter("tokens is not null").select("bucket", "tokens", "owners", "rows_of")
+    exact = built.filter("kind = 0").select("bucket", F.col("key").alias("word"), "n")
+    met = tail.unionByName(exact, allowMissingColumns=True)
+    settled = met.groupBy("bucket").applyInArrow(settle_tail(denom), "key binary, n_known long, base double")
+    main = scored.filter("tokens is null").drop("bucket", "tokens", "owners", "rows_of")
     total = (
         main.unionByName(settled, allowMissingColumns=True)
         .groupBy("key")
