@@ -1,23 +1,28 @@
 """Removal of repeated passages by a depth-limited radix sort of suffixes.
 
-A suffix is ordered only through its first ``depth`` bytes, most significant digit
-first, and a bucket that holds one suffix is not looked at again. Equal groups at
-full depth are exactly the windows of ``depth`` bytes that start more than once.
-
-Ordering every suffix would shuffle many times the text, so the windows are sorted
-through representatives. Each window elects one of its ``digit``-byte substrings:
-the one with the smallest hash, the leftmost on ties. Equal windows elect the same
-substring at the same offset, hence no equal pair is lost, while only about one
-position in ``(depth - digit) / 2`` is elected at all.
-
-* Pass 1 buckets elected positions by their first digit and, within a digit, by the
-  span of all windows that elected the position. Equal spans settle all their
-  windows at once; a digit with one span only is finished.
-* Pass 2 ships the spans of the unfinished digits and compares their windows to full
-  depth. The set of unfinished digits reaches the scan as a bitmap of fixed size:
-  a false positive ships a span that settles nothing, and never changes a result.
-
-Identity of bytes is decided by two independent 64-bit hashes together.
+A suffix is ordered only through its first ``depth`` bytes, most significant digit first,
+and a group of one suffix is not looked at again. Equal groups at full depth are exactly
+the windows of ``depth`` bytes that start more than once.
+
+Ordering every suffix would shuffle many times the text, so suffixes are ordered in spans.
+Each window elects one of its ``digit``-byte substrings: the one with the smallest hash, the
+leftmost on ties. Equal windows elect the same substring at the same offset, hence no equal
+pair is lost, while only about one position in ``(depth - digit) / 2`` is elected; the
+windows that elected a position are consecutive, its span.
+
+* Pass 1 deals spans by their content. Equal spans settle all of their windows at once;
+  those met within a task are merged there, so a passage that fills the corpus sends one
+  row a task. The first digit then groups what differs: a digit with one span is finished.
+* Pass 2 looks at the spans of unfinished digits only. Their windows are ordered digit by
+  digit through ``depth``, and at the end equal groups are compared byte by byte. A digit
+  with more than ``hot`` spans (a passage in very many contexts) is not gathered: its
+  windows are dealt one by one, by content and merged within tasks like the spans of pass 1.
+
+Unfinished and hot digits reach the scan as bitmaps of fixed size: a false positive ships
+spans that settle nothing, or deals windows one by one, and never changes a result.
+
+Spans, and windows dealt one by one, are told apart by 128 bits of BLAKE2b of their bytes;
+the quicker polynomial hashes only elect and group.
 """
 
 from __future__ import annotations
@@ -30,16 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import bytescan as bs
-from lexloom.llm.runtime import checkpointed, row_key, shuffle_width
+from lexloom.llm.runtime import checkpointed, keys_of, row_key, shuffle_width, texts_in_small_batches
 
 U64 = np.uint64
-SECOND = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-#: Windows handled at once, and bytes of spans of a bucket compared at once.
-BLOCK = 1 << 21
+ID = np.dtype([("hi", "<u8"), ("lo", "<u8")])
+#: Windows handled at once, and spans of a digit that are ordered together.
+BLOCK, HOT = 1 << 21, 512
 
 
 def elected(data: np.ndarray, depth: int, digit: int):
-    """Elected positions of one text: (position, first window, last window, prefix sums)."""
+    """Elected positions of one text: (digit's hash, position, first window, last window)."""
     prefix = bs.prefix_hash(data)
     n = len(data) - digit + 1
     at = np.arange(n)
@@ -56,26 +61,30 @@ def elected(data: np.ndarray, depth: int, digit: int):
     first = np.concatenate([[0], change])
     last = np.concatenate([change, [windows]]) - 1
     pos = best[first].astype(np.int64)
-    return h[pos], pos, first, last, prefix
+    return h[pos], pos, first, last
 
 
-def pieces(data: np.ndarray, depth: int):
-    """(offset, bytes) of runs of at most BLOCK windows that cover all windows of a text."""
-    for lo in range(0, len(data) - depth + 1, BLOCK):
-        yield lo, data[lo : lo + BLOCK + depth - 1]
+def pieces(data: np.ndarray, depth: int, block: int):
+    """(offset, bytes) of runs of at most ``block`` windows that cover all windows of a text."""
+    for lo in range(0, len(data) - depth + 1, block):
+        yield lo, data[lo : lo + block + depth - 1]
 
 
-def span_ids(prefix, pos, first, last, depth, second):
-    """Hash of each span of windows, with the elected position's place in it."""
-    with np.errstate(over="ignore"):
-        x = bs.mix(bs.span_hash(prefix, first, last + depth))
-        y = bs.span_hash(second, first, last + depth) * U64(0xC2B2AE3D27D4EB4F)
-        return bs.mix(x ^ y ^ ((pos - first).astype(np.uint64) << U64(32)) ^ (last - first).astype(np.uint64))
+def digests(data: np.ndarray, starts, ends, marks) -> np.ndarray:
+    """128-bit identity of each [start, end) of ``data`` together with its mark."""
+    view, blake = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    salt = [int(m).to_bytes(8, "little") for m in marks]
+    return np.frombuffer(b"".join([blake(view[a:b], digest_size=16, salt=m).digest() for a, b, m in zip(starts.tolist(), ends.tolist(), salt)]), ID)
+
+
+def span_ids(data, pos, first, last, depth):
+    """Identity of each span: its bytes and the elected position's place in it."""
+    return digests(data, first, last + depth, pos - first)
 
 
 def _texts(batch: pa.RecordBatch, depth: int):
-    keys = batch.column(0).to_numpy()
-    for lo, data, offs in bs.chunks(batch.column(1)):
+    keys = keys_of(batch.column(0))
+    for lo, data, offs in bs.chunks(batch.column(1), 1 << 20):
         for i in np.flatnonzero(np.diff(offs) >= depth):
             yield keys[lo + i], data[offs[i] : offs[i + 1]]
 
@@ -88,136 +97,245 @@ def _by_bucket(bucket: np.ndarray, n: int):
             yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def scan_digits(depth, digit, buckets, flush=1 << 18):
-    """Pass 1, map side: elected positions of all windows, packed by bucket of their digit."""
+#: Rows of one bucket, packed. Buckets up to B hold spans by digit, up to 2 B spans or windows
+#: by identity, and up to 3 B windows that repeat, on their way through.
+PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("id", "digit", "many", "key", "start", "n", "bytes"))])
+PACKED_DDL = "bucket int, id binary, digit binary, many binary, key binary, start binary, n binary, bytes binary"
+#: ``kind`` 0: windows known to repeat (key, first, count); 1: digits and their numbers of spans.
+FOUND = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+FOUND_DDL = "kind int, a binary, b binary, c binary"
+
 
-    def run(batches):
-        held, count = [], 0
+def _rows(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: [r.get(c, b"") if c != "bucket" else r[c] for r in rows] for c in PACKED.names}, schema=PACKED)
 
-        def emit():
-            g, s, key, start, n = (np.concatenate(x) for x in zip(*held))
-            out = {"bucket": [], "digit": [], "span": [], "key": [], "start": [], "n": []}
-            for b, at in _by_bucket((g % U64(buckets)).astype(np.int64), buckets):
-                out["bucket"].append(b)
-                for name, x in (("digit", g), ("span", s), ("key", key), ("start", start), ("n", n)):
-                    out[name].append(x[at].tobytes())
-            return pa.RecordBatch.from_pydict(out, schema=DIGITS)
 
+def _same_id(ids: np.ndarray):
+    """(order by identity, start of each group in it)."""
+    order = np.lexsort((ids["lo"], ids["hi"]))
+    x = ids[order]
+    return order, np.concatenate([np.ones(min(1, len(x)), bool), (x["hi"][1:] != x["hi"][:-1]) | (x["lo"][1:] != x["lo"][:-1])])
+
+
+def merged(held, buckets: int):
+    """Rows of a task's block: one of each identity, and windows that repeat inside the block.
+
+    ``held``: lists of (digit, id, key, start, n).
+    """
+    g, ids, key, start, n = (np.concatenate(x) for x in zip(*held))
+    order, new = _same_id(ids)
+    size = np.diff(np.append(np.flatnonzero(new), len(ids)))
+    again = order[np.repeat(size, size) > 1]
+    one = order[new]
+    for b, i in _by_bucket((ids["lo"][one] % U64(buckets)).astype(np.int64), buckets):
+        at = one[i]
+        yield {"bucket": buckets + b, "id": ids[at].tobytes(), "digit": g[at].tobytes(), "many": (size[i] > 1).astype(np.uint8).tobytes(), "key": key[at].tobytes(), "start": start[at].tobytes(), "n": n[at].tobytes()}
+    if len(again):
+        yield {"bucket": 2 * buckets + int(ids["hi"][again[0]] % U64(buckets)), "key": key[again].tobytes(), "start": start[again].tobytes(), "n": n[again].tobytes()}
+
+
+def scan_digits(depth, digit, buckets, block, flush=1 << 18):
+    """Pass 1, map side: the spans of all windows, merged and packed by identity."""
+
+    def run(batches):
+        held, count = [], 0
         for batch in batches:
             for key, text in _texts(batch, depth):
-                for lo, data in pieces(text, depth):
-                    h, pos, first, last, prefix = elected(data, depth, digit)
-                    s = span_ids(prefix, pos, first, last, depth, bs.prefix_hash(data, SECOND))
-                    held.append((h, s, np.full(len(h), key, np.int64), (first + lo).astype(np.uint32), (last - first + 1).astype(np.uint16)))
+                for lo, data in pieces(text, depth, block):
+                    h, pos, first, last = elected(data, depth, digit)
+                    held.append((h, span_ids(data, pos, first, last, depth), np.full(len(h), key), (first + lo).astype(np.uint32), (last - first + 1).astype(np.uint32)))
                     count += len(h)
                 if count >= flush:
-                    yield emit()
+                    yield _rows(list(merged(held, buckets)))
                     held, count = [], 0
         if held:
-            yield emit()
+            yield _rows(list(merged(held, buckets)))
 
     return run
 
 
-DIGITS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("digit", "span", "key", "start", "n"))])
-DIGITS_DDL = "bucket int, digit binary, span binary, key binary, start binary, n binary"
-#: ``kind`` 0: windows known to repeat (key, first, count); 1: digits to be refined.
-FOUND = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-FOUND_DDL = "kind int, a binary, b binary, c binary"
-
-
 def _unpack(table: pa.Table, **kinds):
     return [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds.items()]
 
 
-def settle_digits(table: pa.Table) -> pa.Table:
-    """Pass 1, one bucket: equal spans repeat; digits with several spans are refined."""
-    g, s, key, start, n = _unpack(table, digit=U64, span=U64, key=np.int64, start=np.uint32, n=np.uint16)
-    order = np.lexsort((s, g))
-    g, s = g[order], s[order]
-    new_g = np.concatenate([[True], g[1:] != g[:-1]])
-    new = new_g | np.concatenate([[True], s[1:] != s[:-1]])
-    run = np.cumsum(new) - 1
-    many = np.bincount(run)[run] > 1
-    spans_of = np.bincount((np.cumsum(new_g) - 1)[new])  # distinct spans of each digit
-    refine = g[new_g][spans_of > 1]
-    at = order[many]
-    return pa.Table.from_pydict(
-        {"kind": [0, 1], "a": [key[at].tobytes(), refine.tobytes()], "b": [start[at].tobytes(), b""], "c": [n[at].astype(np.uint32).tobytes(), b""]},
-        schema=FOUND,
-    )
+def _found(rows) -> pa.Table:
+    return pa.Table.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(FOUND.names)}, schema=FOUND)
+
+
+def settle_ids(table: pa.Table, buckets: int) -> pa.Table:
+    """One bucket by identity: what came more than once repeats; digits count their spans."""
+    key, start, n = _unpack(table, key="V16", start=np.uint32, n=np.uint32)
+    if table.column("bucket")[0].as_py() >= 2 * buckets:
+        return _found([(0, key.tobytes(), start.tobytes(), n.tobytes())])
+    ids, g, many = _unpack(table, id=ID, digit=U64, many=np.uint8)
+    order, new = _same_id(ids)
+    group = np.cumsum(new) - 1
+    again = (np.bincount(group)[group] > 1) & (many[order] == 0)  # a merged row's windows are known
+    at = order[again]
+    digits, spans = np.unique(g[order[new]], return_counts=True)
+    return _found([(0, key[at].tobytes(), start[at].tobytes(), n[at].tobytes()), (1, digits.tobytes(), spans.astype(np.uint32).tobytes(), b"")])
+
+
+COUNTED = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _deal_digits(buckets):
+    def run(batches):
+        for batch in batches:
+            a, b = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in batch.column(i).to_pylist())]) for i, t in ((0, U64), (1, np.uint32)))
+            rows = [(k, a[i].tobytes(), b[i].tobytes()) for k, i in _by_bucket((a % U64(buckets)).astype(np.int64), buckets)]
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(COUNTED.names, zip(*rows))), schema=COUNTED)
+
+    return run
+
+
+def _unfinished(hot):
+    """Digits with more than one span, and of these the ones with more than ``hot``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        digit, spans = _unpack(table, a=U64, b=np.uint32)
+        each, at = np.unique(digit, return_inverse=True)
+        total = np.bincount(at, weights=spans)
+        return pa.Table.from_pydict({"several": [each[total > 1].tobytes()], "hot": [each[total > hot].tobytes()]})
+
+    return run
+
+
+def _slots(digits, mask):
+    slot = bs.mix(digits) & mask
+    return (slot >> U64(3)).astype(np.int64), (slot & U64(7)).astype(np.uint8)
+
+
+def _bitmaps(sizes: DataFrame, max_bytes: int) -> np.ndarray:
+    """Rows 0 and 1: unfinished and hot digits, each a bitmap of at most ``max_bytes``."""
+    total = sizes.agg(F.sum(F.length("several"))).first()[0] or 0
+    size = 1 << 10
+    while size < min(max_bytes, 2 * total):
+        size *= 2
+    mask = U64(size * 8 - 1)
+
+    def local(batches):
+        own = np.zeros((2, size), np.uint8)
+        for batch in batches:
+            for i in (0, 1):
+                for x in batch.column(i).to_pylist():
+                    byte, bit = _slots(np.frombuffer(x, U64), mask)
+                    np.bitwise_or.at(own[i], byte, np.uint8(1) << bit)
+        yield pa.RecordBatch.from_pydict({"bits": [own.tobytes()]})
+
+    bits = np.zeros((2, size), np.uint8)
+    for row in sizes.coalesce(4).mapInArrow(local, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row[0], np.uint8).reshape(2, -1)
+    return bits
 
 
-def scan_spans(depth, digit, buckets, bitmap, flush=1 << 23):
-    """Pass 2, map side: the spans of unfinished digits, one of each kind from a task's block."""
+def scan_spans(depth, digit, buckets, block, bitmaps, flush=1 << 22):
+    """Pass 2, map side: the spans of unfinished digits, one of each kind from a task's block,
+    and the windows of hot digits."""
 
     def run(batches):
-        bits = np.frombuffer(bitmap.value, np.uint8)
-        mask = U64(len(bits) * 8 - 1)
-        held, size, seen = {}, 0, set()
+        several, hot = bitmaps.value
+        mask = U64(len(several) * 8 - 1)
+        held, size, seen, windows, count = {}, 0, set(), [], 0
 
         def emit():
-            out = {c: [] for c in SPANS.names}
-            for b, rows in held.items():
-                out["bucket"].append(b)
-                out["digit"].append(np.array([r[0] for r in rows], U64).tobytes())
-                out["span"].append(np.array([r[1] for r in rows], U64).tobytes())
-                out["key"].append(np.array([r[2] for r in rows], np.int64).tobytes())
-                out["start"].append(np.array([r[3] for r in rows], np.uint32).tobytes())
-                out["n"].append(np.array([r[4] for r in rows], np.uint16).tobytes())
-                out["bytes"].append(b"".join(r[5] for r in rows))
-            return pa.RecordBatch.from_pydict(out, schema=SPANS)
+            rows = []
+            for b, x in held.items():
+                g, ids, key, start, n, raw = zip(*x)
+                rows.append({"bucket": b, "id": b"".join(ids), "digit": np.array(g, U64).tobytes(), "key": b"".join(key), "start": np.array(start, np.uint32).tobytes(), "n": np.array(n, np.uint32).tobytes(), "bytes": b"".join(raw)})
+            return _rows([*rows, *(merged(windows, buckets) if windows else ())])
 
         for batch in batches:
             for key, text in _texts(batch, depth):
-                for lo, data in pieces(text, depth):
-                    h, pos, first, last, prefix = elected(data, depth, digit)
-                    slot = bs.mix(h) & mask
-                    at = np.flatnonzero((bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1)
-                    if not len(at):
-                        continue
-                    s = span_ids(prefix, pos[at], first[at], last[at], depth, bs.prefix_hash(data, SECOND))
-                    for i, si in zip(at.tolist(), s.tolist()):
-                        if si in seen:
-                            continue
-                        seen.add(si)
-                        f, e = int(first[i]), int(last[i])
-                        held.setdefault(int(h[i]) % buckets, []).append((h[i], si, key, f + lo, e - f + 1, data[f : e + depth].tobytes()))
-                        size += e - f + depth + 160
-                if size >= flush:
+                for lo, data in pieces(text, depth, block):
+                    h, pos, first, last = elected(data, depth, digit)
+                    byte, bit = _slots(h, mask)
+                    todo = ((several[byte] >> bit) & 1).astype(bool)
+                    one_by_one = ((hot[byte] >> bit) & 1).astype(bool)
+                    at = np.flatnonzero(todo & ~one_by_one)
+                    ids = span_ids(data, pos[at], first[at], last[at], depth)
+                    for i, x in zip(at.tolist(), ids):
+                        x = x.tobytes()
+                        if x not in seen:
+                            seen.add(x)
+                            f, e = int(first[i]), int(last[i])
+                            held.setdefault(int(h[i]) % buckets, []).append((h[i], x, key.tobytes(), f + lo, e - f + 1, data[f : e + depth].tobytes()))
+                            size += e - f + depth + 200
+                    at = np.flatnonzero(todo & one_by_one)
+                    if len(at):
+                        many = last[at] - first[at] + 1
+                        w = np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        none = np.zeros(len(w), U64)
+                        windows.append((none, digests(data, w, w + depth, none), np.full(len(w), key), (w + lo).astype(np.uint32), np.ones(len(w), np.uint32)))
+                        count += len(w)
+                if size + 48 * count >= flush:
                     yield emit()
-                    held, size = {}, 0
-                    if len(seen) > 1 << 20:
+                    held, size, windows, count = {}, 0, [], 0
+                    if len(seen) > 1 << 18:
                         seen = set()
-        if held:
+        if held or windows:
             yield emit()
 
     return run
 
 
-SPANS = pa.schema([*DIGITS, ("bytes", pa.binary())])
-SPANS_DDL = DIGITS_DDL + ", bytes binary"
-
+def repeated_rows(text: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int, digit: int) -> np.ndarray:
+    """Marks the windows text[at : at + depth] that equal another one of their group.
 
-def settle_spans(depth):
+    Most significant digit first; a window alone in its group after a digit is dropped. What
+    is left is compared with its neighbour byte by byte.
+    """
+    out = np.zeros(len(at), bool)
+    prefix = bs.prefix_hash(text)
+    left, g = np.arange(len(at)), bs.mix(group)
+    for lo in range(0, depth, digit):
+        x = at[left]
+        w = bs.mix(g ^ bs.span_hash(prefix, x + lo, x + min(depth, lo + digit)))
+        by = np.argsort(w)
+        w, left = w[by], left[by]
+        same = np.concatenate([[False], w[1:] == w[:-1], [False]])
+        alive = same[1:] | same[:-1]
+        left, g = left[alive], w[alive]
+        if not len(left):
+            return out
+    # Neighbours of equal groups: all bytes, eight at a time.
+    head = np.concatenate([[True], g[1:] != g[:-1]])
+    first = left[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    eight = bs.lanes(text)
+    equal = group[left] == group[first]
+    for lo in range(0, depth, 8):
+        part = bs.MASKS[min(8, depth - lo)]
+        equal &= (eight[at[left] + lo] & part) == (eight[at[first] + lo] & part)
+    size = np.diff(np.append(np.flatnonzero(head), len(left)))
+    pure = np.repeat(np.add.reduceat(equal, np.flatnonzero(head)) == size, size)
+    out[left[pure]] = True
+    if not pure.all():  # groups that only hashes hold together: by their bytes
+        kinds: dict = {}
+        for i in left[~pure].tolist():
+            kinds.setdefault((int(group[i]), text[at[i] : at[i] + depth].tobytes()), []).append(i)
+        for same_bytes in kinds.values():
+            out[same_bytes] = len(same_bytes) > 1
+    return out
+
+
+def settle_spans(depth, digit, block):
     """Pass 2, one bucket: windows of different spans of a digit, compared to full depth."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, s, key, start, n = _unpack(table, digit=U64, span=U64, key=np.int64, start=np.uint32, n=np.uint16)
+        ids, g, key, start, n = _unpack(table, id=ID, digit=U64, key="V16", start=np.uint32, n=np.uint32)
         n = n.astype(np.int64)
         length = n + depth - 1
         blob = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("bytes").to_pylist()])
         begin = np.cumsum(length) - length
-        order = np.lexsort((s, g))
-        fresh = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (s[order][1:] != s[order][:-1])])
-        rep = order[fresh]  # one of each span
-        g_rep = g[rep]
-        size = np.bincount(np.unique(g_rep, return_inverse=True)[1])
+        order, new = _same_id(ids)
+        rep = order[new]  # one of each span
+        rep = rep[np.argsort(g[rep], kind="stable")]
+        size = np.bincount(np.unique(g[rep], return_inverse=True)[1])
         rep = rep[np.repeat(size, size) > 1]
-        out_key, out_start, out_n = [], [], []
-        cut = 0
-        while cut < len(rep):  # whole digits, about BLOCK windows at a time
-            end = cut + max(1, int(np.searchsorted(np.cumsum(n[rep[cut:]]), BLOCK)))
+        rows, cut = [], 0
+        while cut < len(rep):  # whole digits, about ``block`` windows at a time
+            end = cut + max(1, int(np.searchsorted(np.cumsum(n[rep[cut:]]), block)))
             while end < len(rep) and g[rep[end]] == g[rep[end - 1]]:
                 end += 1
             part = rep[cut:end]
@@ -227,71 +345,45 @@ def settle_spans(depth):
             step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             text = np.concatenate([blob[begin[i] : begin[i] + length[i]] for i in part])
             base = np.cumsum(length[part]) - length[part]
-            x = base[of] + step
-            with np.errstate(over="ignore"):
-                w = bs.mix(bs.span_hash(bs.prefix_hash(text), x, x + depth))
-                w = bs.mix(w ^ (bs.span_hash(bs.prefix_hash(text, SECOND), x, x + depth) * U64(0xC2B2AE3D27D4EB4F)) ^ bs.mix(g[part][of]))
-            by = np.argsort(w)
-            same = w[by][1:] == w[by][:-1]
-            again = np.zeros(len(w), bool)
-            again[by[1:][same]] = True
-            again[by[:-1][same]] = True
-            hit = np.flatnonzero(again)
+            hit = np.flatnonzero(repeated_rows(text, base[of] + step, g[part][of], depth, digit))
             if len(hit):  # runs of neighbouring windows of one span
                 brk = np.concatenate([[True], (np.diff(hit) > 1) | (of[hit][1:] != of[hit][:-1])])
-                lo = hit[brk]
-                hi = hit[np.concatenate([brk[1:], [True]])]
-                out_key.append(key[part][of[lo]])
-                out_start.append((start[part][of[lo]] + step[lo]).astype(np.uint32))
-                out_n.append((hi - lo + 1).astype(np.uint32))
-        join = lambda parts, t: (np.concatenate(parts) if parts else np.zeros(0, t)).astype(t).tobytes()
-        return pa.Table.from_pydict({"kind": [0], "a": [join(out_key, np.int64)], "b": [join(out_start, np.uint32)], "c": [join(out_n, np.uint32)]}, schema=FOUND)
+                lo, hi = hit[brk], hit[np.concatenate([brk[1:], [True]])]
+                rows.append((0, key[part][of[lo]].tobytes(), (start[part][of[lo]] + step[lo]).astype(np.uint32).tobytes(), (hi - lo + 1).astype(np.uint32).tobytes()))
+        return _found(rows)
 
     return run
 
 
-def _bitmap(found: DataFrame, max_bytes: int) -> bytes:
-    """The digits to refine, as a bitmap of at most ``max_bytes`` (a power of two)."""
-    todo = found.filter("kind = 1 and length(a) > 0")
-    total = todo.agg(F.sum(F.length("a"))).first()[0] or 0
-    size = 1 << 10
-    while size < min(max_bytes, 2 * total):
-        size *= 2
-    bits = np.zeros(size, np.uint8)
-    mask = U64(size * 8 - 1)
-    def local(batches):
-        own = np.zeros(size, np.uint8)
-        for batch in batches:
-            for a in batch.column(0).to_pylist():
-                slot = bs.mix(np.frombuffer(a, U64)) & mask
-                np.bitwise_or.at(own, (slot >> U64(3)).astype(np.int64), (U64(1) << (slot & U64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"bits": [own.tobytes()]})
-
-    for row in todo.select("a").coalesce(4).mapInArrow(local, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row[0], np.uint8)
-    return bits.tobytes()
+def settle_refined(depth, digit, buckets, block):
+    spans = settle_spans(depth, digit, block)
+    return lambda table: spans(table) if table.column("bucket")[0].as_py() < buckets else settle_ids(table, buckets)
 
 
 def _unpack_windows(batches):
     for batch in batches:
         for a, b, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.uint32).astype(np.int64)), pa.array(np.frombuffer(c, np.uint32).astype(np.int64))], names=["key", "first", "windows"])
+            keys = pa.array([a[i : i + 16] for i in range(0, len(a), 16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.frombuffer(b, np.uint32).astype(np.int64)), pa.array(np.frombuffer(c, np.uint32).astype(np.int64))], names=["key", "first", "windows"])
 
 
-def repeated_windows(docs: DataFrame, depth: int = 200, digit: int = 40, max_bitmap: int = 1 << 25) -> DataFrame:
+def repeated_windows(docs: DataFrame, depth: int = 200, digit: int = 40, max_bitmap: int = 1 << 24, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(key, first, windows): runs of byte positions at which a repeated window starts.
 
-    ``docs`` has ``key`` (64-bit identity of the row) and ``text``.
+    ``docs`` has ``key`` (identity of the row, 16 bytes) and ``text``.
     """
     spark = docs.sparkSession
+    texts_in_small_batches(spark)
     buckets = 4 * shuffle_width(spark)
-    digits = docs.mapInArrow(scan_digits(depth, digit, buckets), DIGITS_DDL)
-    found = checkpointed(digits.groupBy("bucket").applyInArrow(settle_digits, FOUND_DDL))
-    bitmap = spark.sparkContext.broadcast(_bitmap(found, max_bitmap))
-    spans = docs.mapInArrow(scan_spans(depth, digit, buckets, bitmap), SPANS_DDL)
-    refined = spans.groupBy("bucket").applyInArrow(settle_spans(depth), FOUND_DDL)
-    packed = found.filter("kind = 0").select("a", "b", "c").unionByName(refined.select("a", "b", "c")).filter("length(a) > 0")
-    return packed.mapInArrow(_unpack_windows, "key long, first long, windows long")
+    spans = docs.mapInArrow(scan_digits(depth, digit, buckets, block), PACKED_DDL)
+    found = checkpointed(spans.groupBy("bucket").applyInArrow(lambda t: settle_ids(t, buckets), FOUND_DDL))
+    dealt = found.filter("kind = 1").select("a", "b").mapInArrow(_deal_digits(buckets), "bucket int, a binary, b binary")
+    sizes = checkpointed(dealt.groupBy("bucket").applyInArrow(_unfinished(hot), "several binary, hot binary"))
+    bitmaps = spark.sparkContext.broadcast(_bitmaps(sizes, max_bitmap))
+    again = docs.mapInArrow(scan_spans(depth, digit, buckets, block, bitmaps), PACKED_DDL)
+    refined = again.groupBy("bucket").applyInArrow(settle_refined(depth, digit, buckets, block), FOUND_DDL)
+    packed = found.unionByName(refined).filter("kind = 0 and length(a) > 0").select("a", "b", "c")
+    return packed.mapInArrow(_unpack_windows, "key binary, first long, windows long")
 
 
 def _cut(depth: int, keep_text: bool):
@@ -332,7 +424,7 @@ def _cut(depth: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = 200, digit: int = 40, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 200, digit: int = 40, keep_text: bool = False, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Cut each byte covered by a ``depth``-byte string that starts anywhere else in ``docs``.
 
     Matches stay inside one row and are judged on the input. Returns ``doc_id``,
@@ -341,10 +433,11 @@ def remove_repeats(docs: DataFrame, depth: int = 200, digit: int = 40, keep_text
 
     A null text is empty; texts shorter than ``depth`` keep all bytes; repeated rows are
     separate documents and so repeat each other; ties cannot arise; an empty table gives
-    no rows; columns other than ``doc_id`` and ``text`` are ignored.
+    no rows; very long texts are read whole, ``block`` windows at a time; columns other than
+    ``doc_id`` and ``text`` are ignored. ``hot`` and ``block`` change the work, not the result.
     """
     keyed = docs.select("doc_id", "text").withColumn("key", row_key("doc_id", "text"))
-    runs = repeated_windows(keyed.select("key", "text"), depth, digit)
+    runs = repeated_windows(keyed.select("key", "text"), depth, digit, hot=hot, block=block)
     runs = runs.groupBy("key").agg(F.collect_list("first").alias("first"), F.collect_list("windows").alias("windows"))
     joined = keyed.join(runs.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "first", "windows")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text

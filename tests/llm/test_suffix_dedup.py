@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from lexloom.llm.suffix_dedup import remove_repeats
+from lexloom.llm import bytescan as bs
+from lexloom.llm.suffix_dedup import remove_repeats, repeated_rows
 from tests.llm.helpers import DOC, documents
 
 
@@ -52,17 +54,49 @@ def test_matches_brute_force(spark, seed):
     assert [got[i] for i in range(len(t))] == brute(t)
 
 
-def test_window_blocks_do_not_change_the_result(spark, monkeypatch):
-    from lexloom.llm import suffix_dedup
+@pytest.mark.parametrize("hot,block", [(0, 1 << 21), (2, 97), (512, 131)])
+def test_hot_digits_and_blocks_do_not_change_the_result(spark, hot, block):
+    t = texts(3, 14)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(spark, t), hot=hot, block=block).collect()}
+    assert [got[i] for i in range(len(t))] == brute(t)
 
-    t = texts(3, 10)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 97)
-    keys = [b for b in suffix_dedup.pieces(__import__("numpy").zeros(1000, "u1"), 200)]
-    assert len(keys) == 9 and len(keys[-1][1]) == 1000 - 8 * 97
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(spark, t)).collect()}
+
+def test_a_passage_in_many_contexts(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(60))
+    t = [f"{rng.random()} {' '.join(f'a{rng.randrange(10**6)}' for _ in range(30))} {passage} {' '.join(f'b{rng.randrange(10**6)}' for _ in range(30))}" for _ in range(150)] + ["same text " * 30] * 60
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(spark, t), hot=40).collect()}
     assert [got[i] for i in range(len(t))] == brute(t)
 
 
+def colliding(n):
+    """Two texts of n letters (a multiple of 4,096) that collide under every polynomial modulo 2**64."""
+    flip, x = bytes.maketrans(b"ab", b"ba"), b"a"
+    while len(x) < 2048:
+        x += x.translate(flip)
+    return x * (n // 2048), x.translate(flip) * (n // 2048)
+
+
+def test_colliding_hashes_do_not_remove_text(spark):
+    a, b = colliding(4096)
+    assert a != b
+    p = [int(bs.span_hash(bs.prefix_hash(np.frombuffer(x, np.uint8)), np.array([0]), np.array([4096]))[0]) for x in (a, b)]
+    assert p[0] == p[1]  # the quick hash does not tell them apart
+    docs = documents(spark, [a.decode(), b.decode()])
+    got = {r.doc_id: r.n_removed for r in remove_repeats(docs, depth=4096, digit=2048).collect()}
+    assert got == {0: 0, 1: 0}
+    text = np.frombuffer(a + b + a, np.uint8)
+    at = np.array([0, 4096, 8192])
+    assert repeated_rows(text, at, np.zeros(3, np.uint64), 4096, 4096).tolist() == [True, False, True]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i * 7919 % 1000003}" for i in range(150_000))
+    t = [long, "x" * 50 + long[500_000:500_400] + "y" * 60]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(documents(spark, t)).collect()}
+    assert got == {0: (len(long), 400, 1), 1: (510, 400, 1)}
+
+
 def test_edges(spark):
     empty = documents(spark, ["a"]).limit(0)
     assert remove_repeats(empty).collect() == []
