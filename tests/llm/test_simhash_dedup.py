@@ -76,8 +76,9 @@ def test_sharded_links_equal_all_pairs(centres, flips):
     nodes, root, shards = sd.fit_tree(x[::3], 4)
     got = sd.Forest(len(x))
     for _, home, query in sd.deal(x, nodes, root, 3):
+        own = np.searchsorted(x, np.concatenate([home, query]))
         a, b = sd.link(home, query, 3, block=400)
-        got.add(np.searchsorted(x, a), np.searchsorted(x, b))
+        got.add(own[a], own[b])
     got.merge()
     assert (got.parent == want.parent).all() and shards > 1
 
@@ -89,6 +90,8 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[210] == got[200] == got[190] == 190 and 100 not in got
     assert all(got[a] == got[b] for a, b in pairs if a != b)
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+    by_rounds = connected(spark.createDataFrame(pairs, "a long, b long").repartition(7), small=0).collect()
+    assert {r.node: r.root for r in by_rounds} == got and len(by_rounds) == len(got)
 
 
 def test_keep_one_and_edges(spark):
@@ -98,3 +101,54 @@ def test_keep_one_and_edges(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.n_chars or 0) for r in kept.collect()) == [(0, 0), (3, 2), (9, 0)]
     assert sd.near_duplicates(df.limit(0)).collect() == []
+    assert sd.keep_one(df.limit(0)).collect() == []
+    clash = df.withColumnsRenamed({"lang": "row", "source": "copy", "component_id": "root"}).selectExpr("*", "7 as n", "8 as __key")
+    assert sd.keep_one(clash).count() == 3 and sd.keep_one(clash).columns == clash.columns
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(text, n, rng):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_keep_one_finds_similar_texts(spark):
+    """Of copies with a similarity of 0.8 or more nine in ten go; other texts all stay."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(4000)]
+    zipf = [1 / (i + 1) for i in range(4000)]
+    base = [" ".join(rng.choices(vocab, zipf, k=rng.choice([60, 120, 300, 900]))) for _ in range(120)]
+    near, far = [], []
+    for t in base:
+        n = len(t.split())
+        near.append(edited(t, max(1, n // 60), rng))
+        far.append(edited(t, n // 8, rng))
+    alike = [jaccard(a, b) for a, b in zip(base, near)]
+    assert min(alike) > 0.78 and max(jaccard(a, b) for a, b in zip(base, far)) < 0.6
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in base]
+    kept = {r.doc_id for r in sd.keep_one(documents(spark, base + near + far + shuffled)).collect()}
+    assert set(range(120)) <= kept and set(range(240, 480)) <= kept
+    found = [i for i in range(120) if alike[i] >= 0.8]
+    assert len(found) > 60 and sum(120 + i not in kept for i in found) >= 0.9 * len(found)
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
+    copies = [text, *(edited(text, 2, rng) for _ in range(700))]
+    other = [" ".join(f"v{rng.randrange(500)}" for _ in range(100)) for _ in range(20)]
+    assert {r.doc_id for r in sd.keep_one(documents(spark, copies + other)).collect()} == {0, *range(701, 721)}
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(120_000))
+    t = [long, long + " end", "short text"]
+    got = {r.doc_id: r for r in sd.near_duplicates(documents(spark, t)).collect()}
+    assert got[0].component_id == got[1].component_id == 0 and got[0].fingerprint == f"{slow_fingerprint(long):016x}"
+    assert {r.doc_id for r in sd.keep_one(documents(spark, t)).collect()} == {0, 2}
