@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import bytescan as bs
 from lexloom.llm.labelled import fold, training_sample
+from lexloom.llm.runtime import texts_in_small_batches
 from lexloom.llm.toxicity import sigmoid
 
 WORDS, BINS, META, RANK = 1 << 15, 12, 32, 6
@@ -169,7 +170,7 @@ def _describe_rows(batches):
 
 def fit(sample: DataFrame):
     """(edges, model) from rows (y, text, n_chars) of bounded number."""
-    rows = list(sample.mapInArrow(_describe_rows, "y int, kind long, stats binary, words binary").toLocalIterator())
+    rows = list(sample.mapInArrow(_describe_rows, "y int, kind long, stats binary, words binary").collect())
     rows.sort(key=lambda r: (r.stats, r.words, r.y))  # training does not depend on layout
     y = np.array([r.y for r in rows], float)
     stats = np.frombuffer(b"".join(r.stats for r in rows), float).reshape(-1, STATS)
@@ -200,12 +201,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> D
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Trains on at most ``max_rows`` labelled rows whose crc32(doc_id as text) mod 4 is not
-    2. A null or empty text has no words and the statistics of an empty text; a null
+    2. A null or empty text has no words and the statistics of an empty text; a very long one
+    is described whole; a null
     n_chars has an interval of its own; a null doc_id is scored, not held out, and never
     trains; repeated rows score alike; empty ``docs`` give no rows, and without labels of
     both classes the score is the smoothed rate of ones; other columns are ignored.
     """
     sample = training_sample(docs, labels, "quality", 4, 2, max_rows, "n_chars").select("y", "text", F.col("n_chars").cast("long").alias("n_chars"))
+    texts_in_small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample))
     scored = docs.select("doc_id", fold(4, 2), "text", F.col("n_chars").cast("long").alias("n_chars"))
     scored = scored.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import bytescan as bs
 from lexloom.llm.labelled import fold, training_sample
+from lexloom.llm.runtime import texts_in_small_batches
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -99,14 +100,17 @@ def _sum_range(table: pa.Table) -> pa.Table:
 
 
 def _active_features(active):
+    """Labels, numbers of active features and the features of a chunk's rows, packed."""
+
     def run(batches):
+        number = np.cumsum(active.value, dtype=np.int32) - 1
         for batch in batches:
             y = batch.column(0).to_numpy()
             for lo, data, offs in bs.chunks(batch.column(1)):
                 f = row_features(data, offs, active.value)
-                cuts = np.searchsorted(f >> BITS, np.arange(len(offs)))
-                f = (f & ((1 << BITS) - 1)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"y": pa.array(y[lo : lo + len(offs) - 1], pa.int32()), "f": [f[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+                count = np.bincount(f >> BITS, minlength=len(offs) - 1).astype(np.int32)
+                own = y[lo : lo + len(offs) - 1].astype(np.int8)
+                yield pa.RecordBatch.from_pydict({"y": [own.tobytes()], "n": [count.tobytes()], "f": [number[f & ((1 << BITS) - 1)].tobytes()]})
 
     return run
 
@@ -123,9 +127,9 @@ def fit(sample: DataFrame):
     """
     spark = sample.sparkSession
     sums = sample.mapInArrow(_frequencies, "part int, clean binary, toxic binary").groupBy("part").applyInArrow(_sum_range, "part int, clean binary, toxic binary")
-    counts, rows = np.zeros((2, 1 << BITS)), np.zeros(2)
+    counts, rows = np.zeros((2, 1 << BITS), np.int32), np.zeros(2)
     width = (1 << BITS) // RANGES
-    for part, clean, toxic in sums.toLocalIterator():
+    for part, clean, toxic in sums.collect():
         for k, x in enumerate((clean, toxic)):
             if part < 0:
                 rows[k] = np.frombuffer(x, np.int64)[0]
@@ -134,29 +138,38 @@ def fit(sample: DataFrame):
     weights, b = np.zeros(1 << BITS, np.float32), float(np.log((rows[1] + 1) / (rows[0] + 9)))
     if not rows.all():
         return weights, b
-    ratio = np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
-    active = (counts.sum(0) >= MIN_DF) & (np.abs(ratio) >= MIN_RATIO)
-    ids = np.flatnonzero(active)
-    number = np.zeros(1 << BITS, np.int32)
-    number[ids] = np.arange(len(ids))
-    y, cols = [], []
-    for label, f in sample.mapInArrow(_active_features(spark.sparkContext.broadcast(active)), "y int, f binary").toLocalIterator():
-        y.append(label)
-        cols.append(number[np.frombuffer(f, np.int32)])
-    row = np.repeat(np.arange(len(y)), [len(c) for c in cols])
-    col, y, r = np.concatenate(cols), np.array(y, float), ratio[ids]
-    lift = np.where(y == 1, LIFT, 1.0)
-    w = np.zeros(len(ids) + 1)
+    ids = np.flatnonzero(counts[0] + counts[1] >= MIN_DF)
+    ratio = np.log((counts[1, ids] + 1) / (rows[1] + 2)) - np.log((counts[0, ids] + 1) / (rows[0] + 2))
+    ids, ratio = ids[np.abs(ratio) >= MIN_RATIO], ratio[np.abs(ratio) >= MIN_RATIO]
+    del counts
+    active = np.zeros(1 << BITS, bool)
+    active[ids] = True
+    sent = spark.sparkContext.broadcast(active)
+    packed = sample.mapInArrow(_active_features(sent), "y binary, n binary, f binary").collect()
+    blocks = [(np.frombuffer(r.y, np.int8), np.frombuffer(r.n, np.int32), np.frombuffer(r.f, np.int32)) for r in packed]
+    sent.destroy()
+    weights[ids], b = _train(blocks, ratio, b)
+    return weights, b
+
+
+def _train(blocks, r, b):
+    """Full-batch Adam on the log loss with a ridge; the rows are visited block by block."""
+    total = sum(len(y) for y, _, _ in blocks)
+    w = np.zeros(len(r) + 1)
     w[-1] = b
     first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, EPOCHS + 1):  # full-batch Adam on the log loss with a ridge
-        z = np.bincount(row, weights=(w[:-1] * r)[col], minlength=len(y)) + w[-1]
-        d = (sigmoid(z) - y) * lift / len(y)
-        grad = np.append(np.bincount(col, weights=d[row], minlength=len(ids)) * r + RIDGE * w[:-1], d.sum())
+    for step in range(1, EPOCHS + 1):
+        scaled, grad = w[:-1] * r, np.zeros_like(w)
+        for y, n, col in blocks:
+            row = np.repeat(np.arange(len(y)), n)
+            z = np.bincount(row, weights=scaled[col], minlength=len(y)) + w[-1]
+            d = (sigmoid(z) - y) * np.where(y == 1, LIFT, 1.0) / total
+            grad[:-1] += np.bincount(col, weights=d[row], minlength=len(r))
+            grad[-1] += d.sum()
+        grad[:-1] = grad[:-1] * r + RIDGE * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    weights[ids] = w[:-1] * r
-    return weights, float(w[-1])
+    return w[:-1] * r, float(w[-1])
 
 
 def _score(model):
@@ -184,11 +197,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) ->
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Trains on at most ``max_rows`` labelled rows whose crc32(doc_id as text) mod 5 is not
-    0. A null or empty text has no n-grams and scores by the intercept; a null doc_id is
+    0. A null or empty text has no n-grams and scores by the intercept, a very long one by all
+    of its n-grams; a null doc_id is
     scored, not held out, and never trains; repeated rows score alike; empty ``docs`` give
     no rows, and without labels of both classes the score is the smoothed rate of ones;
     other columns are ignored.
     """
+    texts_in_small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic", 5, 0, max_rows)))
     scored = docs.select("doc_id", fold(5, 0), "text").mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -199,6 +214,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = 12000) -> Dat
 
     The text is scored inside its own row, so nothing is joined back.
     """
+    texts_in_small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic", 5, 0, max_rows)))
     packed = docs.select(F.struct(*docs.columns).alias("row"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
