@@ -8,13 +8,12 @@ stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import decontaminate, simhash_dedup, source_mix, suffix_dedup, toxicity
-from lexloom.llm.runtime import read_table
+from lexloom.llm.runtime import read_table, removed, shared_folder
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id."""
+    """One document of each group of texts alike by 0.8 or more: the smallest doc_id."""
     return simhash_dedup.keep_one(docs)
 
 
@@ -59,12 +58,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each through a table in the shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared or tempfile.gettempdir()}/pipeline-{uuid.uuid4()}"
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``, each through a table in the shared folder.
+
+    A stage's table goes once the next one is written; that of the last stage stays.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            removed(spark, before)
+        before = at
     return docs
