@@ -131,6 +131,13 @@ def json_part(text: Column) -> Column:
     return strip(F.coalesce(pick(r"(?s)```(?:json)?\s*(.*?)```", 1), pick(r"(?s)\[.*\]", 0), pick(r"(?s)\{.*\}", 0), thought))
 
 
+def json_object(text: Column) -> Column:
+    """The JSON object of model output: thoughts dropped, then the fenced block, then the widest object."""
+    thought = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    pick = lambda p, g: F.nullif(F.regexp_extract(thought, p, g), F.lit(""))
+    return strip(F.coalesce(pick(r"(?s)```(?:json)?\s*(.*?)```", 1), pick(r"(?s)\{.*\}", 0), thought))
+
+
 def parent_block(chunk_id: Column, parent_id: Column | None = None) -> Column:
     """Parent of a chunk or bridge id: what precedes its last ``_chunk`` or ``_bridge``."""
     part = lambda p: F.nullif(F.regexp_extract(chunk_id, p, 1), F.lit(""))
@@ -144,11 +151,30 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def with_acronyms(query: Column) -> Column:
+    """The query's tokens without stopwords; acronyms stay though a stopword spells like them."""
+    left = F.filter(plain_tokens(query), lambda t: ~F.lower(t).isin(STOPWORDS) | t.rlike("^[A-Z]{2,}$"))
+    return F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(query)
+
+
 def overlap_label(overlap: Column) -> Column:
-    """How far a paraphrase is from its original."""
-    return F.when(overlap > 0.8, "low_gap").when(overlap < 0.2, "high_gap").otherwise("good")
+    """How far a paraphrase is from its original; null, a failed paraphrase, counts as overlap 1."""
+    return F.when(overlap.isNull(), "failed").when(overlap > 0.8, "low_gap").when(overlap < 0.2, "high_gap").otherwise("good")
 
 
 def repeated_tokens(term: Column, reps: Column) -> Column:
     """A term's tokens, repeated."""
     return F.flatten(F.array_repeat(F.filter(F.split(term, r"(?U)\s+"), lambda t: t != ""), reps.cast("int")))
+
+
+def round_binary(value: Column, digits: int = 2) -> Column:
+    """A double in [0, 1] rounded by its binary value, ties to even, as Python's ``round`` does.
+
+    ``bround`` rounds the shortest decimal that prints the number: 0.175 is below the tie.
+    """
+    whole = F.lit(1 << 60).cast("decimal(20,0)")
+    scaled = (value * F.lit(float(1 << 60))).cast("long").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(4,0)")
+    low = F.floor(scaled / whole).cast("decimal(20,0)")
+    twice = (scaled - low * whole) * F.lit(2).cast("decimal(2,0)")
+    up = (twice > whole) | ((twice == whole) & (low % 2 == 1))
+    return (low.cast("double") + F.when(up, 1.0).otherwise(0.0)) / float(10**digits)

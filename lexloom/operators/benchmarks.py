@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexloom.functions import text as tx
 from lexloom.operators.expansion import fold_distinct
+from lexloom.operators.rerank import ask
 from lexloom.operators.scoring import dot, norm
 
 
@@ -89,8 +90,8 @@ def multi_block(gold: DataFrame) -> DataFrame:
     return per.withColumn("multi", F.col("blocks") > 1)
 
 
-def valid_seeds(questions: Column, source: Column) -> Column:
-    """Whether there are exactly four seeds with question, answer and quotes; quotes are checked apart."""
+def valid_seeds(questions: Column) -> Column:
+    """Whether there are exactly four seeds with type, question, answer and quotes."""
     full = lambda q: q.question.isNotNull() & q.golden_answer.isNotNull() & q.evidence_quotes.isNotNull() & q.query_type.isNotNull()
     return (F.size(questions) == 4) & F.forall(questions, full)
 
@@ -108,3 +109,38 @@ def split_verdicts(judged: DataFrame) -> DataFrame:
     sure = judged.filter(F.size("verdicts") >= 2).filter(F.forall("verdicts", lambda v: v))
     own = tx.parent_block(F.col("chunk_id"), F.col("chunk_id")) == F.col("parent_source")
     return sure.select("qid", "chunk_id", F.when(own, "core").otherwise("extended").alias("kind"))
+
+
+JUDGE = "You are a judge. Answer with a JSON list of booleans, one for each chunk."
+
+
+def judged(candidates: DataFrame, model, size: int = 5, head: str = JUDGE) -> DataFrame:
+    """(qid, chunk_id, parent_source, verdicts) of candidates (qid, question, parent_source, chunk_id, text).
+
+    Batches hold chunks in an order given by a hash. A list of another length than its batch
+    is false for all; what is true is asked again by itself, and ``verdicts`` holds both answers.
+    """
+    at = F.row_number().over(Window.partitionBy("qid").orderBy(F.xxhash64("qid", "chunk_id"), "chunk_id")) - 1
+    rows = candidates.withColumn("batch", F.floor(at / size).cast("int")).withColumn("slot", (at % size).cast("int"))
+    block = F.concat(F.lit("--- Chunk "), F.col("slot").cast("string"), F.lit(" ---\n"), "text")
+    lists = rows.groupBy("qid", "question", "batch").agg(F.sort_array(F.collect_list(F.struct("slot", block.alias("b")))).alias("d"))
+    prompt = F.concat(F.lit(f"{head}\nQuery: "), "question", F.lit("\n\n"), F.array_join(F.transform("d", lambda x: x.b), "\n\n"))
+    answer = F.from_json(tx.json_part(F.col("answer")), "array<boolean>")
+    first = ask(lists, prompt, model).withColumn("v", answer)
+    first = first.select("qid", "batch", F.when(F.size("v") == F.size("d"), F.col("v")).alias("v"))
+    told = rows.join(first, ["qid", "batch"], "left").withColumn("first", F.coalesce(F.get("v", F.col("slot")), F.lit(False))).drop("v", "batch", "slot")
+    alone = F.concat(F.lit(f"{head}\nQuery: "), "question", F.lit("\n\n--- Chunk 0 ---\n"), "text")
+    again = ask(told.filter("first").select("qid", "chunk_id", "question", "text"), alone, model).withColumn("v", answer)
+    again = again.select("qid", "chunk_id", F.when(F.size("v") == 1, F.coalesce(F.get("v", F.lit(0)), F.lit(False))).otherwise(False).alias("second"))
+    both = told.join(again, ["qid", "chunk_id"], "left")
+    return both.select("qid", "chunk_id", "parent_source", F.filter(F.array("first", "second"), lambda x: x.isNotNull()).alias("verdicts"))
+
+
+def with_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Child chunks with the text of their parent block."""
+    return children.join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id")
+
+
+def run_against_gold(runs: DataFrame, gold: DataFrame) -> DataFrame:
+    """A run's rows (query, ...) with the truth of the same question; others are left out."""
+    return runs.join(gold.withColumnRenamed("question", "query"), "query")

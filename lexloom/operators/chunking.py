@@ -39,3 +39,35 @@ def bridges(blocks: DataFrame, half: int = 500) -> DataFrame:
     joined = F.concat(F.slice("t", F.greatest(F.size("t") - half + 1, F.lit(1)), F.lit(half)), F.slice("next", 1, half))
     name = F.concat(F.col("doc_id").cast("string"), F.lit("_bridge"), F.col("i"), F.lit("-"), F.col("i") + 1)
     return rows.select("doc_id", name.alias("parent_id"), name.alias("chunk_id"), F.array_join(joined, " ").alias("text"), F.size(joined).alias("token_count"))
+
+
+def bpe_windows(docs: DataFrame, ranks_path: str, pattern: str, size: int, overlap: int) -> DataFrame:
+    """(doc_id, i, text, token_count): windows of ``size`` byte-pair tokens, each decoded again.
+
+    ``ranks_path`` is a file of base64 tokens and ranks, readable on every executor; a text
+    without tokens has no window, and the last window ends with the text.
+    """
+
+    def run(batches):
+        import base64
+
+        import pandas as pd
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                ids, at, i = coder.encode_ordinary(text or ""), 0, 0
+                while ids:
+                    part = ids[at : at + size]
+                    rows.append((doc_id, i, coder.decode(part), len(part)))
+                    if at + size >= len(ids):
+                        break
+                    at, i = at + size - overlap, i + 1
+            yield pd.DataFrame(rows, columns=["doc_id", "i", "text", "token_count"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, i int, text string, token_count int")

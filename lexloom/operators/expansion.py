@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from lexloom.functions import text as tx
 from lexloom.operators.index import idf_summary, normalised_idf, term_idf
-from lexloom.operators.scoring import dot, small
+from lexloom.operators.scoring import dot
 from lexloom.operators.vocabulary import hash_vector
 
 
@@ -99,12 +99,15 @@ def candidates(chosen: DataFrame, queries: DataFrame, vocabulary: DataFrame, enc
     """(qid, aspect, rank, term, term_idf, sim): vocabulary terms at least ``tau`` similar.
 
     sim = beta * cos(anchor, term) + (1 - beta) * cos(query, term). The vocabulary
-    (rank, term, idf) has a stated limit and is the broadcast side.
+    (rank, term, idf) has a stated limit and is the broadcast side; one with ``qid`` holds
+    each query's own terms.
     """
-    vocab = small(vocabulary.select("rank", "term", F.col("idf").alias("term_idf"), encode(F.col("term")).alias("vvec")))
+    own = "qid" in vocabulary.columns
+    vocab = vocabulary.select(*["qid"] * own, "rank", "term", F.col("idf").alias("term_idf"), encode(F.col("term")).alias("vvec"))
     q = queries.select("qid", encode(F.col("query")).alias("qvec"))
     a = chosen.select("qid", "aspect", "anchor", encode(F.col("anchor")).alias("avec"))
-    by_query = q.crossJoin(vocab).select("qid", "rank", "term", "term_idf", "vvec", dot(F.col("qvec"), F.col("vvec")).alias("q_sim"))
+    pairs = q.join(vocab, "qid") if own else q.crossJoin(F.broadcast(vocab))
+    by_query = pairs.select("qid", "rank", "term", "term_idf", "vvec", dot(F.col("qvec"), F.col("vvec")).alias("q_sim"))
     both = a.join(by_query, "qid").withColumn("sim", s.beta * dot(F.col("avec"), F.col("vvec")) + (1 - s.beta) * F.col("q_sim"))
     gate = (F.round("sim", 9) >= s.tau) & (F.lower("term") != F.lower("anchor"))
     return both.filter(gate).select("qid", "aspect", "rank", "term", "term_idf", "sim")
@@ -220,23 +223,61 @@ def telemetry(keywords: DataFrame) -> DataFrame:
     )
 
 
+def traces(chosen: DataFrame, queries: DataFrame, vocabulary: DataFrame, keywords: DataFrame, encode=hash_vector, s: Settings = Settings(), most: int = 10) -> DataFrame:
+    """Per aspect: its anchor, how many candidates reach ``tau``, the first ``most`` of them by
+    similarity, and the terms that were injected."""
+    found = candidates(chosen, queries, vocabulary, encode, s)
+    order = Window.partitionBy("qid", "aspect").orderBy(F.desc(F.round("sim", 9)), "rank")
+    best = found.withColumn("at", F.row_number().over(order))
+    item = F.when(F.col("at") <= most, F.struct("at", "term", F.col("sim").alias("similarity"), F.col("term_idf").alias("idf")))
+    per = best.groupBy("qid", "aspect").agg(F.count("*").alias("total_candidates_above_tau"), F.sort_array(F.collect_list(item)).alias("candidates_above_tau"))
+    own = keywords.groupBy("qid", "aspect").agg(F.sort_array(F.collect_list(F.when(F.col("place") > 0, F.struct("place", "term")))).alias("i"), F.max(F.when(F.col("place") == 0, F.col("reps"))).alias("repetition"))
+    rows = chosen.select("qid", "aspect", "anchor", "is_entity", "idf").join(per, ["qid", "aspect"], "left").join(own, ["qid", "aspect"], "left")
+    return rows.select(
+        "qid", "aspect", "anchor", "is_entity", "idf", "repetition", F.coalesce("total_candidates_above_tau", F.lit(0)).alias("total_candidates_above_tau"),
+        "candidates_above_tau", F.transform("i", lambda x: x.term).alias("injected"),
+    )
+
+
+def within_budget(anchored: DataFrame, budget: int = 6) -> DataFrame:
+    """(qid, aspect, saliency) with ``capacity``: by saliency, while a query's sum stays in the budget."""
+    order = Window.partitionBy("qid").orderBy(F.desc("saliency"), "aspect")
+    before = F.coalesce(F.sum(capacity(F.col("saliency"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return anchored.withColumn("capacity", F.greatest(F.lit(0), F.least(capacity(F.col("saliency")), budget - before)).cast("int"))
+
+
 def capacity(saliency: Column) -> Column:
     """Capacity 0 to 3 by saliency."""
     return F.when(saliency >= 0.85, 3).when(saliency >= 0.6, 2).when(saliency >= 0.25, 1).otherwise(0)
 
 
-def local_terms(queries: DataFrame, index, hits: DataFrame, idf_of, limit: int = 300) -> DataFrame:
-    """Vocabulary for the local cascade: global unigrams, and bigrams of the first hits."""
+def local_terms(queries: DataFrame, index, hits: DataFrame, idf_of, limit: int = 300, idf_floor: float = 1.5) -> DataFrame:
+    """(qid, rank, term, count, idf, salience) for the local cascade, each query by itself.
+
+    Global unigrams compete with the bigrams of the query's own first hits.
+    """
     from lexloom.operators import vocabulary as vb
 
-    local = index.chunks.join(hits.select("ord").distinct(), "ord", "left_semi")
-    return vb.salient(replace(index, chunks=local), idf_of, limit)
+    uni = vb.unigrams(index).orderBy(F.desc("df"), "term").limit(2500).select("term", F.col("df").alias("count"))
+    texts = index.chunks.select("ord", vb.neighbours(F.col("text")).alias("pairs")).join(hits.select("qid", "ord"), "ord")
+    bi = texts.select("qid", F.explode("pairs").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("count")).filter("count >= 2")
+    order = Window.partitionBy("qid").orderBy(F.desc("count"), "term")
+    bi = bi.withColumn("at", F.row_number().over(order)).filter("at <= 1000").drop("at")
+    pool = queries.select("qid").crossJoin(F.broadcast(uni)).unionByName(bi)
+    scored = pool.join(idf_of(pool), "term").filter(F.col("idf") >= idf_floor).withColumn("salience", F.col("idf") * F.log(1 + F.col("count")))
+    place = Window.partitionBy("qid").orderBy(F.desc(F.round("salience", 9)), "term")
+    return scored.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit)
 
 
 def prf_terms(hits: DataFrame, index, known: DataFrame, top_docs: int = 3, most: int = 3) -> DataFrame:
     """(qid, term, tf, weight): frequent new tokens of the first documents, weight tf / max tf."""
-    tokens = hits.filter(F.col("rank") <= top_docs).join(index.postings, "ord").filter(F.length("term") > 3)
+    first = hits.filter(F.col("rank") <= top_docs).select("qid", "ord")
+    if index.kept:
+        tokens = first.join(index.postings, "ord")
+    else:  # only the first documents' tokens are counted
+        tokens = index.tokens.join(first, "ord").select("qid", "ord", F.explode("tokens").alias("term")).groupBy("qid", "ord", "term").agg(F.count("*").alias("tf"))
+    tokens = tokens.filter(F.length("term") > 3)
     tokens = tokens.join(known, ["qid", "term"], "left_anti").groupBy("qid", "term").agg(F.sum("tf").alias("tf"))
     order = Window.partitionBy("qid").orderBy(F.desc("tf"), "term")
     best = tokens.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
-    return best.withColumn("weight", F.bround(F.col("tf") / F.max("tf").over(Window.partitionBy("qid")), 2)).drop("at")
+    return best.withColumn("weight", tx.round_binary(F.col("tf") / F.max("tf").over(Window.partitionBy("qid")))).drop("at")

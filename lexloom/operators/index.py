@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tempfile
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +14,37 @@ from lexloom.functions import text as tx
 
 @dataclass(frozen=True)
 class Index:
-    """Lazy tables: postings (term, ord, tf), lengths (ord, dl), terms (term, df, idf), stats (n, avgdl)."""
+    """Lazy tables: tokens (ord, tokens), postings (term, ord, tf), lengths (ord, dl),
+    terms (term, df, idf), stats (n, avgdl). ``kept`` tells that postings are stored."""
 
     chunks: DataFrame
+    tokens: DataFrame
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     stats: DataFrame
+    kept: bool = False
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew if it has fewer partitions than the cluster has cores (a small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back.
+
+    Only a session on one machine may name none.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(f"{named or tempfile.gettempdir() + '/checkpoints'}/{uuid.uuid4()}")
+    return df.checkpoint(eager=True)
 
 
 def lucene_idf(n: Column, df: Column) -> Column:
@@ -26,15 +52,33 @@ def lucene_idf(n: Column, df: Column) -> Column:
 
 
 def build(chunks: DataFrame, tokenizer=tx.whitespace_tokens) -> Index:
-    """An index of ``chunks``. Persist ``postings`` sorted by term for repeated use."""
-    tokens = chunks.select("ord", tokenizer(F.col("text")).alias("tokens"))
-    # tf is summed before the shuffle: one row per (document, term) leaves a task.
-    postings = tokens.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count("*").alias("tf"))
+    """An index of ``chunks``; nothing is computed until it is asked for."""
+    plain = chunks.select("ord", "text")
+    tokens = spread(plain).select("ord", tokenizer(F.col("text")).alias("tokens"))
+    # Texts are dealt by ord, which is less to move than their (document, term) rows; the
+    # counts of a document then need no further exchange.
+    dealt = plain.repartition("ord").select("ord", tokenizer(F.col("text")).alias("tokens"))
+    postings = dealt.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count("*").alias("tf"))
     lengths = tokens.select("ord", F.size("tokens").cast("long").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return Index(chunks, tokens, postings, lengths, _terms(postings, stats), stats)
+
+
+def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", lucene_idf(F.col("n"), F.col("df")).alias("idf"))
-    return Index(chunks, postings, lengths, terms, stats)
+    return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", lucene_idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+def keep_terms(index: Index) -> Index:
+    """The index with its term table stored, for plans that read it more than once."""
+    return replace(index, terms=stored(index.terms))
+
+
+def keep(index: Index) -> Index:
+    """The index with postings, lengths and terms stored, for batch after batch of queries."""
+    postings, lengths = stored(index.postings), stored(index.lengths)
+    stats = stored(lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")))
+    return replace(index, postings=postings, lengths=lengths, terms=stored(_terms(postings, stats)), stats=stats, kept=True)
 
 
 def idf_summary(terms: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ def at_k(hits: DataFrame, gold: DataFrame, queries: DataFrame, k: int = 10) -> D
     )
 
 
+def doc_recall(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """One row, (doc_recall, queries): mean over queries with gold documents of the percentage
+    of them among the documents of the first k hits. Both sides are (qid, doc_id)."""
+    found = hits.filter(F.col("rank") <= k).select("qid", "doc_id").distinct().withColumn("hit", F.lit(1))
+    per = gold.select("qid", "doc_id").distinct().join(found, ["qid", "doc_id"], "left").groupBy("qid").agg((100 * F.count("hit") / F.count("*")).alias("share"))
+    return per.agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("doc_recall"), F.count("*").alias("queries"))
+
+
 def means(per_query: DataFrame, *by: str) -> DataFrame:
     """Means of all metrics, over groups if asked for."""
     names = [c for c in ("precision", "precision_at_k", "recall", "strict", "mrr", "complete") if c in per_query.columns]

@@ -85,6 +85,57 @@ def listwise(hits: DataFrame, prompt_of_list: Callable[[pd.DataFrame], str], mod
     return apply_order(hits, lists, k)
 
 
+def in_batches(queue: DataFrame, size: int, *order: Column) -> DataFrame:
+    """``queue`` with ``batch`` and ``slot``: each query's rows in this order, ``size`` a batch."""
+    at = F.row_number().over(Window.partitionBy("qid").orderBy(*order, "ord")) - 1
+    return queue.withColumn("batch", F.floor(at / size).cast("int")).withColumn("slot", (at % size).cast("int"))
+
+
+def _asked(rows: DataFrame, evidence: Column, queries: DataFrame, head: str, model) -> DataFrame:
+    """(qid, batch, answer): one prompt a batch, its documents named ``doc_<slot>``."""
+    block = F.concat(F.lit("Document ID: doc_"), F.col("slot").cast("string"), F.lit("\n"), evidence, F.lit("\n" + "-" * 40))
+    texts = rows.groupBy("qid", "batch").agg(F.sort_array(F.collect_list(F.struct("slot", block.alias("b")))).alias("d"))
+    prompt = F.concat(F.lit(head), F.lit("\nQuery: "), "query", F.lit("\n\n"), F.array_join(F.transform("d", lambda x: x.b), "\n"))
+    return ask(texts.join(queries.select("qid", "query"), "qid"), prompt, model).select("qid", "batch", "answer")
+
+
+POINTWISE = 'Judge each document. Answer as JSON: {"evaluations": [{"chunk_id": "doc_0", "relevant": true, "relevance_score": 0.9}]}'
+LISTWISE = 'List the relevant documents, best first. Answer as JSON: {"target_fact": "...", "relevant_chunk_ids": ["doc_0"]}'
+
+
+def pointwise_batches(queue: DataFrame, queries: DataFrame, model, size: int = 5, head: str = POINTWISE) -> DataFrame:
+    """(qid, ord, relevance_score, position) of the documents called relevant, best score first.
+
+    Batches keep the queue's rank; only aliases count as names; an unreadable batch adds none.
+    """
+    rows = in_batches(queue, size, F.col("rank"))
+    answers = _asked(rows, F.trim("text"), queries, head, model)
+    schema = "struct<evaluations:array<struct<chunk_id:string,relevant:boolean,relevance_score:double>>>"
+    told = answers.select("qid", "batch", F.posexplode(F.from_json(tx.json_object(F.col("answer")), schema)["evaluations"]).alias("at", "e"))
+    last = told.groupBy("qid", "batch", F.col("e.chunk_id").alias("alias")).agg(F.max_by("e", "at").alias("e"))
+    hit = rows.withColumn("alias", F.concat(F.lit("doc_"), F.col("slot").cast("string"))).join(last, ["qid", "batch", "alias"]).filter("e.relevant")
+    scored = hit.withColumn("relevance_score", F.coalesce("e.relevance_score", F.lit(0.0)))
+    order = Window.partitionBy("qid").orderBy(F.desc("relevance_score"), "batch", "slot")
+    return scored.select("qid", "ord", "relevance_score", F.row_number().over(order).alias("position"))
+
+
+def listwise_batches(queue: DataFrame, queries: DataFrame, model, size: int = 10, presort: str | None = "score", most_chars: int = 2000, head: str = LISTWISE) -> DataFrame:
+    """(qid, ord, relevance_score, position) of the documents a model lists, batch after batch.
+
+    The queue is sorted by ``presort`` (``score``, or the ``length`` of its samples), largest
+    first, or left in rank order. Aliases and chunk ids count as names; the place in a list
+    gives the score max(0, 1 - 0.1 * place), and a document's first mention its position.
+    """
+    rows = in_batches(queue, size, F.desc(F.round(presort, 9)) if presort else F.col("rank"))
+    answers = _asked(rows, F.concat(F.lit("Passage:\n"), F.trim(tx.first_chars(F.col("text"), most_chars))), queries, head, model)
+    told = answers.select("qid", "batch", F.posexplode(F.from_json(tx.json_object(F.col("answer")), "struct<relevant_chunk_ids:array<string>>")["relevant_chunk_ids"]).alias("at", "name"))
+    alias = F.concat(F.lit("doc_"), F.col("slot").cast("string"))
+    names = rows.select("qid", "batch", "ord", F.explode(F.array_distinct(F.array(alias, "chunk_id"))).alias("name"))
+    hit = names.join(told, ["qid", "batch", "name"]).groupBy("qid", "batch", "ord").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("qid").orderBy("batch", "first")
+    return hit.select("qid", "ord", F.greatest(F.lit(0.0), F.round(1 - 0.1 * F.col("last"), 9)).alias("relevance_score"), F.row_number().over(order).alias("position"))
+
+
 def targets(routed: DataFrame, reranked: DataFrame) -> DataFrame:
     """Bypassed hits, then reranked ones; the best hit where a query has neither."""
     through = routed.filter("decision = 'bypass'").select("qid", "ord", F.lit(0).alias("lane"), F.col("rank").alias("at"))

@@ -71,10 +71,15 @@ def mass_focus(samples: DataFrame, query_aspects: DataFrame, tau_alpha=0.85, tau
 
 
 def sensitivity(samples: DataFrame, query_aspects: DataFrame, settings: dict[str, dict]) -> DataFrame:
-    """(setting, bypass, rerank, discard, ratio) of several threshold sets."""
+    """(setting, bypass, rerank, discard, ratio) of several threshold sets, in one plan.
+
+    ``ratio`` is the length of the samples kept (bypassed or reranked) over that of all chunks.
+    """
+    sizes = samples.filter("chunk_length > 0").groupBy("chunk_id").agg(F.first("chunk_length").alias("whole"), F.sum("length").alias("kept"))
     out = None
     for name, kw in settings.items():
-        counts = mass_focus(samples, query_aspects, **kw).agg(*(F.count_if(F.col("decision") == d).alias(d) for d in ("bypass", "rerank", "discard")))
-        row = counts.select(F.lit(name).alias("setting"), "bypass", "rerank", "discard")
+        row = mass_focus(samples, query_aspects, **kw).select(F.lit(name).alias("setting"), "chunk_id", "decision")
         out = row if out is None else out.unionByName(row)
-    return out
+    through = F.col("decision").isin("bypass", "rerank")
+    counts = (F.count_if(F.col("decision") == d).alias(d) for d in ("bypass", "rerank", "discard"))
+    return out.join(sizes, "chunk_id").groupBy("setting").agg(*counts, (F.sum(F.when(through, F.col("kept")).otherwise(0)) / F.sum("whole")).alias("ratio"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import text as tx
-from lexloom.operators.index import Index
+from lexloom.operators.index import Index, lucene_idf, stored
 
 #: Rows of query terms up to which that side is broadcast; beyond, the planner shuffles.
 SMALL_SIDE = 100_000
@@ -24,30 +24,56 @@ def query_terms(queries: DataFrame, tokenizer=tx.whitespace_tokens) -> DataFrame
     return tokens.groupBy("qid", "term").agg(F.count("*").cast("double").alias("w"))
 
 
+def fits(df: DataFrame, bound: int = SMALL_SIDE) -> bool:
+    """Whether ``df``, a table of queries or what they ask for, has at most ``bound`` rows."""
+    return df.limit(bound + 1).count() <= bound
+
+
 def small(df: DataFrame, bound: int = SMALL_SIDE) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``bound`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    return F.broadcast(df) if fits(df, bound) else df
 
 
-def _scored(index: Index, terms: DataFrame, weight) -> DataFrame:
-    hit = index.postings.join(small(terms), "term").join(index.lengths, "ord")
-    hit = hit.join(index.terms.select("term", "df", "idf"), "term").crossJoin(F.broadcast(index.stats))
+def matched(index: Index, terms: DataFrame, hint=lambda df: df) -> DataFrame:
+    """(ord, term, tf, dl) of the terms that the queries ask for, and no others.
+
+    Words are filtered before any exchange; a stored index is read from its postings.
+    """
+    wanted = hint(terms.select("term").distinct())
+    if index.kept:
+        return index.postings.join(wanted, "term", "left_semi").join(index.lengths, "ord")
+    words = index.tokens.select("ord", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return words.join(wanted, "term", "left_semi").groupBy("ord", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def _scored(index: Index, terms: DataFrame, weight, more: DataFrame | None = None) -> DataFrame:
+    """Sums of ``weight(tf, length ratio, df, n)``; ``more`` is a row of further statistics."""
+    hint = F.broadcast if fits(terms) else lambda df: df
+    found = matched(index, terms, hint)
+    df = hint(found.groupBy("term").agg(F.count("*").alias("df")))
+    hit = found.join(hint(terms), "term").join(df, "term").crossJoin(F.broadcast(index.stats))
+    if more is not None:
+        hit = hit.crossJoin(F.broadcast(more))
     ratio = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0)
     return hit.groupBy("qid", "ord").agg(F.sum(F.col("w") * weight(F.col("tf"), ratio, F.col("df"), F.col("n"))).alias("score"))
 
 
 def bm25_lucene(index: Index, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, ord, score); the weighted general form, as ``w`` may be any number."""
-    return _scored(index, terms, lambda tf, r, df, n: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * r)))
+    return _scored(index, terms, lambda tf, r, df, n: lucene_idf(n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * r)))
 
 
 def bm25_okapi(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi; negative idf is replaced by ``epsilon`` times the mean idf of all terms."""
-    raw = index.terms.crossJoin(F.broadcast(index.stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
-    idf = raw.crossJoin(mean).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    okapi = Index(index.chunks, index.postings, index.lengths, index.terms.drop("idf").join(idf, "term"), index.stats)
-    return _scored(okapi, terms, lambda tf, r, df, n: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * r)))
+    raw = lambda n, df: F.log((n - df + 0.5) / (df + 0.5))
+    # The mean over all terms needs how many terms have each document frequency, no more.
+    mean = index.terms.select("df").crossJoin(F.broadcast(index.stats.select("n"))).agg(F.avg(raw(F.col("n"), F.col("df"))).alias("mean"))
+
+    def weight(tf, r, df, n):
+        idf = F.when(raw(n, df) < 0, epsilon * F.col("mean")).otherwise(raw(n, df))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * r))
+
+    return _scored(index, terms, weight, mean)
 
 
 def bm25_plus(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
@@ -82,9 +108,13 @@ def pad(scored: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return every.join(scored, ["qid", "ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ids and texts, joined last so that no text is carried through scoring."""
-    return chunks.join(small(hits), "ord")
+def with_text(hits: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """Ids and texts, joined last so that no text is carried through scoring.
+
+    ``most`` bounds the rows of ``hits`` (k times the queries): up to ``SMALL_SIDE`` they are
+    broadcast to the texts, beyond that the planner shuffles.
+    """
+    return chunks.join(F.broadcast(hits) if most <= SMALL_SIDE else hits, "ord")
 
 
 def norm(v: Column) -> Column:
@@ -105,14 +135,31 @@ def dense_cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.select("qid", "ord", (dot(F.col("qid_vec"), F.col("ord_vec")) / (F.col("qid_norm") * F.col("ord_norm"))).alias("score"))
 
 
-def rrf(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two score tables over the documents that both rank."""
+def places(chunks: DataFrame) -> DataFrame:
+    """(ord, place): each document's number in the order of ``ord``, from 0."""
+    parts = stored(chunks.select("ord").repartitionByRange("ord").sortWithinPartitions("ord").select("ord", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
+    first = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.select("part", "first", before.alias("before"))  # a row for each partition
+    return parts.join(F.broadcast(first), "part").select("ord", (F.col("id") - F.col("first") + F.col("before")).alias("place"))
+
+
+def rrf(first: DataFrame, second: DataFrame, chunks: DataFrame, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion over the documents that either list hits.
+
+    Both lists rank every document: those without a hit follow the last one, by ``ord``.
+    """
 
     def ranks(df, name):
         return df.select("qid", "ord", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "ord")).alias(name))
 
-    both = ranks(first, "r1").join(ranks(second, "r2"), ["qid", "ord"])
-    return both.select("qid", "ord", "r1", "r2", (1 / (k + F.col("r1")) + 1 / (k + F.col("r2"))).alias("score"))
+    both = ranks(first, "r1").join(ranks(second, "r2"), ["qid", "ord"], "full").join(places(chunks), "ord")
+    each, below = Window.partitionBy("qid"), Window.partitionBy("qid").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    for r in ("r1", "r2"):  # of the documents before this one, those without a hit are ranked before it
+        rank = F.count(r).over(each) + 1 + F.col("place") - F.count(r).over(below)
+        both = both.withColumn(f"{r}_full", F.coalesce(r, rank))
+    both = both.select("qid", "ord", F.col("r1_full").alias("r1"), F.col("r2_full").alias("r2"))
+    return both.withColumn("score", 1 / (k + F.col("r1")) + 1 / (k + F.col("r2")))
 
 
 def max_fusion(*variants: DataFrame) -> DataFrame:

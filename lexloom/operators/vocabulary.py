@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import text as tx
-from lexloom.operators.index import Index
+from lexloom.operators.index import Index, spread
 from lexloom.operators.scoring import norm
 
 TERM = r"^[a-zA-Z0-9\-_ ]+$"
@@ -21,16 +21,25 @@ def unigrams(index: Index) -> DataFrame:
     return rows.filter(kept & (F.length("term") >= 3) & F.col("term").rlike(TERM)).select("term", "df")
 
 
-def bigrams(chunks: DataFrame, first: int = 1000) -> DataFrame:
-    """(term, count): neighbours after filtering, all occurrences in the first documents."""
-    head = chunks.orderBy("ord").limit(first)
+def neighbours(text: Column) -> Column:
+    """Pairs of neighbours among a text's words that can be terms."""
     plain = F.filter(
-        F.split(F.translate(F.lower("text"), tx.PUNCTUATION, ""), r"(?U)\s+"),
+        F.split(F.translate(F.lower(text), tx.PUNCTUATION, ""), r"(?U)\s+"),
         lambda t: (F.length(t) >= 3) & ~t.isin(tx.STOPWORDS) & ~t.rlike(r"^\p{Nd}+$") & t.rlike(TERM),
     )
-    words = head.select(plain.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return words.select(F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+    return tx.bind(plain, pairs)
+
+
+def pairs(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def bigrams(chunks: DataFrame, first: int = 1000) -> DataFrame:
+    """(term, count): neighbours after filtering, all occurrences in the first documents."""
+    head = chunks.select("ord", "text").orderBy("ord").limit(first)
+    dealt = spread(head).select(F.explode(neighbours(F.col("text"))).alias("term"))
+    return dealt.groupBy("term").agg(F.count("*").alias("count"))
 
 
 def salient(index: Index, idf_of, limit: int = 1000, idf_floor: float = 1.5) -> DataFrame:
@@ -49,9 +58,8 @@ def salient(index: Index, idf_of, limit: int = 1000, idf_floor: float = 1.5) ->
 
 def frequent(chunks: DataFrame, limit: int = 2000) -> DataFrame:
     """(term, count) of the most frequent letters-only words and their bigrams, ties by term."""
-    words = chunks.select(tx.alpha_tokens(F.col("text")).alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = words.select(F.explode(F.concat("w", pairs)).alias("term"))
+    words = spread(chunks.select("text")).select(tx.alpha_tokens(F.col("text")).alias("w"))
+    terms = words.select(F.explode(F.concat("w", pairs(F.col("w")))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "term").limit(limit)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.operators import aspects as ap
 from lexloom.operators import benchmarks as bm
 from lexloom.operators import chunking as ch
 from lexloom.operators import expansion as ex
@@ -58,6 +59,11 @@ def index(spark, d):
     return ix.build(chunks(spark, d))
 
 
+def kept(spark, d):
+    """The index with its term table stored: the expansions read it several times."""
+    return ix.keep_terms(index(spark, d))
+
+
 def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -71,6 +77,7 @@ def ws(c):
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
+QWORDS = f"list_filter(list_transform(list_filter(regexp_extract_all({{0}}, '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{N}}}}\\p{{{{Pc}}}}-]+'), lambda x: regexp_full_match(x, '[a-zA-Z0-9_-]{{{{2,}}}}')), lambda x: lower(x)), lambda x: NOT list_contains({STOP}, x))"
 INDEX = f"""
 tok AS (SELECT doc_id AS ord, unnest({ws("text")}) AS term FROM documents),
 post AS (SELECT ord, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -110,12 +117,13 @@ def tok_word(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: regexp_full_match(t, '\\p{L}+') AND length(t) >= 2 AND NOT list_contains(""" + STOP + """, t))) AS n FROM documents""")
+@query("""SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda t: regexp_full_match(t, '\\p{L}+') AND length(t) >= 2 AND NOT list_contains(""" + STOP + """, t)) AS tokens FROM documents""")
 def tok_alpha(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(tx.alpha_tokens(F.col("text"))).cast("long").alias("n"))
+    return table(spark, d, "documents").select("doc_id", tx.alpha_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT item_id AS qid, {QWORDS.format("text")} AS w FROM benchmark), e AS (SELECT qid, unnest(w) AS word, generate_subscripts(w, 1) AS nth FROM l),
+f AS (SELECT qid, word, min(nth) AS nth FROM e GROUP BY ALL) SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY nth) - 1)::INTEGER AS pos, word FROM f""")
 def tok_query_words(spark, d):
     return asked(spark, d).select("qid", F.posexplode(tx.query_words(F.col("query"))).alias("pos", "word"))
 
@@ -130,7 +138,15 @@ def entities(spark, d):
     return caps.unionByName(quoted).filter(F.col("e").rlike(r"^[ -~]+$")).distinct()
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+')) AS e, generate_subscripts(string_split_regex(text, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), 1) AS nth FROM documents),
+hy AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}\\p{Pc}.-]*[A-Za-z0-9.]-[A-Za-z0-9.][\\p{L}\\p{M}\\p{N}\\p{Pc}.-]*') AS l FROM documents),
+hz AS (SELECT doc_id, unnest(l) AS e, generate_subscripts(l, 1) AS nth FROM hy),
+qt AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]+)"', 1)) AS e, generate_subscripts(regexp_extract_all(text, '"([^"]+)"', 1), 1) AS nth FROM documents),
+al AS (SELECT doc_id, 0 AS kind, nth, e FROM w WHERE regexp_full_match(e, '[A-Z]{2,}')
+  UNION ALL SELECT doc_id, 1, nth, regexp_extract(e, '[A-Za-z0-9.]+(-[A-Za-z0-9.]+)+') FROM (SELECT doc_id, nth, regexp_replace(e, '^[.]+|[.]+$', '', 'g') AS e FROM hz) WHERE regexp_matches(e, '[A-Za-z0-9.]+(-[A-Za-z0-9.]+)+')
+  UNION ALL SELECT doc_id, 2, nth, e FROM qt),
+f AS (SELECT doc_id, e AS entity, min((kind, nth)) AS at0 FROM al GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY at0) - 1)::INTEGER AS pos, entity FROM f""")
 def entities_ordered(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(tx.entities(F.col("text"))).alias("pos", "entity"))
 
@@ -219,9 +235,12 @@ def weighted_retrieve(spark, d):
 hits AS (SELECT q.qid, d.ord, sum(q.w * d.w) AS score FROM q JOIN dw d USING (term) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM hits) {TOP10}""")
 def sparse_dot(spark, d):
-    i = index(spark, d)
-    weights = i.postings.join(i.terms, "term").select("ord", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    return _top10(sc.sparse_dot(sc.query_terms(asked(spark, d)), weights))
+    # The weights a learned encoder would give: only those of the queries' terms are computed.
+    i, terms = index(spark, d), sc.query_terms(asked(spark, d))
+    found = sc.matched(i, terms, F.broadcast if sc.fits(terms) else lambda df: df)
+    df = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(i.stats.select("n")))
+    weights = found.join(df, "term").select("ord", "term", ((1 + F.log("tf")) * ix.lucene_idf(F.col("n"), F.col("df"))).alias("w"))
+    return _top10(sc.sparse_dot(terms, weights))
 
 
 def _vectors(spark, d):
@@ -243,15 +262,26 @@ def dense_cosine_topk(spark, d):
     return _top10(_dense(spark, d))
 
 
-@query(f"""WITH {scored_sql(LUCENE)}, b AS (SELECT q.qid, p.ord, sum(q.w * p.tf) AS score FROM q JOIN post p USING (term) GROUP BY ALL),
-r1 AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS r1 FROM hits),
-r2 AS (SELECT qid, ord, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS r2 FROM b),
-f AS (SELECT qid, ord, 1 / (60 + r1) + 1 / (60 + r2) AS score FROM r1 JOIN r2 USING (qid, ord)),
-g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM f)
-SELECT qid, ord, rank, round(score, 6) AS score FROM g WHERE rank <= 10""")
-def rrf_fusion(spark, d):
+FUSED = f"""{scored_sql(LUCENE)}, b AS (SELECT q.qid, p.ord, sum(q.w * p.tf) AS score FROM q JOIN post p USING (term) WHERE length(term) > 3 GROUP BY ALL),
+every AS (SELECT b.item_id AS qid, l.ord FROM benchmark b, lens l),
+full_ranks AS (SELECT e.qid, e.ord, h.ord IS NOT NULL OR b.ord IS NOT NULL AS hit,
+  row_number() OVER (PARTITION BY e.qid ORDER BY round(h.score, 9) DESC NULLS LAST, e.ord) AS r1,
+  row_number() OVER (PARTITION BY e.qid ORDER BY round(b.score, 9) DESC NULLS LAST, e.ord) AS r2
+  FROM every e LEFT JOIN hits h USING (qid, ord) LEFT JOIN b USING (qid, ord)),
+fused AS (SELECT qid, ord, 1 / (60 + r1) + 1 / (60 + r2) AS score FROM full_ranks WHERE hit),
+g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank FROM fused)"""
+
+
+def _fused(spark, d):
+    """Lucene's scores and a dot product over longer words only: lists that differ."""
     i, t = index(spark, d), sc.query_terms(asked(spark, d))
-    return _top10(sc.rrf(sc.bm25_lucene(i, t), sc.sparse_dot(t, i.postings.withColumnRenamed("tf", "w"))))
+    long = t.filter(F.length("term") > 3)
+    return sc.rrf(sc.bm25_lucene(i, t), sc.sparse_dot(long, sc.matched(i, long, F.broadcast if sc.fits(long) else lambda df: df).select("ord", "term", F.col("tf").alias("w"))), chunks(spark, d))
+
+
+@query(f"WITH {FUSED} SELECT qid, ord, rank, round(score, 6) AS score FROM g WHERE rank <= 10")
+def rrf_fusion(spark, d):
+    return _top10(_fused(spark, d))
 
 
 @query(f"""WITH {INDEX}, b AS (SELECT item_id AS qid, {ws("text")} AS l FROM benchmark),
@@ -267,19 +297,6 @@ def multi_query_max(spark, d):
     return _top10(sc.max_fusion(sc.bm25_lucene(i, sc.query_terms(q)), sc.bm25_lucene(i, sc.query_terms(half))))
 
 
-@query(f"""WITH {scored_sql(LUCENE)}, r AS (SELECT qid, ord, rank FROM top WHERE rank <= 3),
-want AS (SELECT b.item_id AS qid, d.doc_id AS ord FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 80),
-miss AS (SELECT * FROM want w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.qid = w.qid AND r.ord = w.ord)),
-l AS (SELECT qid, max(rank) AS m FROM r GROUP BY qid)
-SELECT qid, ord, rank, false AS forced FROM r
-UNION ALL SELECT qid, ord, coalesce(m, 0) + row_number() OVER (PARTITION BY qid ORDER BY ord), true FROM miss LEFT JOIN l USING (qid)""")
-def forced_inclusion(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id < 80")
-    want = asked(spark, d).join(docs, F.col("qid") % 40 == F.col("doc_id") % 40).select("qid", F.col("doc_id").alias("ord"))
-    ranked = lucene_hits(spark, d, 3).select("qid", "ord", F.col("rank").cast("long").alias("rank"))
-    return sc.force_in(ranked, want)
-
-
 # Vocabulary.
 
 PLAIN = "list_filter(string_split_regex(regexp_replace(lower(text), '[!-,./:-@\\[-\\^`{-~]', '', 'g'), '\\s+'), lambda t: length(t) >= 3 AND NOT list_contains(" + STOP + ", t) AND NOT regexp_full_match(t, '\\p{Nd}+') AND regexp_full_match(t, '[a-zA-Z0-9_ -]+'))"
@@ -335,16 +352,12 @@ def vocab_median_filter(spark, d):
     return vb.above_median(vb.frequent(chunks(spark, d), 2000), index(spark, d).terms.select("term", "idf"), 500).select("term", "count", *r6("idf"))
 
 
-# Expansion. The benchmark's texts hold no entities, so every anchor is a word.
-
-def english(spark, d):
-    """Queries of ASCII text: for them, words are the same to all regex engines."""
-    return asked(spark, d).filter(F.col("query").rlike(r"^[\x00-\x7F]*$"))
-
+# Expansion. The benchmark's texts hold no entities, so every anchor is a word. A query word
+# that has a letter outside ASCII is none to the word pattern, whose edges know all letters.
 
 ANCHORS = f"""{INDEX}, mx AS (SELECT max(idf) AS top FROM idf),
-en AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE regexp_full_match(text, '(?s)[\\x00-\\x7F]*')),
-ql AS (SELECT qid, query, list_filter(list_transform(regexp_extract_all(query, '[a-zA-Z0-9_-]{{2,}}'), lambda x: lower(x)), lambda x: NOT list_contains({STOP}, x)) AS l FROM en),
+en AS (SELECT item_id AS qid, text AS query FROM benchmark),
+ql AS (SELECT qid, query, {QWORDS.format("query")} AS l FROM en),
 qe AS (SELECT qid, word, min(pos) AS pos FROM (SELECT qid, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM ql) GROUP BY ALL),
 qn AS (SELECT qid, count(*) AS n FROM qe GROUP BY qid),
 qi AS (SELECT qid, word, pos, n, coalesce(i.idf, mx.top * 0.5) AS idf FROM qe JOIN qn USING (qid) LEFT JOIN idf i ON i.term = qe.word, mx),
@@ -354,7 +367,7 @@ anch AS (SELECT qid, (nth - 1)::INTEGER AS aspect, word AS anchor, idf FROM qa W
 
 @query(f"WITH {ANCHORS} SELECT qid, aspect, anchor, round(idf, 6) AS idf FROM anch")
 def anchor_select(spark, d):
-    return ex.anchors(english(spark, d), index(spark, d).terms).select("qid", "aspect", "anchor", *r6("idf"))
+    return ex.anchors(asked(spark, d), index(spark, d).terms).select("qid", "aspect", "anchor", *r6("idf"))
 
 
 VEC = """list_transform(range(0, 32), lambda k: len(list_filter(list_transform(range(1, greatest(length({0}) + 1, 2)), lambda i: ('0x' || substr(md5(substr(' ' || lower({0}) || ' ', i, 3)), 1, 8))::BIGINT % 32), lambda b: b = k))::DOUBLE)"""
@@ -371,15 +384,15 @@ cand AS (SELECT * FROM dual WHERE round(sim, 9) >= 0.55)"""
 
 @query(f"WITH {SIMS} SELECT qid, aspect, rank, term, round(sim, 6) AS sim FROM cand")
 def dual_similarity(spark, d):
-    i, q = index(spark, d), english(spark, d)
+    i, q = kept(spark, d), asked(spark, d)
     found = ex.candidates(ex.anchors(q, i.terms), q, vocabulary(spark, d, i))
     return found.select("qid", "aspect", F.col("rank").cast("long").alias("rank"), "term", *r6("sim"))
 
 
 def _expanded(schema):
     def run(spark, d):
-        i = index(spark, d)
-        rows = ex.expand(english(spark, d), i.terms, vocabulary(spark, d, i), schema)
+        i = kept(spark, d)
+        rows = ex.expand(asked(spark, d), i.terms, vocabulary(spark, d, i), schema)
         return rows.select("qid", "aspect", "anchor", F.col("place").cast("long").alias("place"), "term", *r6("weight"), F.col("reps").cast("long").alias("reps"))
 
     return run
@@ -408,29 +421,35 @@ for _name, _schema in (("expand_schema4", "4"), ("expand_schema6a", "6a"), ("exp
 
 @query()
 def expand_schema3(spark, d):
-    i, q = index(spark, d), english(spark, d)
+    i, q = kept(spark, d), asked(spark, d)
     first = sc.top_k(sc.bm25_lucene(i, sc.query_terms(q)), 10)
     vocab = ex.local_terms(q, i, first, lambda pool: _phrase_idf(pool, i), 300)
     return ex.expand(q, i.terms, vocab, "1").select("qid", "aspect", "anchor", "place", "term", *r6("weight"), "reps")
 
 
-@query(f"WITH {ANCHORS} SELECT qid, anchor AS term, 3.0::DOUBLE AS w FROM anch")
+@query(f"""WITH keywords AS ({_SQL["expand_schema1"]}),
+words AS (SELECT qid, reps, unnest(string_split_regex(lower(term), '\\s+')) AS term FROM keywords)
+SELECT qid, term, sum(reps)::DOUBLE AS w FROM words WHERE term <> '' GROUP BY ALL""")
 def qaug_tokens(spark, d):
-    i, q = index(spark, d), english(spark, d)
+    i, q = kept(spark, d), asked(spark, d)
     return ex.augmented_terms(ex.expand(q, i.terms, vocabulary(spark, d, i), "1"))
 
 
-@query()
+@query(f"""WITH keywords AS ({_SQL["expand_schema5b"]}),
+a AS (SELECT qid, aspect, count(*) FILTER (place = 0) AS a, count(*) FILTER (place > 0) AS i, sum(reps) FILTER (place = 0) AS r,
+  sum(reps * len(list_filter(string_split_regex(term, '\\s+'), lambda t: t <> ''))) AS t FROM keywords GROUP BY ALL)
+SELECT qid, count(*) AS num_anchors, sum(i)::BIGINT AS synonyms_injected, count(*) FILTER (i = 0) AS starved_aspects, avg(r)::DOUBLE AS avg_r_anchor, sum(t)::BIGINT AS qaug_length FROM a GROUP BY qid""")
 def expansion_telemetry(spark, d):
-    i = index(spark, d)
-    return ex.telemetry(ex.expand(english(spark, d), i.terms, vocabulary(spark, d, i), "5b"))
+    i = kept(spark, d)
+    return ex.telemetry(ex.expand(asked(spark, d), i.terms, vocabulary(spark, d, i), "5b"))
 
 
 @query(f"""WITH {scored_sql(LUCENE)}, h AS (SELECT qid, ord FROM top WHERE rank <= 3),
 t AS (SELECT h.qid, p.term, sum(p.tf)::BIGINT AS tf FROM h JOIN post p USING (ord) WHERE length(p.term) > 3 AND NOT EXISTS (SELECT 1 FROM q WHERE q.qid = h.qid AND q.term = p.term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tf DESC, term) AS nth FROM t),
-k AS (SELECT qid, term, tf, tf / max(tf) OVER (PARTITION BY qid) AS x FROM r WHERE nth <= 3)
-SELECT qid, term, tf, round_even(x, 2) AS weight FROM k""")
+k AS (SELECT qid, term, tf, (tf / max(tf) OVER (PARTITION BY qid) * 1152921504606846976)::BIGINT::HUGEINT * 100 AS x FROM r WHERE nth <= 3),
+z AS (SELECT *, x // 1152921504606846976 AS low, 2 * (x % 1152921504606846976) AS rest FROM k)
+SELECT qid, term, tf, (low + CASE WHEN rest > 1152921504606846976 OR rest = 1152921504606846976 AND low % 2 = 1 THEN 1 ELSE 0 END)::DOUBLE / 100 AS weight FROM z""")
 def prf_terms(spark, d):
     return ex.prf_terms(lucene_hits(spark, d, 3), index(spark, d), sc.query_terms(asked(spark, d)).select("qid", "term"))
 
@@ -445,7 +464,7 @@ routed AS (SELECT qid, ord, rank, score, alpha, nrm * (0.5 + 0.5 * alpha) AS sco
 
 
 def _routed(spark, d):
-    hits = sc.with_text(lucene_hits(spark, d), chunks(spark, d).select("ord", "text"))
+    hits = sc.with_text(lucene_hits(spark, d), chunks(spark, d).select("ord", "text"), 10 * asked(spark, d).count())
     aspects = sc.query_terms(asked(spark, d)).select("qid", F.col("term").alias("aspect"), "term")
     return rt.cascade(hits, aspects)
 
@@ -472,31 +491,26 @@ al AS (SELECT chunk_id, coalesce(sum(v), 0) / (SELECT sum(v) FROM aw) AS alpha F
 fe AS (SELECT chunk_id, max(w * l)::DOUBLE AS best, sum(w * l)::DOUBLE AS total, max(len) AS len FROM s GROUP BY chunk_id)"""
 
 
-@query(f"""WITH {FIXTURE}, x AS (SELECT chunk_id, alpha::DOUBLE * (best / len + total / len) AS score FROM fe JOIN al USING (chunk_id))
-SELECT chunk_id, round(score, 6) AS score, CASE WHEN score > 0.75 THEN 'bypass' WHEN score >= 0.1 THEN 'rerank' ELSE 'discard' END AS decision FROM x""")
-def route_additive(spark, d):
-    return rt.additive(*_samples(spark)).select("chunk_id", *r6("score"), "decision")
-
-
-@query(f"""WITH {FIXTURE}, x AS (SELECT chunk_id, alpha::DOUBLE AS alpha, total / len AS mu, best / total AS phi FROM fe JOIN al USING (chunk_id))
-SELECT chunk_id, round(alpha, 6) AS alpha, round(mu, 6) AS mu, round(phi, 6) AS phi, round(alpha * (mu + phi - mu * phi), 6) AS score,
-CASE WHEN alpha < 0.05 OR mu < 0.01 THEN 'discard' WHEN alpha >= 0.4 AND (mu >= 0.1 OR phi >= 0.5) THEN 'bypass' ELSE 'rerank' END AS decision FROM x""")
-def route_mass_focus(spark, d):
-    return rt.mass_focus(*_samples(spark), **PERMISSIVE).select("chunk_id", *r6("alpha", "mu", "phi", "score"), "decision")
-
-
 PERMISSIVE = dict(tau_alpha=0.4, tau_mu=0.1, tau_phi=0.5, alpha_low=0.05, mu_low=0.01, n_max=5, top_k=10)
 SWEEP = {"Strict": dict(tau_alpha=0.9, tau_mu=0.5, tau_phi=0.9, alpha_low=0.3, mu_low=0.1, n_max=2, top_k=3), "Balanced": dict(tau_alpha=0.7, tau_mu=0.3, tau_phi=0.8, alpha_low=0.1, mu_low=0.02, n_max=3, top_k=5), "Permissive": PERMISSIVE}
 
 
-@query("""SELECT * FROM (VALUES ('Strict', 0::BIGINT, 1::BIGINT, 4::BIGINT), ('Balanced', 0, 4, 1), ('Permissive', 1, 3, 1)) v(setting, bypass, rerank, discard)""")
+@query(f"""WITH {FIXTURE}, st(setting, ta, tm, tp, al, ml, nm, tk) AS (VALUES ('Strict', 0.9, 0.5, 0.9, 0.3, 0.1, 2, 3), ('Balanced', 0.7, 0.3, 0.8, 0.1, 0.02, 3, 5), ('Permissive', 0.4, 0.1, 0.5, 0.05, 0.01, 5, 10)),
+x AS (SELECT chunk_id, alpha::DOUBLE AS alpha, total / len AS mu, best / total AS phi, len FROM fe JOIN al USING (chunk_id)),
+c AS (SELECT st.*, x.*, alpha * (mu + phi - mu * phi) AS score, CASE WHEN alpha < st.al OR mu < ml THEN 'discard' WHEN alpha >= ta AND (mu >= tm OR phi >= tp) THEN 'bypass' ELSE 'rerank' END AS d0 FROM st, x),
+n AS (SELECT *, row_number() OVER (PARTITION BY setting, d0 ORDER BY score DESC, chunk_id) AS a0 FROM c),
+m AS (SELECT *, CASE WHEN d0 = 'bypass' AND a0 > nm THEN 'rerank' ELSE d0 END AS d1 FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY setting, d1 ORDER BY score DESC, chunk_id) AS a1 FROM m),
+w AS (SELECT chunk_id, sum(l) AS kept FROM s GROUP BY chunk_id)
+SELECT setting, count(*) FILTER (d1 = 'bypass') AS bypass, count(*) FILTER (d1 = 'rerank' AND a1 <= tk) AS rerank, count(*) FILTER (d1 = 'discard') AS discard,
+round(coalesce(sum(kept) FILTER (d1 = 'bypass' OR d1 = 'rerank' AND a1 <= tk), 0) / sum(len), 6) AS ratio FROM k JOIN w USING (chunk_id) GROUP BY setting""")
 def route_sensitivity(spark, d):
-    return rt.sensitivity(*_samples(spark), SWEEP)
+    return rt.sensitivity(*_samples(spark), SWEEP).select("setting", "bypass", "rerank", "discard", *r6("ratio"))
 
 
 @query()
 def snippet_extract(spark, d):
-    hits = sc.with_text(lucene_hits(spark, d, 3), chunks(spark, d).select("ord", "text")).join(asked(spark, d), "qid")
+    hits = sc.with_text(lucene_hits(spark, d, 3), chunks(spark, d).select("ord", "text"), 3 * asked(spark, d).count()).join(asked(spark, d), "qid")
     return hits.select("qid", "ord", rr.snippet(F.col("text"), tx.query_words(F.col("query"))).alias("snippet"))
 
 
@@ -519,9 +533,17 @@ def late_expand(spark, d):
 # Lexical search.
 
 PATTERNS = [("license", "legal", 1.0), ("th", "noise", 0.1), ("idiot", "abuse", 0.8), ("version", "legal", 0.6)]
+# None of the patterns overlaps itself, so the pieces between hits give their places.
 HITS = """pat(term, aspect, weight) AS (VALUES ('license', 'legal', 1.0), ('th', 'noise', 0.1), ('idiot', 'abuse', 0.8), ('version', 'legal', 0.6)),
-lowd AS (SELECT doc_id AS ord, lower(text) AS low FROM documents WHERE length(text) < 3000),
-occ AS (SELECT ord, term, aspect, weight::DOUBLE AS weight, length(low) AS length, unnest(list_filter(range(1, length(low) - length(term) + 2), lambda i: substr(low, i, length(term)) = term)) - 1 AS start FROM lowd, pat WHERE contains(low, term))"""
+lowd AS (SELECT doc_id AS ord, lower(text) AS low FROM documents),
+piece AS (SELECT ord, term, aspect, weight::DOUBLE AS weight, length(low) AS length, unnest(string_split(low, term)) AS x, generate_subscripts(string_split(low, term), 1) AS nth, len(string_split(low, term)) AS pieces FROM lowd, pat WHERE contains(low, term)),
+occ AS (SELECT * FROM (SELECT ord, term, aspect, weight, length, nth, pieces, (sum(length(x)) OVER (PARTITION BY ord, term ORDER BY nth) + (nth - 1) * length(term))::BIGINT AS start FROM piece) WHERE nth < pieces)"""
+
+
+CUT = """win AS (SELECT ord, aspect, weight, length, greatest(0, (2 * start + length(term) - 1) // 2 - 100) AS lo, least(length, (2 * start + length(term) - 1) // 2 + 100) AS hi FROM occ),
+a AS (SELECT *, max(hi) OVER (PARTITION BY ord ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM win),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM a),
+g AS (SELECT ord, island::BIGINT AS island, min(lo) AS lo, max(hi) AS hi, max(length) AS whole, max(weight) AS max_weight, list_sort(list_distinct(list(aspect))) AS aspects FROM b GROUP BY ALL)"""
 
 
 def _occurrences(spark, d):
@@ -533,14 +555,47 @@ def lexical_hits(spark, d):
     return _occurrences(spark, d).select("ord", "term", "aspect", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query(f"""WITH {HITS}, win AS (SELECT ord, aspect, weight, greatest(0, (2 * start + length(term) - 1) // 2 - 100) AS lo, least(length, (2 * start + length(term) - 1) // 2 + 100) AS hi FROM occ),
-a AS (SELECT *, max(hi) OVER (PARTITION BY ord ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM win),
-b AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM a),
-g AS (SELECT ord, island::BIGINT AS island, min(lo) AS lo, max(hi) AS hi, max(weight) AS max_weight, list_sort(list_distinct(list(aspect))) AS aspects FROM b GROUP BY ALL)
-SELECT g.ord, island, hi - lo AS length, max_weight, aspects, md5(substr(text, lo + 1, hi - lo)) AS digest FROM g JOIN documents d ON d.doc_id = g.ord""".replace("substr(text, lo + 1, hi - lo)", "substr(d.text, g.lo + 1, g.hi - g.lo)"))
+@query(f"""WITH {HITS}, {CUT}
+SELECT g.ord, island, hi - lo AS length, max_weight, aspects, md5(substr(d.text, g.lo + 1, g.hi - g.lo)) AS digest FROM g JOIN documents d ON d.doc_id = g.ord""")
 def interval_merge(spark, d):
     found = lx.samples(chunks(spark, d), spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
-    return found.select("ord", F.col("island").cast("long").alias("island"), "length", "max_weight", "aspects", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return found.select("ord", "island", "length", "max_weight", "aspects", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+ASPECTS = {"legal": 1.0, "noise": 0.1, "abuse": 0.8}
+SAMPLED = f"""{HITS}, {CUT}, aw(aspect, v) AS (VALUES ('legal', 1.0::DOUBLE), ('noise', 0.1), ('abuse', 0.8)),
+al AS (SELECT ord, sum(v) / 1.9 AS alpha FROM (SELECT DISTINCT ord, unnest(aspects) AS aspect FROM g) JOIN aw USING (aspect) GROUP BY ord),
+fe AS (SELECT ord, max(max_weight * (hi - lo)) AS best, sum(max_weight * (hi - lo)) AS total, max(whole) AS len FROM g GROUP BY ord)"""
+
+
+def _found_samples(spark, d):
+    """The samples that lexical search cuts from all documents, as the routers take them."""
+    docs = chunks(spark, d)
+    found = lx.samples(docs, spark.createDataFrame(PATTERNS, "term string, aspect string, weight double"))
+    value = F.create_map(*(F.lit(x) for pair in ASPECTS.items() for x in pair))
+    rows = found.select("ord", F.col("island").alias("at"), F.col("max_weight").alias("weight"), "length", F.map_from_arrays("aspects", F.transform("aspects", lambda a: value[a])).alias("aspects"))
+    rows = rows.join(docs.select("ord", "chunk_id", F.length("text").alias("chunk_length")), "ord")
+    return rows, spark.createDataFrame(list(ASPECTS.items()), "aspect string, weight double")
+
+
+@query(f"""WITH {SAMPLED}, x AS (SELECT 'c_' || ord AS chunk_id, alpha * (best / len + total / len) AS score FROM fe JOIN al USING (ord)),
+y AS (SELECT *, CASE WHEN score > 0.75 THEN 'bypass' WHEN score >= 0.1 THEN 'rerank' ELSE 'discard' END AS decision FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY score DESC, chunk_id) AS nth FROM y)
+SELECT chunk_id, round(score, 6) AS score, decision FROM z WHERE decision <> 'rerank' OR nth <= 20""")
+def route_additive(spark, d):
+    return rt.additive(*_found_samples(spark, d)).select("chunk_id", *r6("score"), "decision")
+
+
+@query(f"""WITH {SAMPLED}, x AS (SELECT 'c_' || ord AS chunk_id, alpha, total / len AS mu, best / total AS phi FROM fe JOIN al USING (ord)),
+s AS (SELECT *, alpha * (mu + phi - mu * phi) AS score,
+CASE WHEN alpha < 0.05 OR mu < 0.01 THEN 'discard' WHEN alpha >= 0.4 AND (mu >= 0.1 OR phi >= 0.5) THEN 'bypass' ELSE 'rerank' END AS d0 FROM x),
+n AS (SELECT *, row_number() OVER (PARTITION BY d0 ORDER BY score DESC, chunk_id) AS a0 FROM s),
+m AS (SELECT *, CASE WHEN d0 = 'bypass' AND a0 > 5 THEN 'rerank' ELSE d0 END AS d1 FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY d1 ORDER BY score DESC, chunk_id) AS a1 FROM m)
+SELECT chunk_id, round(alpha, 6) AS alpha, round(mu, 6) AS mu, round(phi, 6) AS phi, round(score, 6) AS score,
+CASE WHEN d1 = 'rerank' AND a1 > 10 THEN 'cut' ELSE d1 END AS decision FROM k""")
+def route_mass_focus(spark, d):
+    return rt.mass_focus(*_found_samples(spark, d), **PERMISSIVE).select("chunk_id", *r6("alpha", "mu", "phi", "score"), "decision")
 
 
 # Chunking, at a scale at which these documents have several chunks.
@@ -582,8 +637,19 @@ gold AS (SELECT nb.item_id AS qid, nd.doc_id AS ord FROM nb JOIN nd ON contains(
 
 
 def gold(spark, d):
-    docs = chunks(spark, d).select("ord", tx.normalised(F.col("text")).alias("x"))
-    return docs.join(sc.small(asked(spark, d).select("qid", tx.normalised(F.col("query")).alias("y"))), F.contains(F.col("x"), F.col("y"))).select("qid", "ord")
+    docs = chunks(spark, d).select("ord", tx.normalised(F.col("text")).alias("text"))
+    return lx.containing(docs, asked(spark, d).select("qid", tx.normalised(F.col("query")).alias("y")), "qid", "y").select("qid", "ord")
+
+
+@query(f"""WITH {FUSED}, {GOLD}, r AS (SELECT qid, ord, rank FROM g WHERE rank <= 100),
+miss AS (SELECT qid, ord FROM gold w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.qid = w.qid AND r.ord = w.ord)),
+l AS (SELECT qid, max(rank) AS m FROM r GROUP BY qid)
+SELECT qid, ord, rank, false AS forced FROM r
+UNION ALL SELECT qid, ord, coalesce(m, 0) + row_number() OVER (PARTITION BY qid ORDER BY ord), true FROM miss LEFT JOIN l USING (qid)""")
+def forced_inclusion(spark, d):
+    """The hybrid list's first hundred, then the documents that hold the query's passage."""
+    ranked = sc.top_k(_fused(spark, d), 100).select("qid", "ord", F.col("rank").cast("long").alias("rank"))
+    return sc.force_in(ranked, gold(spark, d))
 
 
 PER_QUERY = f"""{scored_sql(LUCENE)}, {GOLD},
@@ -612,10 +678,12 @@ def mean_metrics(spark, d):
     return mt.means(_metrics(spark, d)).select(*r6("precision", "recall", "mrr"))
 
 
-@query(f"""WITH {PER_QUERY} SELECT b.source AS source, count(DISTINCT t.ord) AS docs FROM top t JOIN documents b ON b.doc_id = t.ord WHERE t.rank <= 10 GROUP BY ALL""")
+@query(f"""WITH {scored_sql(LUCENE)}, {GOLD}, f AS (SELECT DISTINCT qid, ord FROM top WHERE rank <= 10),
+p AS (SELECT g.qid, 100 * count(f.ord) / count(*) AS share FROM (SELECT DISTINCT * FROM gold) g LEFT JOIN f USING (qid, ord) GROUP BY g.qid)
+SELECT round(coalesce(avg(share), 0), 6) AS doc_recall, count(*) AS queries FROM p""")
 def doc_recall(spark, d):
-    hits = lucene_hits(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "source"), "ord")
-    return hits.groupBy("source").agg(F.countDistinct("ord").alias("docs"))
+    named = lambda df: df.withColumnRenamed("ord", "doc_id")
+    return mt.doc_recall(named(lucene_hits(spark, d)), named(gold(spark, d))).select(*r6("doc_recall"), "queries")
 
 
 @query("SELECT doc_id, round(CASE WHEN n_chars // 200 = 0 THEN 'inf'::DOUBLE ELSE n_chars / (n_chars // 200) END, 6) AS ratio FROM documents")
@@ -643,27 +711,51 @@ def paraphrase_label(spark, d):
     return _neighbours(spark, d).select("left_id", F.bround("overlap", 3).alias("overlap"), tx.overlap_label(F.col("overlap")).alias("label"))
 
 
-@query()
+@query(f"""WITH {ANCHORS}, ge AS (SELECT qid, list(anchor) AS g FROM anch GROUP BY qid),
+qw AS (SELECT qid, list_distinct(l) AS w, query FROM ql),
+x AS (SELECT qid, g, w, query, len(list_filter(w, lambda t: list_contains(g, t) AND 1 / len(g) >= 0.5)) AS close, list_filter(string_split_regex(query, '\\s+'), lambda c: c = upper(c) AND c <> lower(c) AND length(c) > 1) AS caps FROM ge JOIN qw USING (qid))
+SELECT qid, round(CASE WHEN len(w) > 0 THEN close / len(w) ELSE 1 END, 6) AS coverage, round(CASE WHEN len(g) + len(w) > 0 THEN len(list_intersect(g, w)) / len(list_distinct(list_concat(g, w))) ELSE 1 END, 6) AS keyword_jaccard,
+(CASE WHEN len(caps) > 0 THEN len(list_filter(caps, lambda c: len(list_filter(g, lambda y: contains(y, lower(c)))) > 0)) / len(caps) ELSE 1 END)::DOUBLE AS retention, 0 AS stopwords FROM x""")
 def aspect_coverage(spark, d):
     i = index(spark, d)
-    words = ex.anchors(english(spark, d), i.terms).groupBy("qid").agg(F.collect_list("anchor").alias("generated"))
+    words = ex.anchors(asked(spark, d), i.terms).groupBy("qid").agg(F.collect_list("anchor").alias("generated"))
     rows = words.join(asked(spark, d), "qid")
     goal = tx.query_words(F.col("query"))
     return rows.select("qid", F.round(mt.coverage(F.col("generated"), goal), 6).alias("coverage"), F.round(mt.keyword_jaccard(F.col("generated"), goal), 6).alias("keyword_jaccard"), mt.acronym_retention(F.col("query"), F.col("generated")).alias("retention"), mt.stopword_terms(F.col("generated")).alias("stopwords"))
 
 
+NORMAL = "array_to_string(list_filter(string_split_regex(lower({0}), '\\s+'), lambda t: t <> ''), ' ')"
+
+
+def share_sql(a, b):
+    words = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')"
+    own = f"list_distinct({words(a)})"
+    return f"(CASE WHEN len({own}) > 0 THEN len(list_intersect({own}, {words(b)})) / len({own}) ELSE 0 END)"
+
+
+RELEVANCE = f"""{scored_sql(LUCENE)}, h AS (SELECT t.qid, t.ord, d.text, b.text AS query, substr(b.text, 1, 60) AS q1, array_to_string(string_split(b.text, ' ')[1:4], ' ') AS q2, substr(b.text, 1, 40) AS ask
+  FROM top t JOIN documents d ON d.doc_id = t.ord JOIN benchmark b ON b.item_id = t.qid WHERE rank <= 5),
+n AS (SELECT *, {NORMAL.format("text")} AS low, {NORMAL.format("q1")} AS n1, {NORMAL.format("q2")} AS n2 FROM h),
+rel AS (SELECT qid, 'c_' || ord AS chunk_id,
+  CASE WHEN n1 = '' THEN 0 WHEN contains(low, n1) THEN 10 WHEN length(n1) > 20 AND (contains(low, left(n1, 25)) OR contains(low, right(n1, 25))) THEN 8 ELSE 5 * {share_sql("q1", "text")} END
+  + CASE WHEN n2 = '' THEN 0 WHEN contains(low, n2) THEN 10 WHEN length(n2) > 20 AND (contains(low, left(n2, 25)) OR contains(low, right(n2, 25))) THEN 8 ELSE 5 * {share_sql("q2", "text")} END
+  + 5 * {share_sql("query", "text")} + 2 * {share_sql("ask", "text")} AS score FROM n)"""
+
+
 def _relevance(spark, d):
-    hits = sc.with_text(lucene_hits(spark, d, 5), chunks(spark, d)).join(asked(spark, d), "qid")
+    hits = sc.with_text(lucene_hits(spark, d, 5), chunks(spark, d), 5 * asked(spark, d).count()).join(asked(spark, d), "qid")
     quote = F.array(F.substring("query", 1, 60), F.array_join(F.slice(F.split("query", " "), 1, 4), " "))
     return hits.select("qid", "chunk_id", bm.relevance(quote, F.col("query"), F.substring("query", 1, 40), F.col("text")).alias("score"))
 
 
-@query()
+@query(f"WITH {RELEVANCE} SELECT qid, chunk_id, round(score, 6)::DOUBLE AS score FROM rel")
 def chunk_relevance(spark, d):
     return _relevance(spark, d).select("qid", "chunk_id", *r6("score"))
 
 
-@query()
+@query(f"""WITH {RELEVANCE}, m AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS nth FROM rel),
+g AS (SELECT *, score > 0.5 AND (score >= 0.7 * best OR score >= 5) AS good FROM m), o AS (SELECT *, bool_or(good) OVER (PARTITION BY qid) AS found FROM g)
+SELECT qid, chunk_id, round(score, 6)::DOUBLE AS score FROM o WHERE good OR NOT found AND nth = 1""")
 def core_chunk_select(spark, d):
     return bm.core_chunks(_relevance(spark, d)).select("qid", "chunk_id", *r6("score"))
 
@@ -706,5 +798,154 @@ def resume_anti_join(spark, d):
 
 @query()
 def dedup_queries(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), (F.col("vec_id") % 25).alias("grp"), F.col("embedding").alias("vec"))
-    return bm.distinct_queries(v, "grp", 0.5)
+    """The users' questions of a conversation that no earlier one resembles."""
+    asked_in = table(spark, d, "conversations").filter("role = 'user'")
+    v = asked_in.select("conv_id", F.col("turn").alias("qid"), vb.hash_vector(F.col("text")).alias("vec"))
+    return bm.distinct_queries(v, "conv_id")
+
+
+# The earlier expanders and the batch rerankers.
+
+ROUND2 = "((({0}) * 1152921504606846976)::BIGINT::HUGEINT * 100 // 1152921504606846976 + CASE WHEN 2 * ((({0}) * 1152921504606846976)::BIGINT::HUGEINT * 100 % 1152921504606846976) > 1152921504606846976 THEN 1 ELSE 0 END)::DOUBLE / 100"
+
+
+def phrases_sql(top, n=3):
+    return f"""kw0 AS (SELECT item_id AS qid, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda t: NOT list_contains({STOP}, t)) AS w FROM benchmark),
+kw1 AS (SELECT qid, w, list_transform(w, lambda x: len(list_filter(w, lambda y: y = x)) / list_position(w, x)) AS v FROM kw0),
+kw2 AS (SELECT qid, w, v, unnest(range(1, len(w) + 1)) AS i FROM kw1),
+kw3 AS (SELECT qid, i, k, array_to_string(w[i:i + k - 1], ' ') AS p, round(list_sum(v[i:i + k - 1]), 9) AS s FROM kw2, range(1, {n + 1}) r(k) WHERE i + k - 1 <= len(w)),
+kw4 AS (SELECT *, row_number() OVER (PARTITION BY qid, p ORDER BY s DESC, i, k) AS seen FROM kw3),
+kw5 AS (SELECT qid, p, row_number() OVER (PARTITION BY qid ORDER BY s DESC, i, k) AS nth FROM kw4 WHERE seen = 1),
+kw AS (SELECT qid, p, row_number() OVER (PARTITION BY qid ORDER BY length(p) DESC, nth) AS nth FROM kw5 WHERE nth <= {top})"""
+
+
+@query(f"WITH {phrases_sql(20)} SELECT qid, p AS phrase FROM kw")
+def keyphrases(spark, d):
+    return asked(spark, d).select("qid", F.explode(ap.keyphrases(F.col("query"))).alias("phrase"))
+
+
+UNSUBSUMED = f"""{phrases_sql(20)}, lone AS (SELECT qid, p, nth FROM kw a WHERE NOT EXISTS (SELECT 1 FROM kw b WHERE b.qid = a.qid AND b.nth < a.nth AND contains(b.p, a.p)))"""
+
+
+@query(f"WITH {UNSUBSUMED} SELECT qid, p AS phrase FROM lone")
+def keyphrase_subsumption(spark, d):
+    return asked(spark, d).select("qid", F.explode(ap.unsubsumed(ap.keyphrases(F.col("query")))).alias("phrase"))
+
+
+ASPECTS_OF = f"""{INDEX}, {phrases_sql(10)}, nm AS (SELECT qid, p AS name FROM kw a WHERE NOT EXISTS (SELECT 1 FROM kw b WHERE b.qid = a.qid AND b.nth < a.nth AND contains(' ' || b.p || ' ', ' ' || a.p || ' ')))"""
+SCALED = f"""lim AS (SELECT *, min(raw) OVER (PARTITION BY qid) AS low, max(raw) OVER (PARTITION BY qid) AS high FROM rw),
+sc AS (SELECT qid, name, CASE WHEN high = low OR raw = high THEN 1.0::DOUBLE ELSE greatest(0.1, (raw - low) / (high - low)) END AS x FROM lim),
+we AS (SELECT qid, name, {ROUND2.format("x")} AS weight FROM sc)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, length(name) DESC, name) AS place, name, weight FROM we"""
+
+
+@query(f"""WITH {ASPECTS_OF}, wd AS (SELECT qid, name, unnest(string_split(name, ' ')) AS term FROM nm),
+rw AS (SELECT qid, name, avg(coalesce(idf, 5.0)) AS raw FROM wd LEFT JOIN idf USING (term) GROUP BY ALL), {SCALED}""")
+def aspects_by_idf(spark, d):
+    return ap.aspects_by_idf(asked(spark, d), index(spark, d).terms).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH {ASPECTS_OF}, ve AS (SELECT qid, name, {VEC.format("name")} AS a, {VEC.format("text")} AS q FROM nm JOIN benchmark ON item_id = qid),
+rw AS (SELECT qid, name, round(list_cosine_similarity(a, q), 12) AS raw FROM ve), {SCALED}""")
+def aspects_by_vector(spark, d):
+    return ap.aspects_by_vector(asked(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+def _dense_aspects_sql(vocabulary, factor):
+    clean = f"list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> '' AND NOT list_contains({STOP}, t))"
+    return f"""WITH {INDEX}, {FREQ}, mx AS (SELECT max(idf) AS top FROM idf), {vocabulary},
+vw AS (SELECT name, unnest(string_split(name, ' ')) AS term FROM vo),
+vi AS (SELECT name, avg(coalesce(idf, 1.0)) AS idf FROM vw LEFT JOIN idf USING (term) GROUP BY name),
+vv0 AS (SELECT name, {factor} AS factor, {VEC.format("name")} AS v FROM vi, mx), vv AS (SELECT name, factor, {UNIT.format("v")} AS v FROM vv0),
+cq AS (SELECT item_id AS qid, CASE WHEN len({clean}) > 0 THEN array_to_string({clean}, ' ') ELSE text END AS t FROM benchmark),
+qv0 AS (SELECT qid, {VEC.format("t")} AS v FROM cq), qv AS (SELECT qid, {UNIT.format("v")} AS v FROM qv0),
+si AS (SELECT qid, name, list_inner_product(qv.v, vv.v) * factor AS sim FROM qv, vv),
+pl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, name) AS nth FROM si),
+nm AS (SELECT item_id AS qid, list_distinct(list_transform(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), lambda x: lower(x))) AS l, regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b') AS raw FROM benchmark),
+ne AS (SELECT qid, unnest(list_transform(raw, lambda x: lower(x))) AS name, generate_subscripts(raw, 1) AS nth FROM nm),
+nd AS (SELECT qid, name, min(nth) AS nth FROM ne GROUP BY ALL),
+al AS (SELECT qid, 0 AS lane, nth, name, 1.0::DOUBLE AS weight FROM nd
+  UNION ALL SELECT qid, 1, nth, name, round(sim, 4) FROM pl p WHERE nth <= 10 AND NOT EXISTS (SELECT 1 FROM nd WHERE nd.qid = p.qid AND nd.name = p.name)),
+fi AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY lane, nth) AS place, name, weight FROM al)
+SELECT * FROM fi WHERE place <= 10"""
+
+
+_MEDIAN = f"""pf AS (SELECT f.term, f.count, coalesce(i.idf, 0) AS idf FROM (SELECT * FROM freq ORDER BY count DESC, term LIMIT 1500) f LEFT JOIN idf i USING (term)),
+rf AS (SELECT *, row_number() OVER (ORDER BY idf, term) AS nth, count(*) OVER () AS n FROM pf), mf AS (SELECT idf AS middle FROM rf WHERE nth = n // 2 + 1),
+vo AS (SELECT term AS name FROM rf, mf WHERE idf >= middle ORDER BY count DESC, term LIMIT 500)"""
+
+
+@query(_dense_aspects_sql("vo AS (SELECT term AS name FROM freq)", "1.0"))
+def dense_aspects(spark, d):
+    """The frequency vocabulary, by cosine alone."""
+    found = ap.dense_aspects(asked(spark, d), vb.frequent(chunks(spark, d), 2000))
+    return found.select("qid", F.col("place").cast("long").alias("place"), "name", "weight")
+
+
+@query(_dense_aspects_sql("vo AS (SELECT term AS name FROM freq)", "0.5 + 0.5 * vi.idf / mx.top"))
+def dense_aspects_scaled(spark, d):
+    """Cosines scaled by idf."""
+    found = ap.dense_aspects(asked(spark, d), vb.frequent(chunks(spark, d), 2000), terms=kept(spark, d).terms)
+    return found.select("qid", F.col("place").cast("long").alias("place"), "name", "weight")
+
+
+@query(_dense_aspects_sql(_MEDIAN, "0.5 + 0.5 * vi.idf / mx.top"))
+def dense_aspects_filtered(spark, d):
+    """The vocabulary above the median idf, scaled by idf."""
+    i = kept(spark, d)
+    vocabulary = vb.above_median(vb.frequent(chunks(spark, d), 2000), i.terms.select("term", "idf"), 500)
+    return ap.dense_aspects(asked(spark, d), vocabulary, terms=i.terms).select("qid", F.col("place").cast("long").alias("place"), "name", "weight")
+
+
+@query()
+def expand_statistical(spark, d):
+    return ap.statistical(asked(spark, d), kept(spark, d))
+
+
+@query()
+def expand_vector(spark, d):
+    vocabulary = vb.frequent(chunks(spark, d), 2000).select("term", vb.hash_vector(F.col("term")).alias("vec"))
+    return ap.vector(asked(spark, d), vocabulary)
+
+
+def _backwards(prompt: str) -> str:
+    """A model that lists the documents of its prompt from the last to the first."""
+    import json
+    import re
+
+    return json.dumps({"relevant_chunk_ids": re.findall(r"Document ID: (doc_\d+)", prompt)[::-1]})
+
+
+def _even(prompt: str) -> str:
+    """A model to which every other document is relevant, the later the more."""
+    import json
+    import re
+
+    names = re.findall(r"Document ID: (doc_\d+)", prompt)
+    return json.dumps({"evaluations": [{"chunk_id": x, "relevant": i % 2 == 0, "relevance_score": (i + 1) / 10} for i, x in enumerate(names)]})
+
+
+def _queue(spark, d):
+    return sc.with_text(lucene_hits(spark, d, 12), chunks(spark, d), 12 * asked(spark, d).count())
+
+
+@query(f"""WITH {scored_sql(LUCENE)}, u AS (SELECT qid, ord, (rank - 1) // 10 AS batch, (rank - 1) % 10 AS slot FROM top WHERE rank <= 12),
+v AS (SELECT *, count(*) OVER (PARTITION BY qid, batch) - 1 - slot AS place FROM u)
+SELECT qid, ord, round(greatest(0, 1 - 0.1 * place), 6)::DOUBLE AS relevance_score, row_number() OVER (PARTITION BY qid ORDER BY batch, place) AS position FROM v""")
+def rerank_listwise_batches(spark, d):
+    done = rr.listwise_batches(_queue(spark, d), asked(spark, d), _backwards)
+    return done.select("qid", "ord", *r6("relevance_score"), F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {scored_sql(LUCENE)}, u AS (SELECT qid, ord, (rank - 1) // 5 AS batch, (rank - 1) % 5 AS slot FROM top WHERE rank <= 12)
+SELECT qid, ord, ((slot + 1) / 10)::DOUBLE AS relevance_score, row_number() OVER (PARTITION BY qid ORDER BY slot DESC, batch) AS position FROM u WHERE slot % 2 = 0""")
+def rerank_pointwise_batches(spark, d):
+    done = rr.pointwise_batches(_queue(spark, d), asked(spark, d), _even)
+    return done.select("qid", "ord", *r6("relevance_score"), F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {PARENTS}, c AS (SELECT doc_id, parent_id, unnest(range(0, greatest(CAST(ceil((len(t) - 100) / 90) AS BIGINT), 0) + 1)) AS k, t FROM pt)
+SELECT parent_id || '_chunk' || k AS chunk_id, md5(array_to_string(t, ' ')) AS parent_digest FROM c""")
+def parent_child_join(spark, d):
+    blocks = _parents(spark, d)
+    return bm.with_parents(ch.children(blocks, 100, 10), blocks).select("chunk_id", F.md5(F.col("parent_text").cast("binary")).alias("parent_digest"))

@@ -57,10 +57,10 @@ def thresholds(explicit: dict, config: dict) -> dict:
 def run(chunks: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), encode=hash_vector, rerank=None) -> dict[str, DataFrame]:
     """Hits, triage, targets and contexts of (qid, query) over (ord, chunk_id, text).
 
-    One lazy plan for the batch; ``rerank`` maps the queue to rows with ``position``, by
+    The term table, read several times, is stored first; ``rerank`` maps the queue to rows with ``position``, by
     default the score order.
     """
-    index = ix.build(chunks)
+    index = ix.keep_terms(ix.build(chunks))
     phrase_idf = lambda pool: ix.term_idf(pool.select(F.col("term").alias("phrase")).distinct(), index.terms, "phrase").withColumnRenamed("phrase", "term")
     vocabulary = vb.salient(index, phrase_idf, config.max_vocab_pool_size)
     if ex.SCHEMAS.get(config.schema) == "3":
@@ -68,7 +68,7 @@ def run(chunks: DataFrame, queries: DataFrame, config: RetrievalConfig = Retriev
         vocabulary = ex.local_terms(queries, index, first, phrase_idf)
     keywords = ex.expand(queries, index.terms, vocabulary, config.schema, encode, config.settings())
     hits = sc.top_k(sc.bm25_lucene(index, ex.augmented_terms(keywords)), config.top_k)
-    told = sc.with_text(hits, chunks)
+    told = sc.with_text(hits, chunks, queries.count() * config.top_k)
     routed = rt.cascade(told, keywords.select("qid", F.col("aspect").cast("string").alias("aspect"), "term"), config.tau_bypass, config.tau_discard)
     queue = told.join(routed.filter("decision = 'rerank'").select("qid", "ord"), ["qid", "ord"])
     targets = rr.targets(routed, (rerank or rr.by_score)(queue))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +96,26 @@ def seeds(answers: DataFrame) -> DataFrame:
     kind = "array<struct<query_group:string,query_type:string,question:string,golden_answer:string,evidence_quotes:array<string>>>"
     parsed = answers.withColumn("q", F.from_json(tx.json_part(F.col("answer")), kind))
     return parsed.select("doc_id", "parent_id", F.posexplode("q").alias("i", "q")).select("doc_id", "parent_id", F.concat_ws("_q", "parent_id", F.col("i") + 1).alias("query_id"), "q.*")
+
+
+def term_vectors(spark: SparkSession, path: str):
+    """A stored (term, vec) table, or None with a warning if it cannot be read."""
+    try:
+        return spark.read.parquet(path).select("term", "vec")
+    except Exception as e:
+        warnings.warn(f"no term vectors at {path}: {e}", stacklevel=2)
+        return None
+
+
+def settings(path: str) -> dict:
+    """A configuration file (JSON, or YAML where its library is there); {} if there is none."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return json.loads(text) or {}
+    except ValueError:
+        import yaml
+
+        return yaml.safe_load(text) or {}

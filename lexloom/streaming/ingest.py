@@ -5,6 +5,8 @@ An extra beside the batch library: the tables it appends to sum up to the batch
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,4 +35,4 @@ def load_index(spark: SparkSession, folder: str, chunks: DataFrame) -> ix.Index:
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     df = spark.read.parquet(f"{folder}/df").groupBy("term").agg(F.sum("df").alias("df"))
     terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", ix.lucene_idf(F.col("n"), F.col("df")).alias("idf"))
-    return ix.Index(chunks, spark.read.parquet(f"{folder}/postings").select("ord", "term", "tf"), lengths, terms, stats)
+    return replace(ix.build(chunks), postings=spark.read.parquet(f"{folder}/postings").select("ord", "term", "tf"), lengths=lengths, terms=terms, stats=stats, kept=True)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
+from lexloom.operators import aspects as ap
 from lexloom.operators import benchmarks as bm
 from lexloom.operators import chunking as ch
 from lexloom.operators import expansion as ex
@@ -20,7 +21,7 @@ from lexloom.operators import routing as rt
 from lexloom.operators import scoring as sc
 from lexloom.plans import catalog
 from lexloom.plans.retrieval import RetrievalConfig, run, thresholds
-from lexloom.sources import files
+from lexloom.sources import files, models
 from lexloom.streaming import ingest
 
 
@@ -206,3 +207,167 @@ def test_files_and_stream(spark, tmp_path):
     ingest.index_stream(stream, f"{tmp_path}/index", f"{tmp_path}/cp").awaitTermination(120)
     built, want = ingest.load_index(spark, f"{tmp_path}/index", chunks), ix.build(chunks)
     assert sorted(map(tuple, built.terms.collect())) == sorted(map(tuple, want.terms.collect()))
+
+
+def test_round_binary(spark):
+    values = [a / b for b in range(1, 201) for a in range(0, b + 1)] + [0.175, 0.145, 0.125, 0.375]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r.x == round(r.v, 2) for r in df.select("v", tx.round_binary(F.col("v")).alias("x")).collect())
+
+
+def test_rrf_ranks_documents_of_either_list(spark):
+    chunks = files.corpus(spark, ["x"] * 7)
+    first = spark.createDataFrame([(1, 5, 3.0), (1, 2, 1.0)], "qid int, ord long, score double")
+    second = spark.createDataFrame([(1, 6, 9.0), (1, 5, 2.0), (2, 0, 1.0)], "qid int, ord long, score double")
+    got = {(r.qid, r.ord): (r.r1, r.r2) for r in sc.rrf(first, second, chunks).collect()}
+    # Query 1 ranks 5, 2, 0, 1, 3, 4, 6 and 6, 5, 0, 1, 2, 3, 4; query 2 has no hit in the first list.
+    assert got == {(1, 5): (1, 2), (1, 2): (2, 5), (1, 6): (7, 1), (2, 0): (1, 1)}
+
+
+def test_stored_index_scores_alike(spark):
+    chunks = files.corpus(spark, ["a b a c", "b c d", "a", "e e f"])
+    q = sc.query_terms(spark.createDataFrame([(0, "a b a"), (1, "e z")], "qid long, query string"))
+    for score in (sc.bm25_lucene, sc.bm25_okapi, sc.bm25_plus, sc.bm25_l):
+        fresh, kept = ({(r.qid, r.ord): r.score for r in score(i, q).collect()} for i in (ix.build(chunks), ix.keep(ix.build(chunks))))
+        assert fresh.keys() == kept.keys() and all(fresh[k] == pytest.approx(kept[k]) for k in fresh)
+
+
+def test_local_terms_are_each_query_s_own(spark):
+    docs = ["solar panel output solar panel output", "wind turbine blade wind turbine blade", "plain filler text"]
+    chunks = files.corpus(spark, docs)
+    q = spark.createDataFrame([(1, "solar"), (2, "wind")], "qid long, query string")
+    i = ix.build(chunks)
+    hits = sc.top_k(sc.bm25_lucene(i, sc.query_terms(q)), 1)
+    idf = lambda pool: pool.select("term").distinct().withColumn("idf", F.lit(2.0))
+    both = {(r.qid, r.term) for r in ex.local_terms(q, i, hits, idf).collect()}
+    alone = {(r.qid, r.term) for r in ex.local_terms(q.filter("qid = 1"), i, hits.filter("qid = 1"), idf).collect()}
+    assert {t for n, t in both if n == 1} == {t for _, t in alone} and (1, "solar panel") in both and (1, "wind turbine") not in both
+
+
+def test_document_recall(spark):
+    hits = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (1, 3, 11), (2, 1, 20)], "qid int, rank int, doc_id int")
+    gold = spark.createDataFrame([(1, 10), (1, 12), (2, 20), (3, 5)], "qid int, doc_id int")
+    r = mt.doc_recall(hits, gold).first()
+    assert (r.doc_recall, r.queries) == (50.0, 3)
+
+
+def test_keyphrases_and_aspects(spark):
+    q = "the deep neural network and the deep network"
+    words = ["deep", "neural", "network", "deep", "network"]
+    value = [words.count(w) / (words.index(w) + 1) for w in words]
+    runs = [(-round(sum(value[i : i + k]), 9), i, k, " ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+    want = list(dict.fromkeys(p for *_, p in sorted(runs)))
+    assert one(spark, ap.keyphrases(F.col("q")), q=q) == want
+    assert one(spark, ap.unsubsumed(F.col("w")), w=["ai", "aim", "cloud", "creative cloud"]) == ["creative cloud", "aim"]
+    assert one(spark, ap.unsubsumed(F.col("w"), True), w=["ai", "aim", "cloud", "creative cloud"]) == ["creative cloud", "aim", "ai"]
+    assert one(spark, ap.clustered(F.col("w")), w=["network", "networks x", "api"])[0] == "network"
+    queries = spark.createDataFrame([(1, q), (2, "EHR storage")], "qid long, query string")
+    chunks = files.corpus(spark, ["deep network model training", "neural storage of records", "ehr notes"])
+    i = ix.build(chunks)
+    rows = ap.aspects_by_idf(queries, i.terms).collect()
+    assert all(0.1 <= r.weight <= 1 for r in rows) and {r.qid for r in rows if r.weight == 1.0} == {1, 2}
+    found = ap.statistical(queries, i).collect()
+    assert {r.qid for r in found} == {1, 2} and all(r.term == r.name and r.keyword_weight == 1.0 for r in found if r.place == 0)
+    assert any(r.place > 0 for r in found)
+    vocab = spark.createDataFrame([("deep network",), ("records",)], "term string")
+    near = ap.vector(queries, vocab.withColumn("vec", ap.hash_vector(F.col("term")))).collect()
+    assert any(r.term == "deep network" and r.place > 0 for r in near)
+    dense = ap.dense_aspects(queries, vocab, k=2).collect()
+    assert [(r.name, r.weight) for r in dense if r.qid == 2][0] == ("ehr", 1.0) and len(dense) == 4
+    assert {r.term for r in ap.combined_vocabulary(chunks, spark.createDataFrame([("deep network", 2.0)], "term string, score double"), 3).collect()} >= {"deep network"}
+
+
+def test_modelled_expansion(spark):
+    q = spark.createDataFrame([(1, "deep nets")], "qid long, query string")
+    answer = json.dumps({"aspects": [{"name": "a", "aspect_weight": 0.5, "keywords": [{"term": "t", "weight": 1.0}]}]})
+    assert [(r.name, r.weight) for r in ap.modelled(q, F.col("query"), lambda p: answer).collect()] == [("a", 0.5)]
+    with pytest.raises(Exception, match="unreadable expansion"):
+        ap.modelled(q, F.col("query"), lambda p: "no json").collect()
+    assert [(r.name, r.weight) for r in ap.modelled_aspects(q, F.col("query"), lambda p: "no json").collect()] == [("deep nets", 1.0)]
+    assert [(r.name, r.weight) for r in ap.modelled_aspects(q, F.col("query"), lambda p: '[{"name": "x", "weight": 0.2}]').collect()] == [("x", 0.2)]
+
+
+def test_batch_rerankers(spark):
+    rows = [(1, r, 100 + r, f"c{r}", 1.0 / r, "t" * r) for r in range(1, 8)]
+    hits = spark.createDataFrame(rows, "qid int, rank int, ord int, chunk_id string, score double, text string")
+    q = spark.createDataFrame([(1, "x")], "qid int, query string")
+    answer = '<think>[no]</think>{"target_fact": "f", "relevant_chunk_ids": ["doc_2", "nope", "doc_0", "doc_2"]}'
+    got = rr.listwise_batches(hits, q, lambda p: answer, size=3).orderBy("position").collect()
+    assert [r.ord for r in got] == [103, 101, 106, 104, 107] and [r.relevance_score for r in got] == [0.7, 0.8, 0.7, 0.8, 0.8]
+    by_length = rr.listwise_batches(hits.withColumn("length", F.length("text")), q, lambda p: '{"relevant_chunk_ids": ["doc_0"]}', size=10, presort="length").collect()
+    assert [r.ord for r in by_length] == [107]
+    assert rr.listwise_batches(hits, q, lambda p: 1 / 0).collect() == []
+    told = '{"evaluations": [{"chunk_id": "doc_1", "relevant": true, "relevance_score": 0.4}, {"chunk_id": "c1", "relevant": true, "relevance_score": 1.0}, {"chunk_id": "doc_0", "relevant": false}]}'
+    assert [(r.ord, r.relevance_score) for r in rr.pointwise_batches(hits, q, lambda p: told).orderBy("position").collect()] == [(102, 0.4), (107, 0.4)]
+
+
+def test_judging_asks_again(spark):
+    rows = [(1, "q", "b0", f"b0_chunk{i}", f"text {i}") for i in range(4)]
+    cands = spark.createDataFrame(rows, "qid int, question string, parent_source string, chunk_id string, text string")
+    yes_once = lambda p: "[true, true, true, true]" if p.count("--- Chunk") == 4 else ("[true]" if "text 2" in p else "[false]")
+    got = {r.chunk_id: r.verdicts for r in bm.judged(cands, yes_once).collect()}
+    assert got == {"b0_chunk0": [True, False], "b0_chunk1": [True, False], "b0_chunk2": [True, True], "b0_chunk3": [True, False]}
+    short = {r.chunk_id: r.verdicts for r in bm.judged(cands, lambda p: "[true]", size=5).collect()}
+    assert all(v == [False] for v in short.values())
+    assert [r.kind for r in bm.split_verdicts(bm.judged(cands, yes_once)).collect()] == ["core"]
+
+
+def test_traces_and_budget(spark):
+    q = spark.createDataFrame([(1, "network storage latency")], "qid long, query string")
+    i = ix.build(files.corpus(spark, ["network storage", "networks latency storages", "plain"]))
+    vocab = spark.createDataFrame([(1, "networks", 1.0), (2, "storages", 1.0), (3, "zebra", 1.0)], "rank int, term string, idf double")
+    chosen, words = ex.anchors(q, i.terms), ex.expand(q, i.terms, vocab, "1")
+    rows = {r.anchor: r for r in ex.traces(chosen, q, vocab, words).collect()}
+    assert set(rows) <= {"network", "storage", "latency"} and all(r.total_candidates_above_tau == len(r.candidates_above_tau or []) for r in rows.values())
+    assert any(r.injected for r in rows.values())
+    own = spark.createDataFrame([(1, a, s) for a, s in enumerate([0.9, 0.9, 0.3, 0.1])], "qid int, aspect int, saliency double")
+    assert [r.capacity for r in ex.within_budget(own).orderBy("aspect").collect()] == [3, 3, 0, 0]
+
+
+def test_sources(spark, tmp_path):
+    assert files.settings(f"{tmp_path}/none.json") == {}
+    (tmp_path / "c.json").write_text('{"p": 0.3}')
+    assert files.settings(f"{tmp_path}/c.json") == {"p": 0.3}
+    with pytest.warns(UserWarning):
+        assert files.term_vectors(spark, f"{tmp_path}/none") is None
+    spark.createDataFrame([("a", [1.0])], "term string, vec array<double>").write.parquet(f"{tmp_path}/v")
+    assert files.term_vectors(spark, f"{tmp_path}/v").first().term == "a"
+    encode = models.encoder(lambda: lambda texts: [[float(len(t))] for t in texts], "q: ")
+    assert spark.createDataFrame([("ab",), (None,)], "t string").select(encode("t").alias("v")).collect() == [([5.0],), ([3.0],)]
+    chunks = files.corpus(spark, ["a a b"])
+    sparse = models.sparse_weights(chunks, lambda: lambda texts: [{w: t.split().count(w) for w in set(t.split())} for t in texts])
+    assert {(r.term, r.w) for r in sparse.collect()} == {("a", 2.0), ("b", 1.0)}
+    pooled = one(spark, models.pooled_logits(F.expr("array(array(0D, -1D), array(1D, -2D))")))
+    assert pooled == pytest.approx([math.log(2), 0.0])
+    assert "<think>" in models.chatml("hi") and models.chatml("<|im_start|>x") == "<|im_start|>x"
+    assert models.timed(len, [1, 2])[0] == 2
+
+
+def test_reranker_clients_post(monkeypatch):
+    sent = []
+    monkeypatch.setattr(models, "_post", lambda url, body, timeout, headers=None: sent.append((url, body, headers)) or {"response": "", "thinking": "t", "content": "c", "choices": [{"message": {"content": "m"}}]})
+    assert models.ollama("u", "m")("p") == "t" and models.completion("u")("p") == "c" and models.chat("u", "m", "k")("p") == "m"
+    assert sent[1][1]["stream"] is False and sent[2][2] == {"Authorization": "Bearer k"}
+    pauses, calls = [], []
+    monkeypatch.setattr(models.time, "sleep", pauses.append)
+    with pytest.raises(ZeroDivisionError):
+        models.retried(lambda p: calls.append(p) or 1 / 0)("x")
+    assert pauses == [2.0, 4.0] and len(calls) == 3
+
+
+def test_bpe_windows(spark, tmp_path):
+    import base64
+
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" " + str(i).encode() for i in range(256)))
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, ""), (3, "abc")], "doc_id long, text string")
+    got = [(r.doc_id, r.i, r.text, r.token_count) for r in ch.bpe_windows(docs, f"{tmp_path}/ranks", r".+", 4, 1).orderBy("doc_id", "i").collect()]
+    assert got == [(1, 0, "abcd", 4), (1, 1, "defg", 4), (1, 2, "gh", 2), (3, 0, "abc", 3)]
+
+
+def test_queries_of_any_alphabet(spark, tmp_path):
+    """Queries with letters outside ASCII are expanded as well."""
+    texts = ["café connection upload", "connections upload budget", "budget storage über"] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "café connection"), (1, "über budget storage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.qid, r.anchor) for r in catalog.queries()["anchor_select"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "connection"), (1, "budget"), (1, "storage")}
