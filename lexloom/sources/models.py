@@ -98,7 +98,7 @@ def sparse_weights(chunks, load):
 def pooled_logits(logits):
     """Column of positions x terms: the largest ln(1 + max(0, logit)) of each term."""
     squash = lambda v: F.transform(v, lambda x: F.log1p(F.greatest(F.lit(0.0), x)))
-    return F.aggregate(F.slice(logits, 2, F.greatest(F.size(logits) - 1, F.lit(0))), squash(logits[0]), lambda a, v: F.zip_with(a, squash(v), F.greatest))
+    return F.aggregate(F.slice(logits, 2, F.greatest(F.size(logits) - 1, F.lit(0))), squash(logits[0]), lambda a, v: F.zip_with(a, squash(v), lambda x, y: F.greatest(x, y)))
 
 
 def timed(action, *args):
