@@ -8,10 +8,12 @@ t is high enough to pay off, by coordinate, keeping vectors whose value on the q
 focus coordinate lies in the range that a cosine of at least t allows. What is left is
 verified by exact integer products.
 
-Queries and buckets are both cut into blocks of bounded size, and each pair of blocks is
-one task's work: a stated set of queries against all rows, in blocks. Two rounds: the
-first looks at one bucket per query, the one of longest vectors, which gives the bound;
-the second visits all other buckets with it. Only k rows per query and bucket move on.
+Queries and buckets are both cut into blocks of bounded size, and a block of queries with a
+few blocks of a bucket is one task's work: a stated set of queries against all rows, in
+blocks. Two rounds: the first looks at one bucket per query, the one of longest vectors,
+which gives the bound; the second sorts the queries by the length that their bounds ask for
+and sends a block of them only to buckets long enough. Only k rows per query and bucket
+move on.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from lexloom.llm.runtime import checkpointed
 BLOCK, QUERIES = 8192, 1024
 #: A coordinate scan is tried for thresholds from here on.
 STEEP = 0.9
+#: Norm buckets of an octave, and candidate blocks that a task looks at.
+OCTAVE, TOGETHER = 8, 8
 #: Below every score, and its negative is still a long.
 LEAST = -(2**63) + 1
 HITS = "query_id long, vec_id long, score long"
@@ -129,8 +133,8 @@ def search_block(qid, q, bound, cid, c, norm, k):
     return [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ()))]
 
 
-PACKED = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("norms", pa.binary()), ("bounds", pa.binary()), ("wide", pa.bool_()), ("vectors", pa.binary())])
-PACKED_DDL = "dim int, block long, ids binary, norms binary, bounds binary, wide boolean, vectors binary"
+PACKED = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("norms", pa.binary()), ("bounds", pa.binary()), ("wide", pa.bool_()), ("vectors", pa.binary()), ("longest", pa.float64()), ("need", pa.float64())])
+PACKED_DDL = "dim int, block long, ids binary, norms binary, bounds binary, wide boolean, vectors binary, longest double, need double"
 
 
 def _pack(rows):
@@ -145,8 +149,10 @@ def _pack(rows):
             x = np.frombuffer(b"".join(v), np.int64)
             wide = bool(len(x)) and np.abs(x).max() >= 1 << 15
             number += 1
+            norms, bounds = np.array(norm, float), np.array(bound, float)
+            need = np.where(bounds > 0, bounds / np.maximum(norms, 1e-300), -1.0).min()
             return pa.RecordBatch.from_pydict(
-                {"dim": [dim], "block": [(part[0] << 20) + number], "ids": [np.array(ids, np.int64).tobytes()], "norms": [np.array(norm, float).tobytes()], "bounds": [np.array(bound, float).tobytes()], "wide": [wide], "vectors": [x.astype(np.int64 if wide else np.int16).tobytes()]},
+                {"longest": [norms.max()], "need": [need], "dim": [dim], "block": [(part[0] << 20) + number], "ids": [np.array(ids, np.int64).tobytes()], "norms": [norms.tobytes()], "bounds": [bounds.tobytes()], "wide": [wide], "vectors": [x.astype(np.int64 if wide else np.int16).tobytes()]},
                 schema=PACKED,
             )
 
@@ -173,13 +179,19 @@ def _pack(rows):
     return run
 
 
-def packed(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of one dimension and similar norm, longest first."""
-    dealt = vectors.repartitionByRange(max(1, parts), "dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm"), "vec_id")
+def packed(vectors: DataFrame, rows: int, parts: int, by=None) -> DataFrame:
+    """Blocks of at most ``rows`` vectors of one dimension, longest (or largest ``by``) first."""
+    order = ("dim", F.desc("norm") if by is None else by.desc(), "vec_id")
+    dealt = vectors.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order)
     dealt = dealt.select(F.spark_partition_id().cast("long").alias("part"), "vec_id", "dim", "norm", "bound", "v")
     return dealt.mapInArrow(_pack(rows), PACKED_DDL)
 
 
+def bucket_of(norm):
+    """Number of the bucket of a norm; vectors of no length have one of their own."""
+    return F.when(norm > 0, F.floor(F.log2(norm) * OCTAVE)).otherwise(-100_000).cast("int")
+
+
 def _open(row):
     v = np.frombuffer(row["vectors"], np.int64 if row["wide"] else np.int16).astype(np.int64)
     ids = np.frombuffer(row["ids"], np.int64)
@@ -199,12 +211,23 @@ def _meet(k):
     return run
 
 
-def _hits(queries: DataFrame, blocks: DataFrame, n_queries: int, n_blocks: int, k: int) -> DataFrame:
-    """Every query block with every candidate block of its dimension, a bounded few in a task."""
-    across, down = max(1, n_blocks), max(1, -(-n_queries // (64 * QUERIES)))
-    c = blocks.withColumn("i", F.pmod("block", F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    q = queries.withColumn("j", F.pmod("block", F.lit(down)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
-    return q.groupBy("dim", "i", "j").cogroup(c.groupBy("dim", "i", "j")).applyInArrow(_meet(k), HITS)
+def _hits(queries: DataFrame, blocks: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """Every query block with the blocks of its dimension that are long enough, a few in a task.
+
+    The numbers of blocks by dimension and bucket are the one table that is broadcast: some
+    hundred rows a dimension, as the buckets grow with the logarithm of the norms.
+    """
+    down = max(1, -(-n_queries // (64 * QUERIES)))
+    c = blocks.withColumn("bucket", bucket_of(F.col("longest")))
+    lots = c.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
+    c = c.join(F.broadcast(lots), ["dim", "bucket"]).withColumn("i", F.pmod(F.xxhash64("block"), F.col("groups"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    asks = queries.withColumn("least", bucket_of(F.col("need") * (1 - 1e-9))).withColumn("j", F.pmod("block", F.lit(down)).cast("int"))
+    q = asks.join(F.broadcast(lots), "dim").filter("bucket >= least").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    key = ["dim", "bucket", "i", "j"]
+    # Columns of their own on one side, as both come from ``lots``.
+    q = q.select("block", "ids", "norms", "bounds", "wide", "vectors", *(F.col(x).cast("long").alias(x) for x in key))
+    c = c.select("block", "ids", "norms", "bounds", "wide", "vectors", *(F.col(x).cast("long").alias(x) for x in key))
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(_meet(k), HITS)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -225,15 +248,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
     n = named.agg(F.count("*"), F.count_if("asks")).first()
     parts, q_parts = -(-n[0] // BLOCK), -(-n[1] // QUERIES)
     blocks = checkpointed(packed(ready.withColumn("bound", F.lit(0.0)), BLOCK, parts))
-    n_blocks = blocks.count()
     first = blocks.groupBy("dim").agg(F.min("block").alias("block"))
     longest = blocks.join(F.broadcast(first), ["dim", "block"], "left_semi").select(blocks.columns)
     rest = blocks.join(F.broadcast(first), ["dim", "block"], "left_anti").select(blocks.columns)
     ask = checkpointed(asking)
-    opening = checkpointed(_hits(packed(ask.withColumn("bound", F.lit(float("-inf"))), QUERIES, q_parts), longest, n[1], 1, k))
+    opening = checkpointed(_hits(packed(ask.withColumn("bound", F.lit(float("-inf"))), QUERIES, q_parts), longest, n[1], k))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = opening.withColumn("n", F.row_number().over(place)).filter(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
     bounded = ask.join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    further = _hits(packed(bounded, QUERIES, q_parts), rest, n[1], n_blocks, k)
+    need = F.when(F.col("bound") > 0, F.col("bound") / F.col("norm")).otherwise(-1.0)
+    further = _hits(packed(bounded, QUERIES, q_parts, need), rest, n[1], k)
     ranked = opening.unionByName(further).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
