@@ -32,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: Documents a block holds if the source is small, and blocks a source has at most.
 PER_BLOCK, BLOCKS = 64, 4096
+#: Words an output shard should hold, and shards there are at least.
+PER_SHARD, SHARDS = 1 << 24, 16
 SEED = 20240601
 
 
@@ -164,7 +166,7 @@ def allotted(docs: DataFrame, most: int = 3) -> DataFrame:
     goal = checkpointed(goal.withColumnRenamed("source", "goal_source"))
     # A null source meets its own row; a hot source is split by the planner as a skewed join.
     rows = slim.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("dealt")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "key"), F.col("dealt")).cast("int"))
     per_block = rows.groupBy("place", "block").agg(F.sum("size").alias("block_size"), F.max("rest").alias("rest"))
     order = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(SEED + 1), "place", "block"), "block")
     before = F.coalesce(F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -176,7 +178,7 @@ def allotted(docs: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("room") - ahead)).cast("long"))
 
 
-def deal(docs: DataFrame, shards: int = 16, most: int = 3) -> tuple[DataFrame, DataFrame]:
+def deal(docs: DataFrame, shards: int | None = None, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """Rows as in ``allotted``, numbered ``nth`` among rows alike, and the items dealt of them.
 
     An item is one copy of a row, whole or cut: (key, nth, mix_shard, mix_order, mix_words,
@@ -186,6 +188,9 @@ def deal(docs: DataFrame, shards: int = 16, most: int = 3) -> tuple[DataFrame, D
     alike = Window.partitionBy("key").orderBy("extra", "rank")
     rows = checkpointed(allotted(docs, most).withColumn("nth", F.row_number().over(alike)).select("doc_id", "key", "nth", "place", "rank", "blocks", "copies", "size", "extra", "source_size", "target"))
     live = rows.filter("size > 0 and (copies > 0 or extra > 0)")
+    if shards is None:  # a power of two that grows with the words taken
+        all_words = rows.agg(F.sum(F.col("copies") * F.col("size") + F.col("extra"))).first()[0] or 0
+        shards = max(SHARDS, 1 << max(0, -(-all_words // PER_SHARD) - 1).bit_length())
     # A source's blocks, once per whole copy, and then those that the rest reaches.
     partial = F.coalesce(F.max(F.when(F.col("extra") > 0, F.col("rank"))), F.lit(0))
     quotas = live.groupBy("place").agg((F.max("copies") * F.max("blocks") + partial).cast("long").alias("quota"))
@@ -209,27 +214,31 @@ def taken(docs: DataFrame, most: int = 3) -> DataFrame:
     ``most`` times its size.
 
     A null text has no words, is taken zero times and changes nothing; a null source is a
-    source of its own, ordered last; null and repeated doc_ids share a block and differ by
-    text; rows alike in id, text and source are taken alike up to their order; an empty
-    table gives no rows; other columns are ignored.
+    source of its own, ordered last; rows fall into blocks by id, text and source, so null
+    and repeated doc_ids are nothing special; rows alike in all three are taken alike up to
+    their order; very long texts are counted whole; an empty table gives no rows; other
+    columns are ignored.
     """
     rows, items = deal(docs, most=most)
     sums = items.groupBy("key", "nth").agg(F.sum("mix_words").alias("dealt_words"))
     return rows.join(sums, ["key", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("dealt_words", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, shards: int = 16, most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, most: int = 3) -> DataFrame:
     """The mix itself: the columns of ``docs``, then ``mix_shard``, ``mix_order``, ``mix_words``.
 
     One row per copy taken, its text cut to the words taken of it (``mix_words``), in the
-    shard dealt to its block by the splitting tree; sorting a shard by ``mix_order``, a
-    permutation by hash, is its local shuffle. Rows without words are not taken. Edge
-    cases are those of ``taken``.
+    shard dealt to its block by the splitting tree. A shard's rows stand together, shuffled
+    locally: sorted by ``mix_order``, a permutation by hash. Rows without words are not taken.
+    Columns of ``docs`` with these three names are replaced. Edge cases are those of ``taken``.
     """
     items = deal(docs, shards, most)[1].withColumnsRenamed({"key": "mix_key", "nth": "mix_item_nth"})
-    named = docs.withColumn("mix_key", F.xxhash64("doc_id", "text", "source"))
+    own = [c for c in docs.columns if c not in ("mix_shard", "mix_order", "mix_words")]
+    named = docs.select(F.struct(*own).alias("row"), F.xxhash64("doc_id", "text", "source").alias("mix_key"))
     named = named.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")))
     # Rows alike share a key; the difference keeps the join on the key alone.
     joined = named.join(items, "mix_key").filter("mix_nth - mix_item_nth = 0")
-    text = F.when(F.col("mix_cut"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("mix_words").cast("int")), " ")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns, "mix_shard", "mix_order", "mix_words")
+    whole = F.col("row.text")
+    text = F.when(F.col("mix_cut"), F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), 0), F.lit(1), F.col("mix_words").cast("int")), " ")).otherwise(whole)
+    rows = joined.select(F.col("row").withField("text", text).alias("row"), "mix_shard", "mix_order", "mix_words")
+    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select("row.*", "mix_shard", "mix_order", "mix_words")

@@ -115,3 +115,22 @@ def test_edges(spark):
     got = sm.taken(df).collect()
     assert len(got) == 2 and all(r.taken == r.size == r.target == 0 for r in got)
     assert sm.mix(df, 4).collect() == []
+
+
+def test_shards_stand_together_and_names_may_clash(spark):
+    txt, src = corpus(200)
+    docs = documents(spark, txt, src).selectExpr("*", "'a' as mix_key", "7 as mix_nth", "8 as mix_shard", "'r' as row", "1 as place")
+    mixed = sm.mix(docs, shards=8)
+    assert mixed.columns == [*(c for c in docs.columns if c != "mix_shard"), "mix_shard", "mix_order", "mix_words"]
+    parts = [[(r.mix_shard, r.mix_order) for r in p] for p in mixed.rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts) and sum(len({s for s, _ in p}) for p in parts) == 8
+    assert {(r.mix_key, r.mix_nth, r.row, r.place) for r in mixed.collect()} == {("a", 7, "r", 1)}
+
+
+def test_null_ids_and_long_texts(spark):
+    long = "w " * 300_000
+    rows = [(None, f"t{i} x y", None, "s", 1) for i in range(500)] + [(1, long, None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = sm.taken(docs).collect()
+    assert sum(r.size for r in got) == 301_500 and sum(r.taken for r in got) == int(got[0].target)
+    assert sm.allotted(docs).select("rank").distinct().count() > 1
