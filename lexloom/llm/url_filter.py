@@ -1,8 +1,8 @@
 """URL filters with exact membership from a cascade of Bloom filters.
 
 A rule names a host and a path prefix and fits the host and all its subdomains. Every
-url therefore has a few candidate keys, each suffix of its host with each prefix of its
-path as long as some rule's path; the distinct keys of the corpus are the complete
+url therefore has a few candidate keys, each suffix of its host with no more labels than
+some rule's host, with each prefix of its path as long as some rule's path; the distinct keys of the corpus are the complete
 universe. A cascade holds which of them are listed: level 0 encodes the listed keys,
 level 1 the keys of the universe that level 0 takes for listed though they are not,
 level 2 the listed keys that level 1 takes for these, and so on until a level has no
@@ -42,10 +42,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys host-suffix + path-prefix of a url, for path prefixes of the given lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """Keys host-suffix + path-prefix of a url, for the given numbers of labels and path lengths.
+
+    A suffix is read from the end of the host, so a host of many labels costs no more.
+    """
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    suffixes = F.filter(F.array(*(F.when(dots + 1 >= n, F.substring_index(host, ".", -n)) for n in labels)), lambda s: s.isNotNull())
     cut = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(cut, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
 
@@ -109,14 +112,40 @@ def _passing(levels):
     return run
 
 
-def build_cascade(universe: DataFrame, listed: np.ndarray, most: int = 1 << 24) -> Cascade:
-    """Exact membership in ``listed`` (64-bit hashes) for all keys ``h`` of ``universe``.
+class Dealt:
+    """Cascades of parts of the keys, dealt by remainder, for lists beyond one cascade's bound."""
+
+    def __init__(self, cascades):
+        self.cascades = cascades
+
+    @property
+    def size_bytes(self):
+        return sum(c.size_bytes for c in self.cascades)
+
+    def listed(self, keys: np.ndarray) -> np.ndarray:
+        out, part = np.zeros(len(keys), bool), keys % U64(len(self.cascades))
+        for i, cascade in enumerate(self.cascades):
+            own = part == U64(i)
+            out[own] = cascade.listed(keys[own])
+        return out
+
+
+def build(universe: DataFrame, listed: np.ndarray, most: int = 1 << 24):
+    """Exact membership in ``listed`` for all keys of ``universe``, in parts of at most about
+    ``most`` listed keys, each with a cascade of its own."""
+    parts = 2 ** max(0, math.ceil(math.log2(max(1, len(listed)) / most)))
+    if parts == 1:
+        return build_cascade(universe, listed)
+    remainder = F.col("h").bitwiseAND(F.lit(parts - 1))  # that of the key as an unsigned number
+    return Dealt([build_cascade(universe.filter(remainder == i), listed[listed % U64(parts) == U64(i)]) for i in range(parts)])
+
+
+def build_cascade(universe: DataFrame, listed: np.ndarray) -> Cascade:
+    """One cascade: exact membership in ``listed`` (64-bit hashes) for all keys ``h`` of ``universe``.
 
-    ``most`` bounds the list and each level's false positives on the driver.
+    Each level's false positives, a few times the list at most, come to the driver.
     """
     listed = np.unique(listed)
-    if len(listed) > most:
-        raise ValueError(f"{len(listed)} listed keys; at most {most} are held on the driver")
     if not len(listed):
         return Cascade([])
     others = universe.count()
@@ -162,7 +191,7 @@ def _match(cascade):
     return run
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], most: int = 1 << 24) -> DataFrame:
     """The columns of ``pages`` given as struct ``row``, with host, path, rule and verdict.
 
     ``rules`` are (host, path, ``allow`` or ``block``). A url's longest listed key decides;
@@ -170,17 +199,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
 
     A null url, or one without ``://``, has an empty host and path and fits no rule; an
     empty table gives no rows; repeated rows are judged alike; of rules given twice, the
-    last counts; other columns are carried along.
+    last counts; hosts and paths of any length cost time in proportion; other columns are
+    carried along, whatever their names. ``most`` bounds the keys of one cascade.
     """
     action = {h + p: a for h, p, a in rules}
     lengths = sorted({len(p) for _, p, _ in rules}) or [0]
+    labels = sorted({h.count(".") + 1 for h, _, _ in rules}) or [1]
     named = pages.select(F.struct(*pages.columns).alias("page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    named = named.withColumn("keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(candidates(F.col("host"), F.col("path"), lengths)))
+    named = named.withColumn("keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(candidates(F.col("host"), F.col("path"), lengths, labels)))
     hashed = named.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
     universe = checkpointed(hashed.select(F.explode("hashes").alias("h")).distinct())
     spark = pages.sparkSession
     listed = spark.createDataFrame([(k,) for k in action], "key string").select(F.xxhash64("key").alias("h"))
-    cascade = build_cascade(universe, np.array([r.h for r in listed.collect()], np.int64).view(np.uint64))
+    cascade = build(universe, np.array([r.h for r in listed.collect()], np.int64).view(np.uint64), most)
     packed = hashed.select(F.struct("page", "host", "path").alias("row"), "hashes", "keys")
     schema = f"row {packed.schema['row'].dataType.simpleString()}, rule string"
     found = packed.mapInArrow(_match(spark.sparkContext.broadcast(cascade)), schema)

@@ -46,3 +46,25 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert not uf.build_cascade(df, np.zeros(0, np.uint64)).listed(keys.view(np.uint64)).any()
     alone = uf.build_cascade(df.filter(F.col("h").isin([int(x) for x in listed[:5]])), listed[:5].view(np.uint64))
     assert alone.listed(listed[:5].view(np.uint64)).all()
+
+
+def test_long_hosts_and_paths(spark):
+    """Hosts of very many labels, and very long paths, cost no more than their length."""
+    host, path = ".".join(["a"] * 200_000) + ".example.com", "/en/7" + "x" * 1_000_000
+    pages = spark.createDataFrame([(0, f"http://{host}{path}"), (1, f"http://{host}/en/8"), (2, f"http://{'b' * 500_000}.com/en/7")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.filter_urls(pages, uf.RULES).select("page.page_id", "rule", "verdict").collect()}
+    assert got == {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: ("com/en/", "block")}
+
+
+def test_lists_beyond_one_cascade(spark):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(2**62), 2**62, 20000))
+    listed = keys[::9]
+    df = spark.createDataFrame([(int(k),) for k in keys], "h long")
+    dealt = uf.build(df, listed.view(np.uint64), most=600)
+    assert len(dealt.cascades) == 4 and dealt.size_bytes > 0
+    assert (dealt.listed(keys.view(np.uint64)) == np.isin(keys, listed)).all()
+    rules = [(f"h{i}.com", "/x", "block") for i in range(40)]
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/x") for i in range(80)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in uf.filter_urls(pages, rules, most=7).select("page.page_id", "verdict").collect()}
+    assert got == {i: "block" if i < 40 else "allow" for i in range(80)}
