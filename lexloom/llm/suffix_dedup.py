@@ -40,7 +40,7 @@ from lexloom.llm.runtime import checkpointed, keys_of, row_key, shuffle_width, t
 U64 = np.uint64
 ID = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 #: Windows handled at once, and spans of a digit that are ordered together.
-BLOCK, HOT = 1 << 21, 512
+BLOCK, HOT = 1 << 21, 128
 
 
 def elected(data: np.ndarray, depth: int, digit: int):
