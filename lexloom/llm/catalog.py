@@ -95,7 +95,7 @@ units AS (
   SELECT r, 1 AS line, unnest(lines) AS u FROM docs
   UNION ALL SELECT r, 0, array_to_string(lines, ' ') FROM docs WHERE len(lines) > 1),
 words AS (SELECT row_number() OVER () AS k, r, line, string_split(u, ' ') AS w FROM units),
-sets AS (SELECT k, r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) BETWEEN 2 AND 60 OR line = 0),
+sets AS (SELECT k, r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) >= 2),
 pairs AS (
   SELECT k, r, line, name, 2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) AS dice
   FROM sets s, template_sets t

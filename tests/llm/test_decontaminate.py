@@ -87,3 +87,13 @@ def test_edges(spark):
     assert [(r.doc_id, r.item_id, r.edits) for r in dc.leaks(df, bench).collect()] == [(None, 1, 0)] * 2
     assert dc.keep_clean(df, bench).count() == 1 and dc.keep_clean(df, bench).columns == df.columns
     assert dc.leaks(df.limit(0), bench).collect() == [] and dc.leaks(df, bench.limit(0)).collect() == []
+
+
+def test_very_long_text(spark):
+    rng = random.Random(12)
+    item = " ".join(f"i{rng.randrange(10**6)}" for _ in range(40))
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(100_000))
+    docs = documents(spark, [long, long + " " + item, item + " " + long])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.edits) for r in dc.leaks(docs, bench).collect()} == {(1, 0), (2, 0)}
+    assert {r.doc_id for r in dc.keep_clean(docs, bench).collect()} == {0}

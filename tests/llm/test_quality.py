@@ -47,3 +47,11 @@ def test_edges(spark):
     got = ql.score_quality(df, labels).collect()
     assert len(got) == 3 and {r.score for r in got} == {0.5} and not any(r.held_out for r in got)
     assert ql.score_quality(df.limit(0), labels).collect() == []
+
+
+def test_very_long_text_is_described_whole():
+    from lexloom.llm import bytescan as bs
+
+    text = ("word " * 200_000 + "END.\n") .encode()
+    stats, row, word = ql.describe(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert stats[0, 0] == np.log1p(200_001) and len(word) == 2 and len(bs.SPACE) == 256

@@ -58,3 +58,20 @@ def test_edges(spark):
     assert len(got) == 3 and len({r.score for r in got}) == 1 and not any(r.held_out for r in got)
     assert tx.score_toxicity(df.limit(0), labels).collect() == []
     assert len(tx.keep_clean(df, labels).columns) == 9
+
+
+def test_very_long_text_is_scored_whole():
+    """A chunk of one long row gives the features of all of its text."""
+    text = ("plain words " * 50_000 + "zorgblat").encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    tail = np.frombuffer(b"zorgblat", np.uint8)
+    whole, own = set(tx.row_features(data, offs).tolist()), set(tx.row_features(tail, np.array([0, len(tail)])).tolist())
+    assert own <= whole
+
+
+def test_one_id_in_many_rows_trains_once(spark):
+    from lexloom.llm.labelled import training_sample
+
+    docs = documents(spark, ["a"]).unionByName(spark.createDataFrame([(7, f"t{i}", None, None, 1) for i in range(300)], DOC))
+    labels = spark.createDataFrame([(7, 1), (0, 0)], "doc_id long, toxic int")
+    assert training_sample(docs, labels, "toxic", 5, 9, 10).count() == 2
