@@ -39,8 +39,8 @@ from lexloom.llm.runtime import checkpointed, keys_of, row_key, shuffle_width, t
 
 U64 = np.uint64
 ID = np.dtype([("hi", "<u8"), ("lo", "<u8")])
-#: Windows handled at once, and spans of a digit that are ordered together.
-BLOCK, HOT = 1 << 21, 128
+#: Windows elected at once, windows ordered at once, and spans of a digit that are ordered together.
+BLOCK, ORDERED, HOT = 1 << 21, 1 << 17, 128
 
 
 def elected(data: np.ndarray, depth: int, digit: int):
@@ -381,7 +381,7 @@ def repeated_windows(docs: DataFrame, depth: int = 200, digit: int = 40, max_bit
     sizes = checkpointed(dealt.groupBy("bucket").applyInArrow(_unfinished(hot), "several binary, hot binary"))
     bitmaps = spark.sparkContext.broadcast(_bitmaps(sizes, max_bitmap))
     again = docs.mapInArrow(scan_spans(depth, digit, buckets, block, bitmaps), PACKED_DDL)
-    refined = again.groupBy("bucket").applyInArrow(settle_refined(depth, digit, buckets, block), FOUND_DDL)
+    refined = again.groupBy("bucket").applyInArrow(settle_refined(depth, digit, buckets, min(block, ORDERED)), FOUND_DDL)
     packed = found.unionByName(refined).filter("kind = 0 and length(a) > 0").select("a", "b", "c")
     return packed.mapInArrow(_unpack_windows, "key binary, first long, windows long")
 
