@@ -8,6 +8,8 @@ Python loop, but chosen texts can collide, so it only ever groups what is compar
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,6 +26,19 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library keeps its own ways
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory that is free in this worker back to the machine, for the workers beside it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base**i`` modulo 2**64 for i < n at least."""
     have = _powers.get(base)

@@ -148,8 +148,11 @@ def scan_digits(depth, digit, buckets, block, flush=1 << 18):
                 if count >= flush:
                     yield _rows(list(merged(held, buckets)))
                     held, count = [], 0
+                    bs.release()
         if held:
             yield _rows(list(merged(held, buckets)))
+        del held
+        bs.release()
 
     return run
 
@@ -176,6 +179,16 @@ def settle_ids(table: pa.Table, buckets: int) -> pa.Table:
     return _found([(0, key[at].tobytes(), start[at].tobytes(), n[at].tobytes()), (1, digits.tobytes(), spans.astype(np.uint32).tobytes(), b"")])
 
 
+def _settled(buckets):
+    def run(table: pa.Table) -> pa.Table:
+        found = settle_ids(table, buckets)
+        del table
+        bs.release()
+        return found
+
+    return run
+
+
 COUNTED = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -272,10 +285,13 @@ def scan_spans(depth, digit, buckets, block, bitmaps, flush=1 << 22):
                 if size + 48 * count >= flush:
                     yield emit()
                     held, size, windows, count = {}, 0, [], 0
+                    bs.release()
                     if len(seen) > 1 << 18:
                         seen = set()
         if held or windows:
             yield emit()
+        held, windows, seen = {}, [], set()
+        bs.release()
 
     return run
 
@@ -355,16 +371,34 @@ def settle_spans(depth, digit, block):
     return run
 
 
+WINDOWS_DDL = "key binary, first long, windows long"
+
+
+def _windows(rows) -> pa.Table:
+    """(key, first, windows) of packed rows (key, first, windows)."""
+    a, b, c = (b"".join(x) for x in zip(*rows)) if rows else (b"", b"", b"")
+    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(a) // 16, [None, pa.py_buffer(a)]).cast(pa.binary())
+    return pa.Table.from_arrays([keys, *(pa.array(np.frombuffer(x, np.uint32).astype(np.int64)) for x in (b, c))], names=["key", "first", "windows"])
+
+
 def settle_refined(depth, digit, buckets, block):
+    """Pass 2, one bucket of any kind: its repeated windows, unpacked."""
     spans = settle_spans(depth, digit, block)
-    return lambda table: spans(table) if table.column("bucket")[0].as_py() < buckets else settle_ids(table, buckets)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = spans(table) if table.column("bucket")[0].as_py() < buckets else settle_ids(table, buckets)
+        rows = [(r["a"], r["b"], r["c"]) for r in found.to_pylist() if r["kind"] == 0]
+        del table, found
+        bs.release()
+        return _windows(rows)
+
+    return run
 
 
 def _unpack_windows(batches):
     for batch in batches:
-        for a, b, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            keys = pa.array([a[i : i + 16] for i in range(0, len(a), 16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.frombuffer(b, np.uint32).astype(np.int64)), pa.array(np.frombuffer(c, np.uint32).astype(np.int64))], names=["key", "first", "windows"])
+        yield from _windows(list(zip(*(batch.column(i).to_pylist() for i in range(3))))).to_batches()
+        bs.release()
 
 
 def repeated_windows(docs: DataFrame, depth: int = 200, digit: int = 40, max_bitmap: int = 1 << 24, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -376,14 +410,14 @@ def repeated_windows(docs: DataFrame, depth: int = 200, digit: int = 40, max_bit
     texts_in_small_batches(spark)
     buckets = 4 * shuffle_width(spark)
     spans = docs.mapInArrow(scan_digits(depth, digit, buckets, block), PACKED_DDL)
-    found = checkpointed(spans.groupBy("bucket").applyInArrow(lambda t: settle_ids(t, buckets), FOUND_DDL))
+    found = checkpointed(spans.groupBy("bucket").applyInArrow(_settled(buckets), FOUND_DDL))
     dealt = found.filter("kind = 1").select("a", "b").mapInArrow(_deal_digits(buckets), "bucket int, a binary, b binary")
     sizes = checkpointed(dealt.groupBy("bucket").applyInArrow(_unfinished(hot), "several binary, hot binary"))
     bitmaps = spark.sparkContext.broadcast(_bitmaps(sizes, max_bitmap))
     again = docs.mapInArrow(scan_spans(depth, digit, buckets, block, bitmaps), PACKED_DDL)
-    refined = again.groupBy("bucket").applyInArrow(settle_refined(depth, digit, buckets, min(block, ORDERED)), FOUND_DDL)
-    packed = found.unionByName(refined).filter("kind = 0 and length(a) > 0").select("a", "b", "c")
-    return packed.mapInArrow(_unpack_windows, "key binary, first long, windows long")
+    refined = again.groupBy("bucket").applyInArrow(settle_refined(depth, digit, buckets, min(block, ORDERED)), WINDOWS_DDL)
+    known = found.filter("kind = 0 and length(a) > 0").select("a", "b", "c").mapInArrow(_unpack_windows, WINDOWS_DDL)
+    return known.unionByName(refined)
 
 
 def _cut(depth: int, keep_text: bool):
