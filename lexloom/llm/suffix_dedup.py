@@ -117,6 +117,18 @@ def _same_id(ids: np.ndarray):
     return order, np.concatenate([np.ones(min(1, len(x)), bool), (x["hi"][1:] != x["hi"][:-1]) | (x["lo"][1:] != x["lo"][:-1])])
 
 
+def runs_of(key: np.ndarray, start: np.ndarray, n: np.ndarray):
+    """(key, start, n) with windows that follow each other in a row as one run."""
+    ids = np.ascontiguousarray(key).view(ID)
+    by = np.lexsort((start, ids["lo"], ids["hi"]))
+    key, ids, start, n = key[by], ids[by], start[by].astype(np.int64), n[by].astype(np.int64)
+    new = np.ones(len(by), bool)
+    new[1:] = (ids["hi"][1:] != ids["hi"][:-1]) | (ids["lo"][1:] != ids["lo"][:-1]) | (start[1:] != start[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(n, at) if len(at) else n
+    return key[at], start[at].astype(np.uint32), total.astype(np.uint32)
+
+
 def merged(held, buckets: int):
     """Rows of a task's block: one of each identity, and windows that repeat inside the block.
 
@@ -131,7 +143,8 @@ def merged(held, buckets: int):
         at = one[i]
         yield {"bucket": buckets + b, "id": ids[at].tobytes(), "digit": g[at].tobytes(), "many": (size[i] > 1).astype(np.uint8).tobytes(), "key": key[at].tobytes(), "start": start[at].tobytes(), "n": n[at].tobytes()}
     if len(again):
-        yield {"bucket": 2 * buckets + int(ids["hi"][again[0]] % U64(buckets)), "key": key[again].tobytes(), "start": start[again].tobytes(), "n": n[again].tobytes()}
+        known, first, count = runs_of(key[again], start[again], n[again])
+        yield {"bucket": 2 * buckets + int(ids["hi"][again[0]] % U64(buckets)), "key": known.tobytes(), "start": first.tobytes(), "n": count.tobytes()}
 
 
 def scan_digits(depth, digit, buckets, block, flush=1 << 18):
@@ -176,7 +189,8 @@ def settle_ids(table: pa.Table, buckets: int) -> pa.Table:
     again = (np.bincount(group)[group] > 1) & (many[order] == 0)  # a merged row's windows are known
     at = order[again]
     digits, spans = np.unique(g[order[new]], return_counts=True)
-    return _found([(0, key[at].tobytes(), start[at].tobytes(), n[at].tobytes()), (1, digits.tobytes(), spans.astype(np.uint32).tobytes(), b"")])
+    known, first, count = runs_of(key[at], start[at], n[at])
+    return _found([(0, known.tobytes(), first.tobytes(), count.tobytes()), (1, digits.tobytes(), spans.astype(np.uint32).tobytes(), b"")])
 
 
 def _settled(buckets):
