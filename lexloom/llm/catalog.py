@@ -86,7 +86,7 @@ def _op5() -> str:
 WITH templates AS (
   SELECT name, string_split(trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM (VALUES {values}) v(name, t)),
 template_sets AS (
-  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM templates),
+  SELECT row_number() OVER () AS t, name, len(w) AS words, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM templates),
 docs AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
@@ -102,9 +102,23 @@ pairs AS (
   WHERE 2 * least(len(s.b), len(t.b)) >= 0.8 * (len(s.b) + len(t.b)) - 1e-9),
 hits AS (SELECT * FROM pairs WHERE dice >= 0.8 - 1e-9),
 tops AS (SELECT r, name, dice, row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) AS n FROM hits),
-counts AS (SELECT r, count(DISTINCT k) AS n FROM hits WHERE line = 1 GROUP BY r)
-SELECT d.doc_id, len(d.lines) AS n_units, coalesce(c.n, 0) AS n_notices, t.name AS license, round(t.dice, 6) AS dice
-FROM docs d LEFT JOIN tops t ON t.r = d.r AND t.n = 1 LEFT JOIN counts c ON c.r = d.r
+counts AS (SELECT r, count(DISTINCT k) AS n FROM hits WHERE line = 1 GROUP BY r),
+texts AS (SELECT r, string_split(array_to_string(lines, ' '), ' ') AS w FROM docs),
+bigrams AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS all_b FROM texts),
+places AS (SELECT r, unnest(all_b) AS x, unnest(range(1, len(all_b) + 1)) AS i FROM bigrams),
+firsts AS (SELECT t, unnest(b) AS x FROM template_sets),
+runs AS (
+  SELECT p.r, s.name, s.b AS t_b, list_distinct(g.all_b[p.i : p.i + s.words - 2]) AS b
+  FROM places p JOIN firsts f ON p.x = f.x JOIN template_sets s ON s.t = f.t JOIN bigrams g ON g.r = p.r),
+passages AS (SELECT r, name, 2 * len(list_intersect(b, t_b)) / (len(b) + len(t_b)) AS dice FROM runs),
+best_run AS (SELECT r, name, dice, row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) AS n FROM passages WHERE dice >= 0.8 - 1e-9),
+choice AS (
+  SELECT d.r, d.doc_id, len(d.lines) AS n_units, coalesce(c.n, 0) AS n_notices, t.name AS a, t.dice AS x, p.name AS b, p.dice AS y,
+         p.dice IS NOT NULL AND (t.dice IS NULL OR p.dice > t.dice) AS passage
+  FROM docs d LEFT JOIN tops t ON t.r = d.r AND t.n = 1 LEFT JOIN best_run p ON p.r = d.r AND p.n = 1 LEFT JOIN counts c ON c.r = d.r)
+SELECT doc_id, n_units, n_notices, passage, round(greatest(x, y), 6) AS dice,
+       CASE WHEN passage THEN b WHEN x = y THEN least(a, b) ELSE a END AS license
+FROM choice
 """
 
 
