@@ -152,3 +152,22 @@ def test_very_long_text(spark):
     got = {r.doc_id: r for r in sd.near_duplicates(documents(spark, t)).collect()}
     assert got[0].component_id == got[1].component_id == 0 and got[0].fingerprint == f"{slow_fingerprint(long):016x}"
     assert {r.doc_id for r in sd.keep_one(documents(spark, t)).collect()} == {0, 2}
+
+
+def test_similar_groups_by_shards(spark, monkeypatch):
+    """A tree fitted on a sample, with many shards, groups the same rows as a single shard."""
+
+    def members(found):
+        by = {}
+        for r in found.collect():
+            by.setdefault(r.root, set()).add(r.doc_id)
+        return sorted(map(sorted, by.values()))
+
+    docs = documents(spark, texts(9))
+    whole = members(sd.similar_groups(docs))
+    assert len(whole) < 127
+    depths, fit = [], sd.fit_tree
+    monkeypatch.setattr(sd, "SHARD", 4)
+    monkeypatch.setattr(sd, "fit_tree", lambda sample, depth, least=8: depths.append((len(sample), depth)) or fit(sample, depth, 8))
+    assert members(sd.similar_groups(docs)) == whole
+    assert depths and depths[0][0] > 0 and depths[0][1] > 1
