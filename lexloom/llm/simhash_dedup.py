@@ -216,12 +216,24 @@ def _link_shard(radius):
     return run
 
 
+def sampled(distinct: DataFrame, key: str, value, count: int) -> np.ndarray:
+    """About ``SAMPLE`` values of the ``count`` rows, those with the smallest hashes of ``key``.
+
+    Rows are chosen where they are, so that no task sends more than its share.
+    """
+    edge = F.lit(min(1 << 62, SAMPLE * (1 << 62) // max(1, count)))
+    chosen = distinct.filter(F.shiftrightunsigned(F.xxhash64(key), 2) < edge).select(value.alias("value"))
+    found = chosen.toPandas()["value"].tolist()
+    x = np.sort(np.frombuffer(b"".join(found), "<u8") if found and isinstance(found[0], (bytes, bytearray)) else np.array(found, np.int64).view(np.uint64))
+    return x[np.argsort(bs.mix(x), kind="stable")]
+
+
 def linked_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints ``fp`` within ``radius`` bits."""
     n = distinct.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"] if depth else []
-    nodes, root, _ = fit_tree(np.array(sample, dtype=np.int64).view(np.uint64), depth)
+    sample = sampled(distinct, "fp", F.col("fp"), n) if depth else np.zeros(0, np.uint64)
+    nodes, root, _ = fit_tree(sample, depth)
     dealt = distinct.select("fp").mapInArrow(_deal_batches(nodes, root, radius), "shard int, home binary, query binary")
     return dealt.groupBy("shard").applyInArrow(_link_shard(radius), "a long, b long")
 
@@ -341,8 +353,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     distinct = checkpointed(rows.select("node", "n", "bits").distinct())
     count = distinct.count()
     depth = max(0, math.ceil(math.log2(max(1, count) / (4 * SHARD))))  # bands shorten the trees
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("bits").collect() if depth else []
-    nodes, root, _ = fit_tree(np.array([np.frombuffer(r.bits, "<u8", 1)[0] for r in sample], np.uint64), depth)
+    sample = sampled(distinct, "node", F.substring("bits", 1, 8), count) if depth else np.zeros(0, np.uint64)
+    nodes, root, _ = fit_tree(sample, depth)
     dealt = distinct.mapInArrow(_deal_sketches(nodes, root, radius, similarity), "lot long, home binary, query binary")
     links = dealt.groupBy("lot").applyInArrow(_link_lot(radius, most_bits(similarity)), "a long, b long")
     roots = connected(links)

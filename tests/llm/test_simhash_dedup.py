@@ -171,3 +171,17 @@ def test_similar_groups_by_shards(spark, monkeypatch):
     monkeypatch.setattr(sd, "fit_tree", lambda sample, depth, least=8: depths.append((len(sample), depth)) or fit(sample, depth, 8))
     assert members(sd.similar_groups(docs)) == whole
     assert depths and depths[0][0] > 0 and depths[0][1] > 1
+
+
+def test_near_duplicates_by_shards(spark, monkeypatch):
+    """The tree's sample is bounded and changes no group."""
+    t = texts(3)
+    docs = documents(spark, t)
+    want = brute(list(range(len(t))), [slow_fingerprint(x) for x in t])
+    sizes, fit = [], sd.fit_tree
+    monkeypatch.setattr(sd, "SHARD", 8)
+    monkeypatch.setattr(sd, "SAMPLE", 64)
+    monkeypatch.setattr(sd, "fit_tree", lambda sample, depth: sizes.append((len(sample), depth)) or fit(sample, depth, 4))
+    got = {r.doc_id: r.component_id for r in sd.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(t))] == want
+    assert 32 < sizes[0][0] < 96 and sizes[0][1] > 1
