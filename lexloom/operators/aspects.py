@@ -157,8 +157,8 @@ def combined_vocabulary(chunks: DataFrame, phrases: DataFrame, limit: int = 5000
     return both.groupBy("term").agg(F.min(F.struct("kind", "key")).alias("k")).orderBy("k", "term").limit(limit).select("term")
 
 
-def dense_aspects(queries: DataFrame, vocabulary: DataFrame, encode=hash_vector, terms: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """(qid, place, name, weight): entities at 1.0, then the vocabulary's terms by cosine.
+def dense_aspects(queries: DataFrame, vocabulary: DataFrame, encode=hash_vector, terms: DataFrame | None = None, k: int = 10, entities=tx.wide_entities) -> DataFrame:
+    """(qid, place, name, weight): ``entities`` at 1.0, then the vocabulary's terms by cosine.
 
     ``vocabulary`` (term) is of bounded size. With ``terms`` (term, idf), a cosine is scaled by
     0.5 + 0.5 * mean idf / max idf, unknown words counting 1.0.
@@ -173,7 +173,7 @@ def dense_aspects(queries: DataFrame, vocabulary: DataFrame, encode=hash_vector,
     scored = q.crossJoin(F.broadcast(vocab.withColumn("vec", encode(F.col("name"))))).withColumn("sim", dot(F.col("qvec"), F.col("vec")) * F.col("factor"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "name")
     near = scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).select("qid", F.lit(1).alias("lane"), "at", "name", F.bround("sim", 4).alias("weight"))
-    named = queries.select("qid", F.posexplode(tx.wide_entities(F.col("query"))).alias("at", "name")).select("qid", F.lit(0).alias("lane"), "at", "name", F.lit(1.0).alias("weight"))
+    named = queries.select("qid", F.posexplode(entities(F.col("query"))).alias("at", "name")).select("qid", F.lit(0).alias("lane"), "at", "name", F.lit(1.0).alias("weight"))
     both = named.unionByName(near.join(named.select("qid", "name"), ["qid", "name"], "left_anti").select(named.columns))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("lane", "at"))
     return both.select("qid", place.alias("place"), "name", "weight").filter(F.col("place") <= k)
