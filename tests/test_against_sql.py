@@ -35,3 +35,17 @@ def same(spark, tmp_path):
 @pytest.mark.parametrize("name", ["anchor_select", "aspect_coverage", "dense_aspects", "dense_aspects_filtered", "dense_aspects_scaled", "expand_schema5b", "expansion_telemetry", "qaug_tokens"])
 def test_acronym_by_form(same, name):
     assert same(name, items=["SS engine keeps the words of stores", "plain words of a store"])
+
+
+def test_index_tasks_grow_with_the_text(spark, tmp_path, monkeypatch):
+    from lexloom.operators import index as ix
+
+    spark.createDataFrame([(i, f"w{i} the w{i % 7} the") for i in range(2000)], "ord long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    few = ix.build(docs)
+    monkeypatch.setattr(ix, "TASK_BYTES", 1 << 10)
+    many = ix.build(docs)
+    for a, b in ((few.postings, many.postings), (few.terms, many.terms)):
+        assert b.rdd.getNumPartitions() > 2 * a.rdd.getNumPartitions()
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sum(r.df for r in many.terms.collect()) == many.postings.count()
