@@ -94,7 +94,7 @@ def statistical(queries: DataFrame, index: Index, encode=hash_vector, k: int = 5
     rows = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).select("qid", "aspect", "name", "weight")
     asked = rows.select(F.struct("qid", "aspect").alias("qid"), F.explode(F.split("name", " ")).alias("term"))
     asked = asked.groupBy("qid", "term").agg(F.count("*").cast("double").alias("w"))
-    hits = sc.top_k(sc.bm25_okapi(index, asked).filter("score > 0"), 3)
+    hits = sc.top_k(sc.bm25_okapi(index, asked, first=3).filter("score > 0"), 3)
     more = prf_terms(hits, index, asked.select("qid", "term"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("tf"), "term"))
     more = more.select("qid.qid", "qid.aspect", place.alias("place"), "term", F.col("weight").alias("keyword_weight"))

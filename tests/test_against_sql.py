@@ -49,3 +49,33 @@ def test_index_tasks_grow_with_the_text(spark, tmp_path, monkeypatch):
         assert b.rdd.getNumPartitions() > 2 * a.rdd.getNumPartitions()
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert sum(r.df for r in many.terms.collect()) == many.postings.count()
+
+
+SCORED = ["bm25_lucene", "bm25_okapi", "bm25_plus", "bm25_l", "weighted_retrieve", "sparse_dot", "multi_query_max", "rrf_fusion", "forced_inclusion", "late_expand"]
+
+
+@pytest.mark.parametrize("name", SCORED)
+def test_scored_where_read(same, spark, monkeypatch, name):
+    """Many equal texts, documents across Arrow batches and blocks, and no exchange of hits."""
+    from lexloom.operators import scan
+
+    monkeypatch.setattr(scan, "CELLS", 12)
+    monkeypatch.setattr(scan, "JOINED", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = DOCS * 4 + ["engine " * 9 + "words"] + DOCS[::-1] * 2
+        same(name, docs=docs, items=["SS engine keeps the words of stores", "plain words of a store words", "nothing there"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scores_move_only_the_best(spark):
+    from lexloom.operators import index as ix
+    from lexloom.operators import scoring as sc
+
+    docs = spark.createDataFrame([(i, f"a b w{i % 5}") for i in range(500)], "ord long, text string")
+    terms = sc.query_terms(spark.createDataFrame([(0, "a b"), (1, "w3 b")], "qid long, query string"))
+    index = ix.build(docs)
+    some, every = sc.bm25_lucene(index, terms, first=3), sc.bm25_lucene(index, terms)
+    assert every.count() == 1000 and some.count() <= 2 * 3 * index.tokens.rdd.getNumPartitions()
+    assert [tuple(r) for r in sc.top_k(some, 3).orderBy("qid", "rank").select("qid", "ord").collect()] == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 8), (1, 13)]
