@@ -38,7 +38,9 @@ def _features(samples: DataFrame, query_aspects: DataFrame, least_or_last: str)
     seen = samples.select("chunk_id", "at", F.explode("aspects").alias("aspect", "w"))
     one = F.max("w") if least_or_last == "max" else F.max_by("w", "at")
     seen = seen.groupBy("chunk_id", "aspect").agg(one.alias("w")).crossJoin(known).filter(F.map_contains_key("q", F.col("aspect")))
-    found = seen.groupBy("chunk_id").agg(F.sum("w").alias("found"))
+    # Added in the aspects' order: doubles in another order differ in the last digit, and so would ranks.
+    listed = F.sort_array(F.collect_list(F.struct("aspect", "w")))
+    found = seen.groupBy("chunk_id").agg(F.aggregate(listed, F.lit(0.0), lambda a, x: a + x.w).alias("found"))
     rows = per.join(found, "chunk_id", "left").crossJoin(known.select("q_sum"))
     return rows.withColumn("alpha", F.when(F.col("q_sum") > 0, F.coalesce("found", F.lit(0.0)) / F.col("q_sum")).otherwise(0.0))
 

@@ -91,3 +91,16 @@ def test_dense_best(spark):
     some = sc.dense_cosine(q, v, 10)
     assert ranked(some) == ranked(sc.dense_cosine(q, v))
     assert some.count() < sc.dense_cosine(q, v).count() / 5
+
+
+def test_alpha_in_one_order(spark):
+    """The same aspects give the same double, in whatever order samples hold them."""
+    from itertools import permutations
+
+    from lexloom.operators import routing as rt
+
+    own = {"legal": 1.0, "noise": 0.1, "abuse": 0.8}
+    rows = [(f"c{n}", 100, i, 1.0, 10, {a: own[a]}) for n, order in enumerate(permutations(own)) for i, a in enumerate(order)]
+    samples = spark.createDataFrame(rows, "chunk_id string, chunk_length int, at int, weight double, length int, aspects map<string,double>").coalesce(1)
+    aspects = spark.createDataFrame(list(own.items()), "aspect string, weight double")
+    assert len({r.alpha for r in rt._features(samples, aspects, "last").collect()}) == 1
