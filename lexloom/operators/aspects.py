@@ -172,7 +172,7 @@ def dense_aspects(queries: DataFrame, vocabulary: DataFrame, encode=hash_vector,
     q = queries.select("qid", encode(tx.without_stopwords(F.col("query"))).alias("qvec"))
     scored = q.crossJoin(F.broadcast(vocab.withColumn("vec", encode(F.col("name"))))).withColumn("sim", dot(F.col("qvec"), F.col("vec")) * F.col("factor"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "name")
-    near = scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).select("qid", F.lit(1).alias("lane"), "at", "name", F.bround("sim", 4).alias("weight"))
+    near = scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).select("qid", F.lit(1).alias("lane"), "at", "name", tx.round_half(F.col("sim"), 4).alias("weight"))
     named = queries.select("qid", F.posexplode(entities(F.col("query"))).alias("at", "name")).select("qid", F.lit(0).alias("lane"), "at", "name", F.lit(1.0).alias("weight"))
     both = named.unionByName(near.join(named.select("qid", "name"), ["qid", "name"], "left_anti").select(named.columns))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("lane", "at"))

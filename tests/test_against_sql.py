@@ -37,6 +37,13 @@ def test_acronym_by_form(same, name):
     assert same(name, items=["SS engine keeps the words of stores", "plain words of a store"])
 
 
+@pytest.mark.parametrize("name", ["dense_aspects", "dense_aspects_filtered", "dense_aspects_scaled"])
+def test_weight_between_two_places(same, name):
+    """Cosines of 0.15625, 0.28125, 0.40625 and 0.53125, half way between two weights, are rounded as SQL does."""
+    items = ["house copper paper index network summer corn tree table house copper", "network cloud music rice fish south tree moon rice road rice storage music", "silver summer engine south milk corn river lamp corn tree bird index house"]
+    same(name, docs=["rain", "corn", "salt", "milk", "tree", "bird", "rice"], items=items)
+
+
 def test_index_tasks_grow_with_the_text(spark, tmp_path, monkeypatch):
     from lexloom.operators import index as ix
 
