@@ -113,6 +113,13 @@ def test_fusion_counts_the_ranks_of_few(spark, monkeypatch, first):
         assert few.count() < every.count() / 5
 
 
+@pytest.mark.parametrize("name", ["rrf_fusion", "forced_inclusion"])
+def test_fusion_without_hits(same, name):
+    same(name)
+    same(name, items=["zzz"])
+    same(name, docs=[], items=["words"])
+
+
 def test_dense_best(spark):
     from lexloom.operators import scoring as sc
 
